@@ -20,4 +20,4 @@ def register(name: str, query: Query, oracle: str | None = None) -> None:
 
 def load() -> None:
     """Fill the registry."""
-    from faultlens.plans.catalog import logs, rules  # noqa: F401
+    from faultlens.plans.catalog import findings, logs, rules  # noqa: F401

@@ -271,20 +271,22 @@ register(
     .agg(F.count("*").alias("n")),
     sql("SELECT ext, line, code, count(*) AS n FROM rule_lines WHERE is_code AND short GROUP BY ALL", "rule_lines"),
 )
+_TRIMMED = trim("line")
 register(
     "x_4_snippet",
+    # A cut may fall inside a character, which the SQL side cannot show: compare the first
+    # 40 characters of every snippet and the number of snippets that were cut.
     lambda spark, d: _document_lines(spark, d)
-    # Non-ASCII lines differ at the cut: bytes here, characters in the SQL check.
-    .where(F.octet_length("line") == F.length("line"))
+    .select("doc_id", ft.snippet(F.col("line")).alias("s"))
     .groupBy("doc_id")
     .agg(
-        F.sum(F.octet_length(ft.snippet(F.col("line")))).alias("bytes"),
-        F.max(ft.snippet(F.col("line"))).alias("last_snippet"),
+        F.count_if(F.col("s").endswith("…")).alias("cut"),
+        F.max(F.left("s", F.lit(40))).alias("last_start"),
+        F.min(F.left("s", F.lit(40))).alias("first_start"),
     ),
-    f"""SELECT doc_id, CAST(sum(strlen(s)) AS BIGINT) AS bytes, max(s) AS last_snippet
-       FROM (SELECT doc_id, CASE WHEN strlen(t) > 160 THEN left(t, 160) || '…' ELSE t END AS s
-             FROM (SELECT doc_id, {trim('line')} AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-                   WHERE strlen(line) = length(line)))
+    f"""SELECT doc_id, count(*) FILTER (strlen(t) > 160 OR ends_with(t, '…')) AS cut,
+         max(left(t, 40)) AS last_start, min(left(t, 40)) AS first_start
+       FROM (SELECT doc_id, {_TRIMMED} AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents))
        GROUP BY doc_id""",
 )
 register(

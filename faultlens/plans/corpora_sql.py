@@ -596,7 +596,7 @@ FROM (
       CASE WHEN l_suppkey % 4 = 0 THEN '' ELSE 'code ' || (l_suppkey % 50) END AS snippet,
       'Why ' || (l_partkey % 3) AS explanation,
       CASE WHEN l_partkey % 6 = 0 THEN '' ELSE 'Fix it.' END AS recommendation,
-      0 AS phase, CAST(l_orderkey * 1000 + l_linenumber * 100 + l_suppkey % 100 AS INTEGER) AS ord
+      CAST(l_partkey AS INTEGER) AS phase, CAST(l_orderkey * 1000 + l_linenumber * 100 + l_suppkey % 100 AS INTEGER) AS ord
     FROM lineitem))
 """,
 )
