@@ -48,6 +48,11 @@ _COMPOSER = "require MAP<STRING,STRING>, `require-dev` MAP<STRING,STRING>"
 _NPM = "dependencies MAP<STRING,STRING>, devDependencies MAP<STRING,STRING>"
 
 
+def _name(prefix: str, key: str) -> str:
+    """Column name for a manifest or package."""
+    return f"{prefix}_{key}".replace(".", "_").replace("/", "_").replace("-", "_").replace("@", "_")
+
+
 def clean_version(v: Column) -> Column:
     """A version without its constraint prefix."""
     return F.ltrim(text.trim(v), F.lit("^~>=< "))
@@ -104,10 +109,6 @@ def first_scanned(files: DataFrame, exts: tuple[str, ...]) -> DataFrame:
     return contents.join(picked, ["project", "path"])
 
 
-def _any_first(*flags: Column) -> Column:
-    return F.coalesce(*flags)
-
-
 def manifest_signals(files: DataFrame) -> DataFrame:
     """One row per project: what each manifest says, as small flags and versions."""
     name, body = F.col("name"), F.col("content")
@@ -162,9 +163,9 @@ def manifest_signals(files: DataFrame) -> DataFrame:
     compose = ("docker-compose.yml", "docker-compose.yaml")
     dependency = ("composer.json", "package.json", "requirements.txt", "pyproject.toml")
     return rows.groupBy("project").agg(
-        *[F.coalesce(F.bool_or(name == m), F.lit(False)).alias(f"has:{m}") for m in INTERESTING],
-        *[version("composer.json", p, f"php:{p}") for p, _ in PHP_FRAMEWORKS],
-        *[version("package.json", p, f"npm:{p}") for p, _ in NODE_FRAMEWORKS],
+        *[F.coalesce(F.bool_or(name == m), F.lit(False)).alias(_name("has", m)) for m in INTERESTING],
+        *[version("composer.json", p, _name("php", p)) for p, _ in PHP_FRAMEWORKS],
+        *[version("package.json", p, _name("npm", p)) for p, _ in NODE_FRAMEWORKS],
         F.coalesce(flag("CodeIgniter.php", "core", "x"), F.lit(False)).alias("core"),
         F.coalesce(flag("CodeIgniter.php", "core_version", "x"), F.lit("")).alias("core_version"),
         any_of(python, "filled", "python"),
@@ -223,7 +224,7 @@ def _signal_list() -> list[tuple[str, Column, Column, Column, str, Column]]:
     none, true = F.lit(""), F.lit(True)
 
     def has(manifest: str) -> Column:
-        return F.col(f"`has:{manifest}`")
+        return F.col(_name("has", manifest))
 
     def fixed(concern, condition, name, evidence, confidence="High", version=none):
         return (concern, condition, F.lit(name), version, confidence, F.lit(evidence))
@@ -231,15 +232,15 @@ def _signal_list() -> list[tuple[str, Column, Column, Column, str, Column]]:
     def packaged(prefix: str, frameworks, text_before: str):
         out = []
         for package, name in frameworks:
-            version = clean_version(F.col(f"`{prefix}:{package}`"))
+            version = clean_version(F.col(_name(prefix, package)))
             evidence = F.concat(F.lit(f"{text_before} {package} "), version)
-            present = F.col(f"`{prefix}:{package}`").isNotNull()
+            present = F.col(_name(prefix, package)).isNotNull()
             out.append(("framework", present, F.lit(name), version, "High", evidence))
         return out
 
-    laravel = F.col("`php:laravel/framework`").isNotNull()
-    ci4 = F.col("`php:codeigniter4/framework`").isNotNull()
-    ci3 = F.col("`php:codeigniter/framework`").isNotNull()
+    laravel = F.col(_name("php", "laravel/framework")).isNotNull()
+    ci4 = F.col(_name("php", "codeigniter4/framework")).isNotNull()
+    ci3 = F.col(_name("php", "codeigniter/framework")).isNotNull()
     core = has("CodeIgniter.php") & F.col("core") & ~ci3 & ~ci4 & ~has("spark")
     core_name = (
         F.when(F.col("core_version").startswith("4"), "CodeIgniter 4")

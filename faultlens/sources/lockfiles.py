@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.functions import paths
+from faultlens.functions import paths, text
 
 _COMPOSER_LOCK = (
     "packages ARRAY<STRUCT<name STRING, version STRING>>, "
@@ -44,7 +44,7 @@ def _npm(content: Column) -> Column:
 
 
 def _by_line(content: Column, pattern: str) -> Column:
-    lines = F.transform(F.split(content, "\n", -1), F.trim)
+    lines = F.transform(F.split(content, "\n", -1), lambda ln: text.trim(ln))
     return F.transform(
         F.filter(lines, lambda ln: ln.rlike(pattern)),
         lambda ln: F.struct(
