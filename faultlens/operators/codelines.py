@@ -19,21 +19,20 @@ MAX_CONFIG_BYTES = 512 * 1024
 MAX_LINE_BYTES = 500
 BINARY_PROBE_BYTES = 1024
 
-_MARK = "\x01"
+# Marks put into the text before it is split. NULs of the text itself become _NUL, so that
+# a mark can never be taken for text.
+_BLOCK, _EMPTY, _NUL = "\x00b", "\x00e", "\x00n"
 
-# First branch: a line whose block comment is still open at its end. Second branch: a
-# further line right after such a match (or after another further line). Group 2 takes
-# the line that closes the comment, without its line end, which stops the chain.
-_BLOCK_LINES = (
-    r"((?:(?:\A|(?<=\n))[^\n]*/\*(?!/)(?:[^*\n]|\*(?!/))*+|\G(?<=\n)[^\n]*+)\n)([^\n]*\*/[^\n]*+)?"
-)
+# A block comment still open at the end of its line, or a further line right after such a
+# match (or after another further line). Group 2 takes the line that closes the comment,
+# without its line end, which stops the chain. Both branches fail at once on most characters.
+_BLOCK_LINES = r"((?:/\*(?!/)(?:[^*\n]|\*(?!/))*+|\G(?<=\n)[^\n]*+)\n)([^\n]*\*/[^\n]*+)?"
 
-# Start of a line that ends in its first "{" and whose next line with content, comments
-# skipped, is a lone "}".
+# A "{" at the end of a line after which the next line with content, comments skipped, is
+# a lone "}".
 _B = f"[{BLANK_IN_LINE}]*+"
 _EMPTY_BODY = (
-    r"(?:\A|(?<=\n))(?=[^{\n]*+\{" + _B + r"\n"
-    r"(?:" + _B + r"(?:(?://|#|\*|/\*|<!--)[^\n]*+)?\n)*+" + _B + r"\}" + _B + r"(?:\n|\z))"
+    r"(\{" + _B + r")(?=\n(?:" + _B + r"(?:(?://|#|\*|/\*|<!--)[^\n]*+)?\n)*+" + _B + r"\}" + _B + r"(?:\n|\z))"
 )
 
 
@@ -115,42 +114,40 @@ def normalised_body(content: Column) -> Column:
     return F.replace(content, F.lit("\r\n"), F.lit("\n"))
 
 
-def _marks(body: Column, wanted: Column, pattern: str, replacement: str) -> Column:
-    """Lines of a copy of the body, each flagged line starting with the mark."""
-    clean = F.translate(body, _MARK, " ")
-    return F.when(
-        wanted, F.split(F.regexp_replace(clean, pattern, replacement), "\n", -1)
-    ).otherwise(F.array().cast("array<string>"))
-
-
 def source_lines(files: DataFrame) -> DataFrame:
-    """``(project, path, ext, line_no, line, in_block, empty_body)`` of readable code files.
+    """``(project, path, ext, benign_path, line_no, line, in_block, empty_body)`` of readable
+    code files.
 
     ``in_block``: the line lies inside a block comment opened above it.
-    ``empty_body``: the block opened at the end of this line has no content.
+    ``empty_body``: the block opened by a "{" at the end of this line has no content.
+    ``benign_path``: the file is a place where credential-like text is expected.
     """
     texts = readable_text(files).select(
         "project",
         "path",
         paths.extension(F.col("path")).alias("ext"),
-        normalised_body(F.col("content")).alias("body"),
+        paths.benign_secret_path(F.col("path")).alias("benign_path"),
+        F.replace(normalised_body(F.col("content")), F.lit("\x00"), F.lit(_NUL)).alias("body"),
     )
     body, ext = F.col("body"), F.col("ext")
     may_catch = ext.isin(".php", ".js", ".ts", ".java") & body.rlike("(?i)catch")
-    zipped = F.arrays_zip(
-        F.split(body, "\n", -1).alias("text"),
-        _marks(body, body.contains("/*"), _BLOCK_LINES, "$1" + _MARK + "$2").alias("block"),
-        _marks(body, may_catch, _EMPTY_BODY, _MARK).alias("empty"),
+    with_blocks = F.when(
+        body.contains("/*"), F.regexp_replace(body, _BLOCK_LINES, "$1" + _BLOCK + "$2")
+    ).otherwise(body)
+    marked = F.when(may_catch, F.regexp_replace(with_blocks, _EMPTY_BODY, "$1" + _EMPTY)).otherwise(
+        with_blocks
     )
-    mark = F.lit(_MARK)
-    return texts.select("project", "path", "ext", F.posexplode(zipped).alias("pos", "row")).select(
-        "project",
-        "path",
-        "ext",
+    kept = ("project", "path", "ext", "benign_path")
+    rows = texts.select(*kept, F.posexplode(F.split(marked, "\n", -1)).alias("pos", "raw"))
+    raw = F.col("raw")
+    plain = F.replace(F.replace(raw, F.lit(_BLOCK), F.lit("")), F.lit(_EMPTY), F.lit(""))
+    plain = F.replace(plain, F.lit(_NUL), F.lit("\x00"))
+    return rows.select(
+        *kept,
         (F.col("pos") + 1).alias("line_no"),
-        F.col("row.text").alias("line"),
-        F.coalesce(F.startswith(F.col("row.block"), mark), F.lit(False)).alias("in_block"),
-        F.coalesce(F.startswith(F.col("row.empty"), mark), F.lit(False)).alias("empty_body"),
+        F.when(raw.contains("\x00"), plain).otherwise(raw).alias("line"),
+        raw.startswith(_BLOCK).alias("in_block"),
+        raw.endswith(_EMPTY).alias("empty_body"),
     )
 
 

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.functions import paths, text
+from faultlens.functions import text
 from faultlens.operators import codelines
 from faultlens.operators import rulebook as rb
 from faultlens.schemas import FINDING_COLUMNS
 
 _NONE = -1
+STAGE_SIZE = 14
 PHASE_CODE, PHASE_CATCH, PHASE_CONFIG, PHASE_EXTERNAL = 0, 1, 2, 3
 
 
@@ -22,7 +25,10 @@ def _gated(rule: rb.Rule, lower: Column, code: Column) -> Column:
 
 def is_placeholder(value: Column) -> Column:
     """A literal that is no real secret: short, spaced, interpolated or an example."""
-    t = F.lower(text.trim(value))
+    return _is_placeholder(F.lower(text.trim(value)))
+
+
+def _is_placeholder(t: Column) -> Column:
     return (
         (F.octet_length(t) < 4)
         | t.rlike("[ \t\n]")
@@ -39,20 +45,17 @@ def _token_condition(rule: rb.Rule) -> Column:
     return hit
 
 
-def _credential_condition() -> Column:
-    rule = rb.CREDENTIAL_RULE
-    pattern = "(?d)" + text.ascii_words(rule.pattern)
-    line = F.col("line")
-    any_token = _token_condition(rb.TOKEN_RULES[0])
-    for token in rb.TOKEN_RULES[1:]:
-        any_token = any_token | _token_condition(token)
-    return (
-        ~F.col("benign_path")
-        & text.contains_any(F.col("lower"), rule.gates)
-        & line.rlike(pattern)
-        & ~is_placeholder(F.regexp_extract(line, pattern, 2))
-        & ~any_token
-    )
+def _with_credential_value(lines: DataFrame) -> DataFrame:
+    """Add the literal of a line's credential assignment, null where none counts.
+
+    Lines with a token and places of benign literals do not count.
+    """
+    pattern = "(?d)" + text.ascii_words(rb.CREDENTIAL_RULE.pattern)
+    line, gated = F.col("line"), text.contains_any(F.col("lower"), rb.CREDENTIAL_RULE.gates)
+    any_token = reduce(or_, [_token_condition(t) for t in rb.TOKEN_RULES])
+    assigned = F.col("short") & ~F.col("benign_path") & gated & line.rlike(pattern) & ~any_token
+    value = F.when(assigned, F.regexp_extract(line, pattern, 2))
+    return _staged(lines, credential=value)
 
 
 def _raw_sql_condition() -> Column:
@@ -84,7 +87,7 @@ def _empty_catch_condition() -> Column:
         & F.lower(line).contains("catch")
         & text.matches(line, rb.EMPTY_CATCH_RULE.pattern)
         & line.contains("{")
-        & ((rest == "}") | F.col("empty_body"))
+        & ((rest == "}") | ((rest == "") & F.col("empty_body")))
     )
 
 
@@ -93,7 +96,7 @@ def _condition(rule: rb.Rule) -> Column:
     if rule.rule_id == "SEC_TOKEN":
         return short & _token_condition(rule)
     if rule.rule_id == "SEC_HARDCODED_CREDENTIAL":
-        return short & _credential_condition()
+        return F.col("credential").isNotNull() & ~F.col("placeholder")
     if rule.rule_id == "ERR_EMPTY_CATCH":
         return _empty_catch_condition()
     on_code = short & F.col("is_code")
@@ -126,29 +129,54 @@ def annotated_lines(files: DataFrame) -> DataFrame:
         "*",
         F.lower(F.col("code")).alias("code_lower"),
         text.is_comment(F.col("code")).alias("code_comment"),
-        paths.benign_secret_path(F.col("path")).alias("benign_path"),
     )
 
 
-def _hits(rules: Sequence[rb.Rule]) -> Column:
-    """Numbers of the rules that fire on a line.
+def _stages(rules: Sequence[rb.Rule]) -> list[dict[tuple[str, ...], list[rb.Rule]]]:
+    """Rules in stages of limited size, within a stage by their set of extensions."""
+    ordered = sorted(rules, key=lambda r: r.exts)
+    stages = []
+    for i in range(0, len(ordered), STAGE_SIZE):
+        by_exts: dict[tuple[str, ...], list[rb.Rule]] = {}
+        for rule in ordered[i : i + STAGE_SIZE]:
+            by_exts.setdefault(rule.exts, []).append(rule)
+        stages.append(by_exts)
+    return stages
 
-    Rules are bundled by their set of extensions, so that a line is only tested
-    against the rules of its own language.
-    """
-    bundles: dict[tuple[str, ...], list[rb.Rule]] = {}
-    for rule in rules:
-        bundles.setdefault(rule.exts, []).append(rule)
+
+def _found(by_exts: dict[tuple[str, ...], list[rb.Rule]]) -> Column:
+    """Numbers of a stage's rules that fire; only the line's own language is tested."""
+    none = F.array().cast("array<int>")
     arrays = []
-    for exts, members in bundles.items():
+    for exts, members in by_exts.items():
         tests = F.array(*[F.when(_condition(r), F.lit(r.number)).otherwise(F.lit(_NONE)) for r in members])
         found = F.array_remove(tests, F.lit(_NONE))
-        if exts:
-            found = F.when(F.col("ext").isin(*exts), found).otherwise(F.array().cast("array<int>"))
-        arrays.append(found)
+        arrays.append(F.when(F.col("ext").isin(*exts), found).otherwise(none) if exts else found)
     return arrays[0] if len(arrays) == 1 else F.concat(*arrays)
 
 
+def _staged(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns in an operator of their own: computed once, and one generated method."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def with_hits(lines: DataFrame, rules: Sequence[rb.Rule]) -> DataFrame:
+    """One row per line and rule that fires on it, with the rule's ``number``.
+
+    A line is only tested against the rules of its own language. The rules run in a
+    few stages, as the JVM leaves generated methods beyond 8000 bytes uncompiled.
+    """
+    if rb.CREDENTIAL_RULE in rules:
+        lines = _with_credential_value(lines)
+        lines = _staged(lines, bare=F.lower(text.trim(F.col("credential"))))
+        lines = _staged(lines, placeholder=F.coalesce(_is_placeholder(F.col("bare")), F.lit(False)))
+    names = []
+    for i, by_exts in enumerate(_stages(rules)):
+        names.append(f"_hits{i}")
+        lines = _staged(lines, **{names[-1]: _found(by_exts)})
+    return lines.select("*", F.explode(F.concat(*names)).alias("number"))
+
+
 def code_findings(files: DataFrame, rules: Sequence[rb.Rule] | None = None) -> DataFrame:
     """Findings of the code rules on files already restricted by ``codelines``.
 
@@ -156,13 +184,8 @@ def code_findings(files: DataFrame, rules: Sequence[rb.Rule] | None = None) -> D
     small fixed rule table; nothing is shuffled.
     """
     rules = list(rb.CODE_RULES if rules is None else rules)
-    hit = annotated_lines(files).select(
-        "project",
-        "path",
-        "line_no",
-        "line",
-        "code",
-        F.explode(_hits(rules)).alias("number"),
+    hit = with_hits(annotated_lines(files), rules).select(
+        "project", "path", "line_no", "line", "code", "number"
     )
     raw_text_rules = [r.number for r in (*rb.TOKEN_RULES, rb.CREDENTIAL_RULE, rb.EMPTY_CATCH_RULE)]
     shown = F.when(F.col("number").isin(*raw_text_rules), F.col("line")).otherwise(F.col("code"))

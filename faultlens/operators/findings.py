@@ -88,42 +88,67 @@ def suppress_known(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     return marked.join(baseline, ["project", "fingerprint"], "left_anti").drop("fingerprint")
 
 
+def _lines_between(first: Column, last: Column) -> Column:
+    none = F.array().cast("array<int>")
+    return F.when(first <= last, F.sequence(first, last)).otherwise(none)
+
+
+def _bucket(line: Column) -> Column:
+    return F.floor(line / LINE_BUCKET).cast("int")
+
+
+def changed_keys(changed_ranges: DataFrame) -> DataFrame:
+    """Ranges as distinct ``(project, file, bucket, at)``: at most one row per line of a
+    bucket, plus ``at = -1`` for a bucket that one range covers whole."""
+    start, end = F.col("start"), F.col("end")
+    first_full = F.ceil(start / LINE_BUCKET).cast("int")
+    last_full = (F.floor((end + 1) / LINE_BUCKET) - 1).cast("int")
+    has_full = first_full <= last_full
+    edges = F.when(
+        has_full,
+        F.concat(
+            _lines_between(start, first_full * LINE_BUCKET - 1),
+            _lines_between((last_full + 1) * LINE_BUCKET, end),
+        ),
+    ).otherwise(_lines_between(start, end))
+    keys = F.concat(
+        F.transform(
+            edges,
+            lambda n: F.struct(_bucket(n).alias("bucket"), n.alias("at")),
+        ),
+        F.transform(
+            _lines_between(first_full, last_full),
+            lambda n: F.struct(n.alias("bucket"), F.lit(-1).alias("at")),
+        ),
+    )
+    return changed_ranges.select("project", "file", F.inline(keys)).distinct()
+
+
 def on_changed_lines(findings: DataFrame, changed_files: DataFrame, changed_ranges: DataFrame) -> DataFrame:
     """Keep findings on changed lines.
 
     ``changed_files(project, file, all)`` has one row per file, ``changed_ranges(project,
-    file, start, end)`` holds inclusive ranges. Ranges are cut into buckets of lines, so a
-    finding only meets the ranges near its own line, also in a file with very many of both.
+    file, start, end)`` holds inclusive ranges. A finding is looked up in the bucket of
+    its line, where it meets at most one key per line: the work does not grow with the
+    product of a file's findings and ranges.
     """
-    bucket_of = F.when(F.col("all") | (F.col("line") <= 0), F.lit(-1)).otherwise(
-        F.floor(F.col("line") / LINE_BUCKET).cast("int")
-    )
+    whole_file = F.col("all") | (F.col("line") <= 0)
     located = (
         findings.withColumn("_file", paths.normalise(F.col("file")))
         .join(changed_files.withColumnRenamed("file", "_file"), ["project", "_file"])
-        .withColumn("_bucket", bucket_of)
+        .withColumn("_bucket", F.when(whole_file, F.lit(-1)).otherwise(_bucket(F.col("line"))))
     )
     whole = changed_files.select(
-        "project",
-        F.col("file").alias("_file"),
-        F.lit(-1).alias("_bucket"),
-        F.lit(-(2**31)).cast("int").alias("_start"),
-        F.lit(2**31 - 1).cast("int").alias("_end"),
-    )
-    cut = F.sequence(
-        F.floor(F.col("start") / LINE_BUCKET).cast("int"), F.floor(F.col("end") / LINE_BUCKET).cast("int")
+        "project", "file", F.lit(-1).alias("bucket"), F.lit(-1).alias("at")
     )
-    ranges = changed_ranges.select(
-        "project",
-        F.col("file").alias("_file"),
-        F.explode(cut).alias("_bucket"),
-        F.col("start").alias("_start"),
-        F.col("end").alias("_end"),
+    wanted = whole.unionByName(changed_keys(changed_ranges)).toDF("_p", "_f", "_b", "_at")
+    on = (
+        (F.col("project") == F.col("_p"))
+        & (F.col("_file") == F.col("_f"))
+        & (F.col("_bucket") == F.col("_b"))
+        & ((F.col("_at") == -1) | (F.col("_at") == F.col("line")))
     )
-    wanted = whole.unionByName(ranges)
-    on = [located[c] == wanted[c] for c in ("project", "_file", "_bucket")]
-    inside = located["line"].between(wanted["_start"], wanted["_end"])
-    return located.join(wanted, [*on, inside], "left_semi").select(*findings.columns)
+    return located.join(wanted, on, "left_semi").select(*findings.columns)
 
 
 def by_severity(findings: DataFrame, by: Sequence[str] = ("project",)) -> DataFrame:

@@ -130,7 +130,7 @@ def report_counters(findings: DataFrame) -> DataFrame:
         F.count_if(F.col("severity").isin("Critical", "High")).alias("critical_and_high"),
         F.count_if(F.col("category") == "Security").alias("security_findings"),
         F.count_if(F.col("category") == "Performance").alias("performance_findings"),
-        F.array_sort(F.collect_set("category")).alias("categories"),
+        F.sort_array(F.collect_set("category")).alias("categories"),
     )
 
 

@@ -79,7 +79,7 @@ def markers(files: DataFrame) -> DataFrame:
         .select("project", paths.marker_label(paths.basename(F.col("path"))).alias("label"))
         .where(F.col("label").isNotNull())
         .groupBy("project")
-        .agg(F.array_sort(F.collect_set("label")).alias("markers"))
+        .agg(F.sort_array(F.collect_set("label")).alias("markers"))
     )
 
 

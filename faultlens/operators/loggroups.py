@@ -15,15 +15,17 @@ MAX_OTHER_GROUPS = 10
 def parsed_lines(lines: DataFrame) -> DataFrame:
     """Non-blank lines with ``level, ts, message``; ``level`` is null when none is found.
 
-    ``lines`` holds at least ``source_file, line_order, value``.
+    ``lines`` holds at least ``source_file, line_order, value``. The parsed fields come
+    out of a generator, which keeps later filters on them from parsing the line again.
     """
     trimmed = lines.withColumn("value", text.trim(F.col("value"))).where(F.col("value") != "")
-    parsed = trimmed.withColumn("_p", logtext.parse_line(F.col("value")))
-    return parsed.select(*trimmed.columns, "_p.level", "_p.ts", "_p.message")
+    none = F.struct(*[F.lit(None).cast("string").alias(c) for c in ("level", "ts", "message")])
+    parsed = F.coalesce(logtext.parse_line(F.col("value")), none)
+    return trimmed.select(*trimmed.columns, F.inline(F.array(parsed)))
 
 
 def error_lines(lines: DataFrame) -> DataFrame:
-    """Lines whose level counts as a problem, with signature, category and cause."""
+    """Lines whose level counts as a problem, with signature and category."""
     message = F.col("message")
     return (
         parsed_lines(lines)

@@ -337,7 +337,7 @@ def technologies(files: DataFrame) -> DataFrame:
         "project", "t.*"
     )
     merged = rows.groupBy("project", "concern", "name").agg(
-        F.array_sort(F.collect_list(F.struct("ord", "evidence"))).alias("_e"),
+        F.sort_array(F.collect_list(F.struct("ord", "evidence"))).alias("_e"),
         F.min_by("confidence", "ord").alias("confidence"),
         F.min_by("version", F.when(F.col("version") != "", F.col("ord"))).alias("version"),
         F.min("ord").alias("ord"),
@@ -359,6 +359,6 @@ def stack_names(tech: DataFrame, concerns: tuple[str, ...] = CONCERNS) -> DataFr
     return (
         tech.where(F.col("concern").isin(*concerns))
         .groupBy("project")
-        .agg(F.array_sort(F.collect_list(F.struct(position.alias("c"), "ord", "name"))).alias("_n"))
+        .agg(F.sort_array(F.collect_list(F.struct(position.alias("c"), "ord", "name"))).alias("_n"))
         .select("project", F.transform("_n", lambda n: n["name"]).alias("names"))
     )

@@ -547,7 +547,7 @@ register(
 
 def summaries(spark: SparkSession, d: str) -> DataFrame:
     listed = problems(spark, d)
-    stack = listed.groupBy("project").agg(F.array_sort(F.collect_set("source")).alias("names"))
+    stack = listed.groupBy("project").agg(F.sort_array(F.collect_set("source")).alias("names"))
     return insights.local_summary(listed, stack)
 
 

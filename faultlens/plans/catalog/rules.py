@@ -254,7 +254,7 @@ register(
 register(
     "w_2_empty_catch_lookahead",
     lambda spark, d: codelines.source_lines(code_files(spark, d))
-    .where(F.col("empty_body") & F.col("line").contains("catch"))
+    .where(F.col("empty_body") & F.col("line").contains("catch") & F.col("line").rlike(r"^[^{]*\{\s*$"))
     .select("project", "path", F.col("line_no").cast("long").alias("line_no")),
     sql(
         r"""SELECT project, path, line_no FROM masked_lines

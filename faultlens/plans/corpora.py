@@ -185,9 +185,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(wanted) if len(df.inputFiles()) < wanted else df
 
 
+def as_table(df: DataFrame) -> DataFrame:
+    """Keep the derivation apart from what reads it, as a stored table would.
+
+    Without the generator the optimizer would inline the text expressions into every
+    filter and function of the operator under test.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def pick(items: list[str], index: Column) -> Column:
-    """``items[index % len]``."""
-    chosen = F.array(*[F.lit(i) for i in items])
+    """``items[index % len]``; the items are one literal that is split once, at planning."""
+    chosen = F.split(F.lit("\x1e".join(items)), "\x1e", -1)
     return F.element_at(chosen, (index % len(items) + 1).cast("int"))
 
 
@@ -235,12 +244,14 @@ def log_line_columns(events: DataFrame) -> DataFrame:
     value = F.when(e % 5 < 2, dashed).when(e % 5 < 4, bracketed).otherwise(other)
     indented = F.when(e % 13 == 0, F.concat(F.lit("  "), value, F.lit(" \r"))).otherwise(value)
     project = skewed_project(F.col("user_id"), 17)
-    return events.select(
-        project.alias("project"),
-        F.concat(project, F.lit("/app-"), (e % 5).cast("string"), F.lit(".log")).alias("source_file"),
-        e.alias("line_order"),
-        indented.alias("value"),
-        "ts",
+    return as_table(
+        events.select(
+            project.alias("project"),
+            F.concat(project, F.lit("/app-"), (e % 5).cast("string"), F.lit(".log")).alias("source_file"),
+            e.alias("line_order"),
+            indented.alias("value"),
+            "ts",
+        )
     )
 
 
@@ -273,8 +284,10 @@ def runtime_line_columns(events: DataFrame) -> DataFrame:
         .when(e % 79 == 2, F.concat(F.lit("{"), stamp, F.lit('"type": 5, '), message, file, tail, line))
         .otherwise(F.concat(F.lit("{"), stamp, kind, message, file, tail, line))
     )
-    return events.select(
-        skewed_project(F.col("user_id"), 17).alias("project"), e.alias("event_order"), value.alias("value")
+    return as_table(
+        events.select(
+            skewed_project(F.col("user_id"), 17).alias("project"), e.alias("event_order"), value.alias("value")
+        )
     )
 
 
@@ -301,12 +314,14 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # Every second block of orders holds a framework core that hides its system files.
     path = F.when((o % 97 == 0) & (block % 2 == 0), F.concat(module, F.lit("system/core/CodeIgniter.php"))).otherwise(file)
-    return orders.select(
-        skewed_project(block, 41).alias("project"),
-        path.alias("path"),
-        F.lit(False).alias("is_dir"),
-        F.when(o % 401 == 0, F.lit(3_000_000)).otherwise(F.octet_length(content)).cast("long").alias("size"),
-        content.alias("content"),
+    return as_table(
+        orders.select(
+            skewed_project(block, 41).alias("project"),
+            path.alias("path"),
+            F.lit(False).alias("is_dir"),
+            F.when(o % 401 == 0, F.lit(3_000_000)).otherwise(F.octet_length(content)).cast("long").alias("size"),
+            content.alias("content"),
+        )
     )
 
 
@@ -321,12 +336,14 @@ def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     head = F.when(name == "pod.yaml", F.lit("apiVersion: v1\nkind: Pod\n")).otherwise(F.lit(""))
     content = F.concat(head, F.array_join(lines, "\n"))
-    return parts.select(
-        skewed_project(p, 29).alias("project"),
-        F.concat(F.lit("svc"), p.cast("string"), F.lit("/"), name).alias("path"),
-        F.lit(False).alias("is_dir"),
-        F.when(p % 211 == 0, F.lit(600_000)).otherwise(F.octet_length(content)).cast("long").alias("size"),
-        content.alias("content"),
+    return as_table(
+        parts.select(
+            skewed_project(p, 29).alias("project"),
+            F.concat(F.lit("svc"), p.cast("string"), F.lit("/"), name).alias("path"),
+            F.lit(False).alias("is_dir"),
+            F.when(p % 211 == 0, F.lit(600_000)).otherwise(F.octet_length(content)).cast("long").alias("size"),
+            content.alias("content"),
+        )
     )
 
 
@@ -489,16 +506,18 @@ def scanner_reports(spark: SparkSession, sf_dir: str, engine: str) -> DataFrame:
     """One report document per customer."""
     customers = table(spark, sf_dir, "customer").select("c_custkey")
     c = F.col("c_custkey")
-    return customers.select(
-        F.concat(F.lit("c"), c.cast("string")).alias("project"),
-        F.lit("/srv/app").alias("root"),
-        fill(
-            F.lit(REPORT_TEMPLATES[engine]),
-            n=c,
-            d=c % 10,
-            s=pick(REPORT_SEVERITIES, c),
-            c=pick(REPORT_CATEGORIES, c),
-        ).alias("payload"),
+    return as_table(
+        customers.select(
+            F.concat(F.lit("c"), c.cast("string")).alias("project"),
+            F.lit("/srv/app").alias("root"),
+            fill(
+                F.lit(REPORT_TEMPLATES[engine]),
+                n=c,
+                d=c % 10,
+                s=pick(REPORT_SEVERITIES, c),
+                c=pick(REPORT_CATEGORIES, c),
+            ).alias("payload"),
+        )
     )
 
 

@@ -35,10 +35,14 @@ def paged(findings: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     )
 
 
+def _values(keyed: Column) -> Column:
+    """Values of ``array<struct<k, v>>`` in key order."""
+    return F.transform(F.sort_array(keyed), lambda x: x["v"])
+
+
 def _ordered(struct: Column) -> Column:
     """The page's structs in finding order."""
-    collected = F.array_sort(F.collect_list(F.struct(order_key().alias("k"), struct.alias("v"))))
-    return F.transform(collected, lambda x: x["v"])
+    return _values(F.collect_list(F.struct(order_key().alias("k"), struct.alias("v"))))
 
 
 def json_documents(findings: DataFrame, summary: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
@@ -114,15 +118,6 @@ def sarif_documents(
             severity.sarif_security_severity(F.col("severity")).alias("security-severity"),
         ).alias("properties"),
     )
-    first = rows.groupBy("project", "page", "rule_id").agg(
-        F.min_by(rule, order_key()).alias("rule"), F.min(order_key()).alias("_first")
-    )
-    rules = first.groupBy("project", "page").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct(F.col("_first").alias("k"), F.col("rule").alias("v")))),
-            lambda x: x["v"],
-        ).alias("rules")
-    )
     region = F.when(F.col("line") > 0, F.struct(F.col("line").alias("startLine")))
     result = F.struct(
         F.col("rule_id").alias("ruleId"),
@@ -137,7 +132,16 @@ def sarif_documents(
             )
         ).alias("locations"),
     )
-    results = rows.groupBy("project", "page").agg(_ordered(result).alias("results"))
+    # Per rule first, then per page: one pass over the findings gives rules and results.
+    by_rule = rows.groupBy("project", "page", "rule_id").agg(
+        F.min_by(rule, order_key()).alias("_rule"),
+        F.min(order_key()).alias("_first"),
+        F.collect_list(F.struct(order_key().alias("k"), result.alias("v"))).alias("_results"),
+    )
+    pages = by_rule.groupBy("project", "page").agg(
+        _values(F.collect_list(F.struct(F.col("_first").alias("k"), F.col("_rule").alias("v")))).alias("rules"),
+        _values(F.flatten(F.collect_list("_results"))).alias("results"),
+    )
     driver = F.struct(F.lit(tool_name).alias("name"), F.lit(__version__).alias("version"), "rules")
     doc = F.struct(
         F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"),
@@ -146,7 +150,7 @@ def sarif_documents(
             F.struct(F.struct(driver.alias("driver")).alias("tool"), F.col("results"))
         ).alias("runs"),
     )
-    return results.join(rules, ["project", "page"]).select("project", "page", F.to_json(doc).alias("document"))
+    return pages.select("project", "page", F.to_json(doc).alias("document"))
 
 
 def attestations(
@@ -163,7 +167,7 @@ def attestations(
     """
     counts = findings.groupBy("project", "severity").agg(F.count("*").alias("n"))
     per_project = counts.groupBy("project").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("severity", "n")))).alias("findings"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("severity", "n")))).alias("findings"),
         F.sum("n").alias("total_findings"),
     )
     base = projects.select("project").join(per_project, "project", "left")
@@ -196,7 +200,7 @@ def notification_rows(findings: DataFrame, summary: DataFrame) -> DataFrame:
     top = grouping.top_finding_lines(findings)
     lines = top.groupBy("project").agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]
+            F.sort_array(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]
         ).alias("top_issues")
     )
     return summary.join(lines, "project", "left").select(

@@ -234,12 +234,11 @@ def eslint_findings(reports: DataFrame) -> DataFrame:
 def phpstan_findings(reports: DataFrame) -> DataFrame:
     """Files of a report are taken in path order, so that the cap is deterministic."""
     doc = F.from_json(_from_first(F.col("payload"), "{"), PHPSTAN)
-    files = F.array_sort(
+    files = F.sort_array(
         F.transform(
             F.map_entries(doc["files"]),
             lambda e: F.struct(e["key"].alias("path"), e["value"]["messages"].alias("messages")),
-        ),
-        lambda a, b: F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).otherwise(0),
+        )
     )
     rule = F.coalesce(F.nullif(F.col("r.m.identifier"), F.lit("")), F.lit("error"))
     return _findings(
