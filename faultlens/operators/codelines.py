@@ -131,12 +131,11 @@ def source_lines(files: DataFrame) -> DataFrame:
     )
     body, ext = F.col("body"), F.col("ext")
     may_catch = ext.isin(".php", ".js", ".ts", ".java") & body.rlike("(?i)catch")
-    with_blocks = F.when(
-        body.contains("/*"), F.regexp_replace(body, _BLOCK_LINES, "$1" + _BLOCK + "$2")
-    ).otherwise(body)
-    marked = F.when(may_catch, F.regexp_replace(with_blocks, _EMPTY_BODY, "$1" + _EMPTY)).otherwise(
-        with_blocks
-    )
+    # The look-ahead first: it must not see the other marks.
+    with_empty = F.when(may_catch, F.regexp_replace(body, _EMPTY_BODY, "$1" + _EMPTY)).otherwise(body)
+    marked = F.when(
+        body.contains("/*"), F.regexp_replace(with_empty, _BLOCK_LINES, "$1" + _BLOCK + "$2")
+    ).otherwise(with_empty)
     kept = ("project", "path", "ext", "benign_path")
     rows = texts.select(*kept, F.posexplode(F.split(marked, "\n", -1)).alias("pos", "raw"))
     raw = F.col("raw")
