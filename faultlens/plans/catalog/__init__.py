@@ -20,4 +20,5 @@ def register(name: str, query: Query, oracle: str | None = None) -> None:
 
 def load() -> None:
     """Fill the registry."""
-    from faultlens.plans.catalog import files, findings, ingest, logs, rules, tech  # noqa: F401
+    from faultlens.plans.catalog import files, findings, ingest, logs, rules, tech  # noqa: F401, I001
+    from faultlens.plans.catalog import combined  # noqa: F401

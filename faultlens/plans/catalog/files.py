@@ -211,12 +211,6 @@ register(
 )
 
 
-def whole_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Every rule over every file, scored per project; no SQL counterpart of its own."""
-    return project_scan.scan(every_file(spark, d)).summary
-
-
-register("a_8_whole_scan_summary", whole_scan)
 register(
     "a_7_config_files_by_kind",
     lambda spark, d: configscan.config_files(corpora.config_files(spark, d)).groupBy("project", "kind").agg(F.count("*").alias("n")),

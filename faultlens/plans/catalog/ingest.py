@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.operators import findings as fo
 from faultlens.plans import corpora
 from faultlens.plans.catalog import register
 from faultlens.plans.corpora_sql import define, sql
@@ -158,9 +157,3 @@ register(
         "manifest_files",
     ),
 )
-register(
-    "u_1_merge_all_engines",
-    lambda spark, d: fo.merge(*[f(corpora.scanner_reports(spark, d, e)) for e, f in scanners.ENGINES.items()])
-    .groupBy("severity", "category")
-    .agg(F.count("*").alias("n")),
-)

@@ -22,7 +22,10 @@ def static_findings(files: DataFrame) -> DataFrame:
 
     On a table partitioned by unit each of the three branches scans its own partitions.
     """
-    rows = analysed(files)
+    return _static_findings(analysed(files))
+
+
+def _static_findings(rows: DataFrame) -> DataFrame:
     return fo.merge(
         detect.code_findings(codelines.code_files(rows)),
         manifests.manifest_findings(rows),
@@ -35,7 +38,10 @@ def files_scanned(files: DataFrame) -> DataFrame:
 
     Counted by path and kind alone, for every project that has a file at all.
     """
-    rows = analysed(files)
+    return _files_scanned(files, analysed(files))
+
+
+def _files_scanned(files: DataFrame, rows: DataFrame) -> DataFrame:
     code = codelines.code_files(rows).groupBy("project").agg(F.count("*").alias("n"))
     config = configscan.config_files(rows).groupBy("project").agg(F.count("*").alias("n"))
     seen = files.select("project").distinct().withColumn("n", F.lit(0).cast("long"))
@@ -92,11 +98,12 @@ def scan(
 ) -> ScanResult:
     """Run the scan lazily. Write ``findings`` once when several results are wanted."""
     options = options or ScanOptions()
-    parts = [static_findings(files), *external]
+    rows = analysed(files)
+    parts = [_static_findings(rows), *external]
     if deps is not None and advisories is not None:
         parts.append(dependencies.dependency_findings(deps, advisories))
     found = apply_options(fo.enrich(fo.merge(*parts)), options)
-    scanned = files_scanned(files)
+    scanned = _files_scanned(files, rows)
     return ScanResult(
         findings=found,
         files_scanned=scanned,
