@@ -37,7 +37,12 @@ def paged(findings: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
 
 def _values(keyed: Column) -> Column:
     """Values of ``array<struct<k, v>>`` in key order."""
-    return F.transform(F.sort_array(keyed), lambda x: x["v"])
+    return F.sort_array(keyed)["v"]
+
+
+def _joined(keyed: Column) -> Column:
+    """JSON texts of ``array<struct<k, v>>`` in key order as the inside of a JSON list."""
+    return F.array_join(F.sort_array(keyed)["v"], ",")
 
 
 def _ordered(struct: Column) -> Column:
@@ -100,24 +105,6 @@ def sarif_documents(
 ) -> DataFrame:
     """``(project, page, document)`` in SARIF 2.1.0; ``findings`` are enriched."""
     rows = paged(findings, page_size)
-    tags = F.array_compact(
-        F.array(
-            F.col("category"),
-            _omit_empty(F.col("cwe")),
-            F.when(F.col("owasp") != "", F.concat(F.lit("OWASP "), F.col("owasp"))),
-        )
-    )
-    rule = F.struct(
-        F.col("rule_id").alias("id"),
-        F.col("title").alias("name"),
-        F.struct(F.col("title").alias("text")).alias("shortDescription"),
-        F.struct(F.col("explanation").alias("text")).alias("fullDescription"),
-        F.struct(F.col("recommendation").alias("text")).alias("help"),
-        F.struct(
-            tags.alias("tags"),
-            severity.sarif_security_severity(F.col("severity")).alias("security-severity"),
-        ).alias("properties"),
-    )
     region = F.when(F.col("line") > 0, F.struct(F.col("line").alias("startLine")))
     result = F.struct(
         F.col("rule_id").alias("ruleId"),
@@ -132,25 +119,47 @@ def sarif_documents(
             )
         ).alias("locations"),
     )
-    # Per rule first, then per page: one pass over the findings gives rules and results.
+    # Results and rules turn into JSON where they are, so that only a sort key and a text
+    # are shuffled. Per rule first, then per page: one pass over the findings gives both.
+    texts = F.struct("severity", "category", "title", "explanation", "recommendation", "cwe", "owasp")
     by_rule = rows.groupBy("project", "page", "rule_id").agg(
-        F.min_by(rule, order_key()).alias("_rule"),
+        F.min_by(texts, order_key()).alias("f"),
         F.min(order_key()).alias("_first"),
-        F.collect_list(F.struct(order_key().alias("k"), result.alias("v"))).alias("_results"),
+        F.collect_list(F.struct(order_key().alias("k"), F.to_json(result).alias("v"))).alias("_results"),
+    )
+    tags = F.array_compact(
+        F.array(
+            F.col("f.category"),
+            _omit_empty(F.col("f.cwe")),
+            F.when(F.col("f.owasp") != "", F.concat(F.lit("OWASP "), F.col("f.owasp"))),
+        )
+    )
+    rule = F.struct(
+        F.col("rule_id").alias("id"),
+        F.col("f.title").alias("name"),
+        F.struct(F.col("f.title").alias("text")).alias("shortDescription"),
+        F.struct(F.col("f.explanation").alias("text")).alias("fullDescription"),
+        F.struct(F.col("f.recommendation").alias("text")).alias("help"),
+        F.struct(
+            tags.alias("tags"),
+            severity.sarif_security_severity(F.col("f.severity")).alias("security-severity"),
+        ).alias("properties"),
     )
     pages = by_rule.groupBy("project", "page").agg(
-        _values(F.collect_list(F.struct(F.col("_first").alias("k"), F.col("_rule").alias("v")))).alias("rules"),
-        _values(F.flatten(F.collect_list("_results"))).alias("results"),
+        _joined(F.collect_list(F.struct(F.col("_first").alias("k"), F.to_json(rule).alias("v")))).alias("rules"),
+        _joined(F.flatten(F.collect_list("_results"))).alias("results"),
     )
-    driver = F.struct(F.lit(tool_name).alias("name"), F.lit(__version__).alias("version"), "rules")
-    doc = F.struct(
-        F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"),
-        F.lit("2.1.0").alias("version"),
-        F.array(
-            F.struct(F.struct(driver.alias("driver")).alias("tool"), F.col("results"))
-        ).alias("runs"),
+    driver = F.to_json(F.struct(F.lit(tool_name).alias("name"), F.lit(__version__).alias("version")))
+    document = F.concat(
+        F.lit('{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":'),
+        F.regexp_replace(driver, r"\}$", ""),
+        F.lit(',"rules":['),
+        F.col("rules"),
+        F.lit(']}},"results":['),
+        F.col("results"),
+        F.lit("]}]}"),
     )
-    return pages.select("project", "page", F.to_json(doc).alias("document"))
+    return pages.select("project", "page", document.alias("document"))
 
 
 def attestations(
