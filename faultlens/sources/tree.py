@@ -7,9 +7,11 @@ listed and read on the executors. Store the result as Parquet and scan that.
 from __future__ import annotations
 
 import os
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ from faultlens.functions import paths
 from faultlens.functions.paths import IGNORED_DIRS
 from faultlens.schemas import FILES
 
+# Executors get these functions by value, so they need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _ENTRY = "project string, root string, path string, is_dir boolean, size long, in_core boolean"
 _COLUMNS = ["project", "root", "path", "is_dir", "size", "in_core"]
 BATCH_BYTES = 16 * 1024 * 1024
