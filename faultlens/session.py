@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -34,10 +32,14 @@ def build_session(app: str = "faultlens", master: str | None = None, **conf: str
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the cluster's shared ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (single-machine tests) does a temporary
-    folder take its place.
+    Executors read what others wrote there, so the setting is required on a cluster.
+    A session whose driver runs all tasks (master ``local[...]``) may do without; there
+    Spark's own local folder takes its place.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    return os.path.join(tempfile.mkdtemp(prefix="faultlens-"), label)
+    if not root:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = spark.conf.get("spark.local.dir", "/tmp").split(",")[0] + "/faultlens"
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
