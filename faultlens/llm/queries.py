@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultlens.llm import decontaminate, fingerprints, licenses, mixing, neardup, secret_scan, sharding, toxicity
+import corpus_pipeline
+from faultlens.llm import (
+    decontaminate,
+    fingerprints,
+    html_text,
+    licenses,
+    mixing,
+    neardup,
+    quality,
+    secret_scan,
+    sharding,
+    toxicity,
+)
 from faultlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +41,14 @@ def op3_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items")
 
 
+def op4_layout_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op5_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_combined_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -53,11 +73,14 @@ QUERIES: dict[str, Query] = {
     "op1_prefix_fingerprints": op1_prefix_fingerprints,
     "op2_pfair_mixture": op2_pfair_mixture,
     "op3_benchmark_windows": op3_benchmark_windows,
+    "op4_layout_rendering": op4_layout_rendering,
+    "op5_random_indexing": op5_random_indexing,
     "op6_combined_automaton": op6_combined_automaton,
     "op7_bayesian_minhash": op7_bayesian_minhash,
     "op8_license_diagonals": op8_license_diagonals,
     "op9_sampled_splitters": op9_sampled_splitters,
     "op10_weighted_lexicon": op10_weighted_lexicon,
+    "pipeline": corpus_pipeline.run,
 }
 
 #: Words of a text, as all SQL counterparts need them.

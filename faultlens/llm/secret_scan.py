@@ -12,14 +12,17 @@ from __future__ import annotations
 import hashlib
 import re._constants as sre
 import re._parser as sre_parser
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
-WORD = "[A-Za-z0-9_]"
+# Executors get these functions by value, so they need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Name, what a match is, and what it must be to count (greedy, ASCII). The
 # first three are the base rules; the order breaks ties between spans of one start.
@@ -321,6 +324,6 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     doc_ids included; texts may be of any length. Further columns are ignored; no input
     gives no rows.
     """
-    # The compiled rules are of fixed size; workers get them once instead of compiling them.
-    rules = docs.sparkSession.sparkContext.broadcast(scanner())
-    return docs.select("doc_id", "text").mapInPandas(lambda batches: _scan_batches(batches, rules.value), OUTPUT)
+    # The compiled rules are of fixed size; they travel with the function.
+    rules = scanner()
+    return docs.select("doc_id", "text").mapInPandas(lambda batches: _scan_batches(batches, rules), OUTPUT)
