@@ -100,7 +100,7 @@ def signature(message: Column) -> Column:
         s, ASCII_BOUNDARY + r"[0-9a-fA-Fx]*[0-9][0-9a-fA-Fx]*" + ASCII_BOUNDARY, "#"
     )
     s = F.regexp_replace(s, r"[\t\n\f\r ]+", " ")
-    return truncate_bytes(F.lower(trim(s)), 120)
+    return F.lower(trim(s))
 
 
 def sample(message: Column) -> Column:

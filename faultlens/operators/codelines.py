@@ -13,10 +13,9 @@ from faultlens.functions import paths
 from faultlens.functions.text import BLANK_IN_LINE, MASKED_START, MASKED_START_HASH
 from faultlens.functions.text import HASH_COMMENT_EXTS
 
-# Size limits in bytes.
-MAX_SOURCE_BYTES = 2 * 1024 * 1024
-MAX_CONFIG_BYTES = 512 * 1024
-MAX_LINE_BYTES = 500
+#: Lines beyond this many bytes are reported as long; they are analysed like all others.
+LONG_LINE_BYTES = 500
+#: A NUL among so many first bytes marks a binary file.
 BINARY_PROBE_BYTES = 1024
 
 # Marks put into the text before it is split. NULs of the text itself become _NUL, so that
@@ -38,14 +37,16 @@ _EMPTY_BODY = (
 
 def is_binary(content: Column) -> Column:
     """A NUL within the first 1024 bytes."""
-    at = F.locate("\x00", content)
-    head = F.substring(content, F.lit(1), at - 1)
-    return (at > 0) & (F.octet_length(head) < BINARY_PROBE_BYTES)
+    # As many characters hold at least as many bytes.
+    probe = F.substring(content, F.lit(1), F.lit(BINARY_PROBE_BYTES))
+    at = F.locate("\x00", probe)
+    return (at > 0) & (F.octet_length(F.substring(probe, F.lit(1), at - 1)) < BINARY_PROBE_BYTES)
 
 
-def readable_text(files: DataFrame, max_bytes: int = MAX_SOURCE_BYTES) -> DataFrame:
-    """Files within the size limit that are not binary."""
-    return files.where((F.col("size") <= max_bytes) & ~is_binary(F.col("content")))
+def readable_text(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Files that are not binary; only those within ``max_bytes``, where a caller sets it."""
+    within = files if max_bytes is None else files.where(F.col("size") <= max_bytes)
+    return within.where(~is_binary(F.col("content")))
 
 
 def core_dirs(files: DataFrame) -> DataFrame:
@@ -61,23 +62,16 @@ def core_dirs(files: DataFrame) -> DataFrame:
     )
 
 
-MAX_BROADCAST_DIRS = 50_000
-
-
 def without_framework_core(files: DataFrame) -> DataFrame:
     """Drop everything below a vendored framework core.
 
-    Tables loaded from trees carry the answer in ``in_core``. Otherwise the core
-    directories are looked up; few of them are broadcast, so the contents stay where they
-    are. Beyond that size only files with a ``system`` directory above them are shuffled.
+    Tables loaded from trees carry the answer in ``in_core``. Otherwise every file with a
+    ``system`` directory above it is looked up by its ancestor directories; no other file
+    is shuffled, and no file meets more directories than lie above it.
     """
     if "in_core" in files.columns:
         return files.where(~F.coalesce(F.col("in_core"), F.lit(False)))
     dirs = core_dirs(files)
-    if dirs.limit(MAX_BROADCAST_DIRS + 1).count() <= MAX_BROADCAST_DIRS:
-        small = F.broadcast(dirs.withColumnRenamed("project", "_project"))
-        below = F.startswith(F.col("path"), F.concat("core_dir", F.lit("/")))
-        return files.join(small, (F.col("project") == F.col("_project")) & below, "left_anti")
     has_system = F.lower(F.concat(F.lit("/"), F.col("path"))).contains("/system/")
     candidates = files.where(has_system)
     hit = (

@@ -15,11 +15,10 @@ from faultlens.schemas import FINDING_COLUMNS
 
 
 def config_files(files: DataFrame) -> DataFrame:
-    """Config files small enough to read, with the kind that selects their rules."""
+    """Config files with the kind that selects their rules."""
     kind = paths.config_kind(F.col("path"), F.col("content"))
     return (
         codelines.unit(files, "config")
-        .where(F.col("size") <= codelines.MAX_CONFIG_BYTES)
         .withColumn("kind", kind)
         .where(F.col("kind").isNotNull())
     )

@@ -53,7 +53,7 @@ def _with_credential_value(lines: DataFrame) -> DataFrame:
     pattern = "(?d)" + text.ascii_words(rb.CREDENTIAL_RULE.pattern)
     line, gated = F.col("line"), text.contains_any(F.col("lower"), rb.CREDENTIAL_RULE.gates)
     any_token = reduce(or_, [_token_condition(t) for t in rb.TOKEN_RULES])
-    assigned = F.col("short") & ~F.col("benign_path") & gated & line.rlike(pattern) & ~any_token
+    assigned = ~F.col("benign_path") & gated & line.rlike(pattern) & ~any_token
     value = F.when(assigned, F.regexp_extract(line, pattern, 2))
     return _staged(lines, credential=value)
 
@@ -92,14 +92,13 @@ def _empty_catch_condition() -> Column:
 
 
 def _condition(rule: rb.Rule) -> Column:
-    short = F.col("short")
     if rule.rule_id == "SEC_TOKEN":
-        return short & _token_condition(rule)
+        return _token_condition(rule)
     if rule.rule_id == "SEC_HARDCODED_CREDENTIAL":
         return F.col("credential").isNotNull() & ~F.col("placeholder")
     if rule.rule_id == "ERR_EMPTY_CATCH":
         return _empty_catch_condition()
-    on_code = short & F.col("is_code")
+    on_code = F.col("is_code")
     if rule.rule_id == "DB_RAW_SQL_CONCAT":
         return on_code & _raw_sql_condition()
     if rule.rule_id == "NPE_NULLABLE_CHAIN":
@@ -116,12 +115,11 @@ def annotated_lines(files: DataFrame) -> DataFrame:
     with_flags = lines.select(
         "*",
         F.lower(line).alias("lower"),
-        (F.octet_length(line) <= codelines.MAX_LINE_BYTES).alias("short"),
         codelines.is_code(line, ext, F.col("in_block")).alias("is_code"),
     )
     with_code = with_flags.select(
         "*",
-        F.when(F.col("is_code") & F.col("short"), text.strip_trailing_comment(line, ext))
+        F.when(F.col("is_code"), text.strip_trailing_comment(line, ext))
         .otherwise(F.lit(""))
         .alias("code"),
     )

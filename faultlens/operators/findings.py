@@ -56,10 +56,12 @@ def merge(*frames: DataFrame) -> DataFrame:
 
 
 def in_scope(findings: DataFrame, categories: Iterable[str] = (), minimum: str = "") -> DataFrame:
-    """Keep chosen categories (none chosen: all) at or above a severity."""
-    least = severity.RANKS.get(minimum.strip().capitalize(), severity.RANKS["Low"])
-    kept = findings.where(severity.rank(F.col("severity")) >= least)
-    chosen = [c for c in categories if c]
+    """Keep chosen categories (none chosen: all) at or above a severity (none given: all)."""
+    kept, minimum = findings, minimum.strip()
+    if minimum:
+        least = severity.RANKS.get(minimum.capitalize(), severity.RANKS["Low"])
+        kept = findings.where(severity.rank(F.col("severity")) >= least)
+    chosen = [c.strip() for c in categories if c.strip()]
     return kept.where(F.col("category").isin(*chosen)) if chosen else kept
 
 

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from faultlens.functions import severity
 from faultlens.operators import errorgroups, grouping, loggroups, remediation
-from faultlens.operators.findings import finding_order
 from faultlens.operators.windows import first_n
 
-# Caps of the lists.
-MAX_STATIC, MAX_PROBLEMS, MAX_INSIGHTS, MAX_PRIORITIES = 20, 40, 12, 5
+# Lengths of the lists.
+MAX_INSIGHTS, MAX_PRIORITIES = 12, 5
 
 _FIELDS = (
     "project", "source", "severity", "category", "title", "location", "detail",
@@ -20,16 +19,24 @@ _FIELDS = (
 
 
 def problem_list(findings: DataFrame, runtime: DataFrame, logs: DataFrame) -> DataFrame:
-    """First 20 findings, then runtime groups, then log groups; 40 per project at most.
+    """All findings, runtime groups and log groups as problems.
 
-    ``findings`` are enriched; runtime and log groups carry ``project``. Each source is
-    cut to its first 40 before the union, as later ones cannot make the list.
+    ``findings`` are enriched; runtime and log groups carry ``project``. ``place`` holds what
+    orders problems of equal rank: the source, then the order within it. Nothing is cut here,
+    so counts and rankings see every problem.
     """
     empty = F.lit("")
-    static = first_n(findings, ["project"], finding_order(), MAX_STATIC).select(
+
+    def place(source: int, *parts: Column) -> Column:
+        """Comparable across sources: numbers and texts, ascending, newest first."""
+        kinds = ("long", "long", "string", "string", "long", "long", "long")
+        return F.struct(
+            F.lit(source).alias("source"), *[p.cast(k).alias(f"k{i}") for i, (p, k) in enumerate(zip(parts, kinds, strict=True))]
+        )
+
+    zero = F.lit(0)
+    static = findings.select(
         "project",
-        F.lit(0).alias("_source"),
-        "_rank",
         F.lit("static").alias("source"),
         "severity",
         "category",
@@ -40,11 +47,11 @@ def problem_list(findings: DataFrame, runtime: DataFrame, logs: DataFrame) -> Da
         empty.alias("cause"),
         "cwe",
         F.lit(0).cast("long").alias("count"),
+        empty.alias("newest"),
+        place(0, -severity.rank(F.col("severity")), zero, F.col("file"), empty, F.col("line"), F.col("phase"), F.col("ord")).alias("place"),
     )
-    errors = first_n(runtime, ["project"], errorgroups.group_order(), MAX_PROBLEMS).select(
+    errors = runtime.select(
         "project",
-        F.lit(1).alias("_source"),
-        "_rank",
         F.lit("runtime").alias("source"),
         severity.from_runtime(F.col("severity")).alias("severity"),
         F.lit("Runtime").alias("category"),
@@ -55,11 +62,11 @@ def problem_list(findings: DataFrame, runtime: DataFrame, logs: DataFrame) -> Da
         empty.alias("cause"),
         empty.alias("cwe"),
         "count",
+        F.col("last_seen").alias("newest"),
+        place(1, zero, zero, F.col("type"), F.col("file"), F.col("line"), zero, zero).alias("place"),
     )
-    lines = first_n(logs, ["project"], loggroups.group_order(), MAX_PROBLEMS).select(
+    lines = logs.select(
         "project",
-        F.lit(2).alias("_source"),
-        "_rank",
         F.lit("log").alias("source"),
         severity.from_log_level(F.col("level")).alias("severity"),
         "category",
@@ -70,11 +77,10 @@ def problem_list(findings: DataFrame, runtime: DataFrame, logs: DataFrame) -> Da
         "cause",
         empty.alias("cwe"),
         "count",
+        empty.alias("newest"),
+        place(2, zero, zero, F.col("signature"), empty, zero, zero, zero).alias("place"),
     )
-    merged = static.unionByName(errors).unionByName(lines)
-    order = [F.col("_source").asc(), F.col("_rank").asc()]
-    top = first_n(merged, ["project"], order, MAX_PROBLEMS, "position")
-    return top.select(*_FIELDS, "position")
+    return static.unionByName(errors).unionByName(lines).select(*_FIELDS, "newest", "place")
 
 
 def problem_text() -> Column:
@@ -121,7 +127,9 @@ def insights(problems: DataFrame, n: int = MAX_INSIGHTS) -> DataFrame:
     order = [
         severity.rank(F.initcap("severity")).desc(),
         F.col("count").desc(),
-        F.col("position").asc(),
+        F.col("place.source").asc(),
+        F.col("newest").desc(),
+        F.col("place").asc(),
     ]
     top = first_n(problems, ["project"], order, n, "insight")
     return remediation.with_remediation(top).select(

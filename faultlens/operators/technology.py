@@ -6,12 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultlens.functions import paths, text
-from faultlens.operators.windows import first_n
 
-# Read limits and the names that are read.
-MAX_MANIFEST_BYTES = 512 * 1024
-MAX_SCAN_FILES = 200
-MAX_SCAN_BYTES = 64 * 1024
+# The names that are read.
 INTERESTING = (
     "composer.json", "package.json", "requirements.txt", "pyproject.toml", "Pipfile", "setup.py",
     "pom.xml", "build.gradle", "build.gradle.kts", "Gemfile", "go.mod", "artisan", "spark",
@@ -76,7 +72,7 @@ def merged_versions(body: Column, schema: str, first: str, second: str) -> Colum
 
 
 def first_manifests(files: DataFrame) -> DataFrame:
-    """First file of every interesting name in walk order, with its capped content.
+    """First file of every interesting name in walk order, with its content.
 
     Paths alone decide; only the winners' contents are then fetched.
     """
@@ -88,25 +84,17 @@ def first_manifests(files: DataFrame) -> DataFrame:
         F.array_join(F.min(paths.parts(F.col("path"))), "/").alias("path")
     )
     return named.join(winners, ["project", "name", "path"], "left_semi").select(
-        "project", "name", "path", F.substring("content", 1, MAX_MANIFEST_BYTES).alias("content")
+        "project", "name", "path", "content"
     )
 
 
-def first_scanned(files: DataFrame, exts: tuple[str, ...]) -> DataFrame:
-    """The first 200 files with one of the extensions, in walk order, 64 KiB each."""
-    outside = files.where(
+def scanned(files: DataFrame, exts: tuple[str, ...]) -> DataFrame:
+    """The files with one of the extensions, outside ignored directories."""
+    return files.where(
         ~F.coalesce(F.col("is_dir"), F.lit(False))
         & ~paths.in_ignored_dir(F.col("path"))
         & paths.extension(F.col("path")).isin(*exts)
     )
-    picked = first_n(
-        outside.select("project", "path"), ["project"], [paths.parts(F.col("path")).asc()],
-        MAX_SCAN_FILES, "position",
-    )
-    contents = outside.select(
-        "project", "path", F.substring("content", 1, MAX_SCAN_BYTES).alias("content")
-    )
-    return contents.join(picked, ["project", "path"])
 
 
 def manifest_signals(files: DataFrame) -> DataFrame:
@@ -189,15 +177,19 @@ def scanned_signals(files: DataFrame) -> DataFrame:
         & body.contains("kind:")
         & text.contains_any(body, ("Deployment", "Service", "Pod"))
     )
-    yaml = (
-        first_scanned(files, (".yaml", ".yml")).where(k8s)
-        .groupBy("project").agg(F.min_by("path", "position").alias("k8s_file"))
-    )
-    terraform = (
-        first_scanned(files, (".tf",)).where(body.contains('provider "aws"'))
-        .groupBy("project").agg(F.min_by("path", "position").alias("aws_file"))
+    aws = body.contains('provider "aws"')
+    is_terraform = paths.extension(F.col("path")) == ".tf"
+    # Paths in walk order; one pass over both kinds, and no content is shuffled.
+    place = paths.parts(F.col("path"))
+    return (
+        scanned(files, (".yaml", ".yml", ".tf"))
+        .where(F.when(is_terraform, aws).otherwise(k8s))
+        .groupBy("project")
+        .agg(
+            F.array_join(F.min(F.when(~is_terraform, place)), "/").alias("k8s_file"),
+            F.array_join(F.min(F.when(is_terraform, place)), "/").alias("aws_file"),
+        )
     )
-    return yaml.join(terraform, "project", "full")
 
 
 def directory_signals(files: DataFrame) -> DataFrame:

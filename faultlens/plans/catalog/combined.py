@@ -13,7 +13,6 @@ from faultlens.plans.catalog import ORACLES, register
 from faultlens.plans.catalog.files import every_file
 from faultlens.plans.catalog.findings import _grade, _score
 from faultlens.plans.corpora_sql import case_table, sql
-from faultlens.session import scratch_dir
 from faultlens.sources import history, scanners, tree
 
 
@@ -35,13 +34,8 @@ register(
 
 
 def whole_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Every rule over every file of three corpora, scored per project.
-
-    The files are stored by unit first, as a loaded tree would be.
-    """
-    path = scratch_dir(spark, "files")
-    tree.write_files(every_file(spark, d), path)
-    summary = project_scan.scan(tree.read_files(spark, path)).summary
+    """Every rule over every file of three corpora, scored per project."""
+    summary = project_scan.scan(tree.with_unit(every_file(spark, d))).summary
     return summary.select(
         "project", "files_scanned", "total", "critical", "high", "medium", "low", "score", "grade", "security_score",
         "health_score", "effort_minutes",

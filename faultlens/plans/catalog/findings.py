@@ -9,7 +9,7 @@ from faultlens.functions import paths, severity
 from faultlens.operators import compliance, diffscope, grouping, insights, remediation
 from faultlens.operators import errorgroups, loggroups
 from faultlens.operators import findings as fo
-from faultlens.plans import corpora
+from faultlens.plans import corpora, project_scan
 from faultlens.plans.catalog import register
 from faultlens.plans.corpora_sql import (
     FINGERPRINT, ORDER, case_table, define, sql, text, trim,
@@ -88,6 +88,42 @@ register(
 )
 
 
+def scan_with_options(spark: SparkSession, d: str) -> DataFrame:
+    """Categories, disabled rules, changed lines, baseline and gate, as one scan applies them.
+
+    No least severity is asked for, so severities without a rank stay.
+    """
+    unranked = F.when(F.col("line") % 7 == 0, F.lit("MODERATE")).otherwise(F.col("severity"))
+    options = project_scan.ScanOptions(
+        categories=["Security", " Database "],
+        disabled_rules=["SEC_TOKEN"],
+        diff_lines=corpora.diff_lines(spark, d),
+        baseline=known(spark, d),
+        fail_on="high",
+    )
+    kept = project_scan.apply_options(found(spark, d).withColumn("severity", unranked), options)
+    gate = fo.gate(kept, kept.select("project").distinct(), options.fail_on)
+    return kept.groupBy("project", "severity").agg(F.count("*").alias("n")).join(gate, "project")
+
+
+register(
+    "scan_with_options",
+    scan_with_options,
+    sql(
+        f"""SELECT project, severity, n, 'high' AS threshold,
+          CAST(coalesce(sum(n) FILTER (severity IN ('Critical', 'High')) OVER (PARTITION BY project), 0) AS BIGINT) AS fail_count,
+          coalesce(sum(n) FILTER (severity IN ('Critical', 'High')) OVER (PARTITION BY project), 0) = 0 AS passed
+        FROM (SELECT project, CASE WHEN line % 7 = 0 THEN 'MODERATE' ELSE severity END AS severity, count(*) AS n FROM findings f
+          WHERE category IN ('Security', 'Database') AND rule_id <> 'SEC_TOKEN'
+            AND EXISTS (SELECT 1 FROM diff_files c WHERE c.project = f.project AND c.file = f.file)
+            AND (line <= 0 OR EXISTS (SELECT 1 FROM diff_ranges r WHERE r.project = f.project AND r.file = f.file AND f.line BETWEEN r.start AND r."end"))
+            AND NOT EXISTS (SELECT 1 FROM baseline b WHERE b.project = f.project AND b.fingerprint = {FINGERPRINT})
+          GROUP BY ALL)""",
+        "findings", "diff_files", "diff_ranges", "baseline",
+    ),
+)
+
+
 def _remediation_rows(rows: dict, key: str) -> str:
     values = ", ".join("(" + ", ".join(text(v) for v in (k, *row)) + ")" for k, row in rows.items())
     return f"(VALUES {values}) AS {key}_t({key}, exploit, complexity, effort, fix_example)"
@@ -210,12 +246,31 @@ register(
     sql(_top(5, f"project, {_POS}, '[' || severity || '] ' || title || ' — ' || file || ':' || line AS text"), "findings"),
 )
 _ROW = f"project, {_POS}, severity, file, line, title"
-for name, n in (("w_8_finding_order", 200), ("o_1_sorted_findings", 500), ("o_11_console_findings", grouping.MAX_CONSOLE_FINDINGS)):
-    register(
-        name,
-        lambda spark, d, n=n: grouping.capped(found(spark, d), n).select("project", "position", "severity", "file", "line", "title"),
-        sql(_top(n, _ROW), "findings"),
-    )
+register(
+    "o_11_console_findings",
+    lambda spark, d: grouping.capped(found(spark, d), grouping.MAX_CONSOLE_FINDINGS).select(
+        "project", "position", "severity", "file", "line", "title"
+    ),
+    sql(_top(grouping.MAX_CONSOLE_FINDINGS, _ROW), "findings"),
+)
+
+
+def ordered_places(spark: SparkSession, d: str, *by: str) -> DataFrame:
+    """All findings in order, by a sort over ranges that no project fills alone."""
+    rows = found(spark, d).select(*by, "severity", "file", "line", "title", fo.order_key().alias("_order"))
+    return rows.orderBy(*by, "_order").drop("_order")
+
+
+register(
+    "w_8_finding_order",
+    lambda spark, d: ordered_places(spark, d, "project"),
+    sql(f"SELECT project, severity, file, line, title FROM findings ORDER BY project, {ORDER}", "findings"),
+)
+register(
+    "o_1_sorted_findings",
+    lambda spark, d: ordered_places(spark, d),
+    sql(f"SELECT severity, file, line, title FROM findings ORDER BY {ORDER}", "findings"),
+)
 register(
     "o_9_report_cap",
     lambda spark, d: grouping.report_findings(found(spark, d))
@@ -482,7 +537,7 @@ define(
 SELECT *, CAST(row_number() OVER (PARTITION BY project ORDER BY src, rnk) AS INTEGER) AS position FROM (
   SELECT project, 0 AS src, rnk, 'static' AS source, severity, category, title, file || ':' || line AS location, explanation AS detail,
     recommendation, '' AS cause, cwe, CAST(0 AS BIGINT) AS count
-  FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY {ORDER}) AS rnk FROM enriched) WHERE rnk <= 20
+  FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY {ORDER}) AS rnk FROM enriched)
   UNION ALL
   SELECT project, 1, row_number() OVER (PARTITION BY project ORDER BY count DESC, last_seen DESC, type, file, line), 'runtime',
     CASE severity WHEN 'fatal' THEN 'Critical' WHEN 'error' THEN 'High' ELSE 'Medium' END, 'Runtime', type,
@@ -493,7 +548,6 @@ SELECT *, CAST(row_number() OVER (PARTITION BY project ORDER BY src, rnk) AS INT
     CASE WHEN level IN ('EMERGENCY','ALERT','CRITICAL','FATAL') THEN 'Critical' WHEN level IN ('ERROR','EXCEPTION') THEN 'High' WHEN level = 'WARNING' THEN 'Medium' ELSE 'Low' END,
     category, sample, '', sample, '', cause, '', count
   FROM log_groups_by_project)
-QUALIFY position <= 40
 """,
     "enriched",
     "runtime_groups_by_project",
@@ -507,8 +561,8 @@ def problems(spark: SparkSession, d: str) -> DataFrame:
     return insights.problem_list(enriched(spark, d), runtime, logs)
 
 
-_PROBLEM = "project, position, source, severity, category, title, location, detail, recommendation, cause, cwe, count"
-register("u_2_problem_list", problems, sql(f"SELECT {_PROBLEM} FROM problems", "problems"))
+_PROBLEM = "project, source, severity, category, title, location, detail, recommendation, cause, cwe, count"
+register("u_2_problem_list", lambda spark, d: problems(spark, d).drop("newest", "place"), sql(f"SELECT {_PROBLEM} FROM problems", "problems"))
 define(
     "insights",
     """
@@ -582,9 +636,9 @@ register(
         corpora.diff_lines(spark, d)
         .where(F.col("text").startswith("+++ b/"))
         .select(
-            F.substring("text", 7, 200).alias("raw"),
-            paths.normalise(F.substring("text", 7, 200)).alias("clean"),
-            paths.relative_to(F.concat(F.lit("/srv/app/"), F.substring("text", 7, 200)), F.lit("/srv/app")).alias("relative"),
+            F.expr("substring(text, 7)").alias("raw"),
+            paths.normalise(F.expr("substring(text, 7)")).alias("clean"),
+            paths.relative_to(F.concat(F.lit("/srv/app/"), F.expr("substring(text, 7)")), F.lit("/srv/app")).alias("relative"),
         ),
         "raw", "clean", "relative",
     ),
@@ -745,10 +799,10 @@ def scans(spark: SparkSession, d: str) -> DataFrame:
 def history_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Two appends to the history table and the newest record per path."""
     path = scratch_dir(spark, "history")
-    rows = scans(spark, d).withColumn("month", F.substring("created_at", 1, 4))
+    rows = scans(spark, d)
     for half in (F.col("total") % 2 == 0, F.col("total") % 2 == 1):
-        rows.where(half).write.mode("append").partitionBy("month").parquet(path)
-    back = spark.read.parquet(path)
+        history.append_records(rows.where(half), path)
+    back = history.read_history(spark, path)
     return back.groupBy("path").agg(
         F.count("*").alias("scans"), F.max_by("total", F.struct("created_at", "id")).alias("latest_total")
     )
@@ -789,6 +843,6 @@ register(
 )
 register(
     "o_12_scan_list",
-    lambda spark, d: history.newest_first(scans(spark, d)).limit(50).select("id", "created_at", "total"),
-    sql("SELECT id, created_at, total FROM scan_history ORDER BY created_at DESC, id LIMIT 50", "scan_history"),
+    lambda spark, d: history.newest_first(scans(spark, d)).select("id", "created_at", "total"),
+    sql("SELECT id, created_at, total FROM scan_history ORDER BY created_at DESC, id", "scan_history"),
 )

@@ -118,8 +118,8 @@ register(
 )
 
 
-def capped_documents(spark: SparkSession, d: str) -> DataFrame:
-    """One report of 950 to 1049 results per supplier; 1000 of them count."""
+def long_documents(spark: SparkSession, d: str) -> DataFrame:
+    """One report of 950 to 1049 results per supplier."""
     suppliers = corpora.spread(corpora.table(spark, d, "supplier").select("s_suppkey"))
     s = F.col("s_suppkey")
     one = F.transform(
@@ -137,12 +137,12 @@ def capped_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 register(
-    "w_9_engine_cap",
-    lambda spark, d: scanners.bandit_findings(capped_documents(spark, d))
+    "w_9_long_reports",
+    lambda spark, d: scanners.bandit_findings(long_documents(spark, d))
     .groupBy("project", "rule_id")
     .agg(F.count("*").alias("n"), F.max("line").alias("last_line")),
     """SELECT 's' || s_suppkey AS project, 'BANDIT:B' || (i % 7) AS rule_id, count(*) AS n, CAST(max(i) AS INTEGER) AS last_line
-    FROM (SELECT s_suppkey, unnest(generate_series(1, least(s_suppkey % 100 + 950, 1000))) AS i FROM supplier) GROUP BY ALL""",
+    FROM (SELECT s_suppkey, unnest(generate_series(1, s_suppkey % 100 + 950)) AS i FROM supplier) GROUP BY ALL""",
 )
 register(
     "s_6_lock_files",

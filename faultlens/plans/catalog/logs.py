@@ -168,8 +168,8 @@ register(
 )
 register(
     "o_2_log_group_order",
-    lambda spark, d: log_groups(spark, d).orderBy(*loggroups.group_order()).limit(40).select("count", "signature"),
-    sql("SELECT count, signature FROM log_groups ORDER BY count DESC, signature LIMIT 40", "log_groups"),
+    lambda spark, d: log_groups(spark, d).orderBy(*loggroups.group_order()).select("count", "signature"),
+    sql("SELECT count, signature FROM log_groups ORDER BY count DESC, signature", "log_groups"),
 )
 register(
     "o_3_most_common_log_issue",
@@ -197,10 +197,10 @@ register(
 )
 register(
     "o_4_runtime_group_order",
-    lambda spark, d: errorgroups.top_groups(runtime_groups_(spark, d), 30).select("type", "file", "line", "count", "last_seen"),
+    lambda spark, d: runtime_groups_(spark, d).orderBy(*errorgroups.group_order()).select("type", "file", "line", "count", "last_seen"),
     sql(
         """SELECT type, file, line, count, last_seen FROM runtime_groups
-           ORDER BY count DESC, last_seen DESC, type, file, line LIMIT 30""",
+           ORDER BY count DESC, last_seen DESC, type, file, line""",
         "runtime_groups",
     ),
 )

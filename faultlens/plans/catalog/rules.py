@@ -174,7 +174,7 @@ register(
     .groupBy("doc_id")
     .agg(
         F.count("*").alias("n"),
-        F.count_if(F.octet_length("line") > codelines.MAX_LINE_BYTES).alias("long_lines"),
+        F.count_if(F.octet_length("line") > codelines.LONG_LINE_BYTES).alias("long_lines"),
     ),
     """SELECT doc_id, count(*) AS n, count(*) FILTER (strlen(line) > 500) AS long_lines
        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id""",
@@ -266,26 +266,25 @@ register(
 register(
     "x_3_trailing_comment_strip",
     lambda spark, d: detect.annotated_lines(code_files(spark, d))
-    .where(F.col("is_code") & F.col("short"))
+    .where(F.col("is_code"))
     .groupBy("ext", "line", "code")
     .agg(F.count("*").alias("n")),
-    sql("SELECT ext, line, code, count(*) AS n FROM rule_lines WHERE is_code AND short GROUP BY ALL", "rule_lines"),
+    sql("SELECT ext, line, code, count(*) AS n FROM rule_lines WHERE is_code GROUP BY ALL", "rule_lines"),
 )
 _TRIMMED = trim("line")
 register(
     "x_4_snippet",
-    # A cut may fall inside a character, which the SQL side cannot show: compare the first
-    # 40 characters of every snippet and the number of snippets that were cut.
+    # A cut may fall inside a character, which the SQL side cannot show: the cut snippets
+    # are counted, those of whole lines are compared in full.
     lambda spark, d: _document_lines(spark, d)
     .select("doc_id", ft.snippet(F.col("line")).alias("s"))
     .groupBy("doc_id")
     .agg(
         F.count_if(F.col("s").endswith("…")).alias("cut"),
-        F.max(F.left("s", F.lit(40))).alias("last_start"),
-        F.min(F.left("s", F.lit(40))).alias("first_start"),
+        F.sha2(F.array_join(F.array_sort(F.collect_list(F.when(~F.col("s").endswith("…"), F.col("s")))), "|"), 256).alias("whole"),
     ),
     f"""SELECT doc_id, count(*) FILTER (strlen(t) > 160 OR ends_with(t, '…')) AS cut,
-         max(left(t, 40)) AS last_start, min(left(t, 40)) AS first_start
+         sha256(coalesce(string_agg(t, '|' ORDER BY t) FILTER (NOT (strlen(t) > 160 OR ends_with(t, '…'))), '')) AS whole
        FROM (SELECT doc_id, {_TRIMMED} AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents))
        GROUP BY doc_id""",
 )

@@ -44,12 +44,10 @@ def deep_yaml(spark: SparkSession, d: str) -> DataFrame:
 
 
 register(
-    "w_5_first_200_files",
-    lambda spark, d: technology.first_scanned(deep_yaml(spark, d), (".yaml", ".yml")).select("project", "path", "position"),
+    "w_5_scanned_files",
+    lambda spark, d: technology.scanned(deep_yaml(spark, d), (".yaml", ".yml")).select("project", "path"),
     sql(
-        f"""SELECT project, path, CAST(position AS INTEGER) AS position FROM (
-          SELECT left(project, 2) AS project, path || '.yaml' AS path, row_number() OVER (PARTITION BY left(project, 2) ORDER BY string_split(path || '.yaml', '/')) AS position
-          FROM config_corpus WHERE NOT {in_ignored('path')}) WHERE position <= 200""",
+        f"""SELECT left(project, 2) AS project, path || '.yaml' AS path FROM config_corpus WHERE NOT {in_ignored('path')}""",
         "config_corpus",
     ),
 )

@@ -173,7 +173,7 @@ LEVEL_RANK = (
 define(
     "log_errors",
     f"""
-SELECT *, {cut(_SIG, 120)} AS signature, {_CATEGORY} AS category, {CAUSE} AS cause, {LEVEL_RANK} AS level_rank
+SELECT *, {_SIG} AS signature, {_CATEGORY} AS category, {CAUSE} AS cause, {LEVEL_RANK} AS level_rank
 FROM log_parsed
 WHERE level IN ({', '.join(text(v) for v in logtext.ERROR_LEVELS)})
 """,
@@ -372,7 +372,7 @@ SELECT project, path, ext, u.n AS line_no, u.t AS line
 FROM (
   SELECT project, path, {extension('path')} AS ext,
     list_transform(string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)), lambda t, i: {{'n': i, 't': t}}) AS ls
-  FROM code_files WHERE size <= 2097152), unnest(ls) AS x(u)
+  FROM code_files), unnest(ls) AS x(u)
 """,
     "code_files",
 )
@@ -442,7 +442,7 @@ def _strip(item: str, hashes: bool, after: str = ".*") -> str:
 define(
     "code_lines",
     f"""
-SELECT *, lower(line) AS lower, strlen(line) <= 500 AS short,
+SELECT *, lower(line) AS lower, 
   NOT in_block AND t <> '' AND NOT {_MASKED} AND NOT (ext IN ('.php', '.py', '.rb') AND starts_with(t, '#')) AS is_code,
   CASE WHEN ext = '.php' THEN {_strip(_NP, True, r"(?:[^\[].*)?")}
        WHEN ext IN ('.py', '.rb') THEN {_strip(_NH, True)}
@@ -455,7 +455,7 @@ define(
     "rule_lines",
     f"""
 SELECT *, lower(code) AS code_lower, {starts_with_any(trim('code'), ('//', '#', '*', '/*', '<!--'))} AS code_comment
-FROM (SELECT *, CASE WHEN is_code AND short THEN CASE WHEN stripped = line THEN line ELSE rtrim(stripped, ' ' || chr(9)) END ELSE '' END AS code,
+FROM (SELECT *, CASE WHEN is_code THEN CASE WHEN stripped = line THEN line ELSE rtrim(stripped, ' ' || chr(9)) END ELSE '' END AS code,
         {BENIGN} AS benign FROM code_lines)
 """,
     "code_lines",
@@ -479,11 +479,11 @@ def placeholder(value: str) -> str:
 
 def rule_condition(rule: rb.Rule) -> str:
     if rule.rule_id == "SEC_TOKEN":
-        return f"short AND {token_condition(rule)}"
+        return token_condition(rule)
     if rule.rule_id == "SEC_HARDCODED_CREDENTIAL":
         tokens = " OR ".join(token_condition(r) for r in rb.TOKEN_RULES)
         return (
-            f"short AND NOT benign AND NOT ({tokens}) AND {contains_any('lower', rule.gates)} "
+            f"NOT benign AND NOT ({tokens}) AND {contains_any('lower', rule.gates)} "
             f"AND {matches('line', rule.pattern)} AND NOT {placeholder(_VALUE)}"
         )
     exts = f"ext IN ({', '.join(text(e) for e in rule.exts)}) AND " if rule.exts else ""
@@ -502,7 +502,7 @@ def rule_condition(rule: rb.Rule) -> str:
         body = f"{matches('code', rule.pattern)} AND NOT {matches('code', rb.XSS_ESCAPED)}"
     else:
         body = f"NOT code_comment AND {matches('code', rule.pattern)}"
-    return f"{exts}short AND is_code AND {gate} AND {body}"
+    return f"{exts}is_code AND {gate} AND {body}"
 
 
 def rule_query(rule: rb.Rule) -> str:
@@ -533,7 +533,7 @@ KIND = f"""CASE
 
 def kinds_of(source: str) -> str:
     return f"""
-SELECT * FROM (SELECT *, {KIND} AS kind FROM (SELECT *, lower({basename('path')}) AS base FROM {source} WHERE size <= 524288))
+SELECT * FROM (SELECT *, {KIND} AS kind FROM (SELECT *, lower({basename('path')}) AS base FROM {source}))
 WHERE kind IS NOT NULL
 """
 

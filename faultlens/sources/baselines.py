@@ -8,15 +8,24 @@ from pyspark.sql import functions as F
 from faultlens.operators.findings import fingerprint
 
 
+#: Files of a project's baseline, at most.
+FILES_PER_PROJECT = 8
+
+
 def baseline_of(findings: DataFrame) -> DataFrame:
     """Distinct ``(project, fingerprint)`` of findings."""
     return findings.select("project", fingerprint().alias("fingerprint")).distinct()
 
 
 def write_baseline(findings: DataFrame, path: str) -> None:
-    """Store the baseline as Parquet, one folder per project."""
+    """Store the baseline as Parquet; projects that ``findings`` do not hold keep theirs.
+
+    Rows are dealt by project and a hash, so a project has a few files, however many tasks
+    there are and however large it is.
+    """
     stamped = baseline_of(findings).withColumn("created_at", F.current_timestamp())
-    stamped.write.mode("overwrite").partitionBy("project").parquet(path)
+    dealt = stamped.repartition("project", F.pmod(F.xxhash64("fingerprint"), F.lit(FILES_PER_PROJECT)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project").parquet(path)
 
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:

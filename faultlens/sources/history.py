@@ -42,12 +42,19 @@ def with_new_since(records: DataFrame, history: DataFrame) -> DataFrame:
     )
 
 
+#: Files that one append writes for a month, at most.
+FILES_PER_MONTH = 8
+
+
 def append_records(records: DataFrame, path: str) -> None:
-    records.write.mode("append").partitionBy("project").parquet(path)
+    """Add records to the history, one folder per month; scans of a path lie together."""
+    dated = records.withColumn("month", F.coalesce(F.substring("created_at", 1, 7), F.lit("")))
+    dealt = dated.repartition("month", F.pmod(F.xxhash64("path"), F.lit(FILES_PER_MONTH)))
+    dealt.sortWithinPartitions("month", "path").write.mode("append").partitionBy("month").parquet(path)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCAN_RECORD).parquet(path)
+    return spark.read.schema(SCAN_RECORD).parquet(path).select(*SCAN_RECORD.fieldNames())
 
 
 def newest_first(history: DataFrame) -> DataFrame:

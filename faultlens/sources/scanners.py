@@ -1,7 +1,7 @@
 """JSON reports of external scanners to findings.
 
-Input: ``reports(project, root, payload)``, one JSON document per row. Every document
-keeps its first 1000 results.
+Input: ``reports(project, root, payload)``, one JSON document per row. All its results
+count, unless a caller sets a limit for each document.
 """
 
 from __future__ import annotations
@@ -13,8 +13,7 @@ from faultlens.functions import paths, severity, text
 from faultlens.operators.detect import PHASE_EXTERNAL
 from faultlens.schemas import FINDING_COLUMNS
 
-# Cap per document, title length, recommendations, report schemas.
-MAX_FINDINGS = 1000
+# Title length, recommendations, report schemas.
 MAX_TITLE = 120
 REVIEW = {
     "semgrep": "Review the Semgrep finding and remediate.",
@@ -41,6 +40,11 @@ ESLINT = "ARRAY<STRUCT<filePath STRING, messages ARRAY<STRUCT<ruleId STRING, sev
 PHPSTAN = "files MAP<STRING, STRUCT<messages ARRAY<STRUCT<message STRING, line INT, identifier STRING>>>>"
 
 
+def _first(rows: DataFrame, limit: int | None) -> DataFrame:
+    """The first results of every document, where a limit is set."""
+    return rows if limit is None else rows.where(F.col("pos") < limit)
+
+
 def _or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -90,12 +94,9 @@ def _first_line(c: Column) -> Column:
     return F.substring_index(_or_empty(c), "\n", 1)
 
 
-def semgrep_findings(reports: DataFrame) -> DataFrame:
+def semgrep_findings(reports: DataFrame, limit: int | None = None) -> DataFrame:
     doc = F.from_json(F.col("payload"), SEMGREP)
-    rows = (
-        reports.select("project", F.posexplode(doc["results"]).alias("pos", "r"))
-        .where(F.col("pos") < MAX_FINDINGS)
-    )
+    rows = _first(reports.select("project", F.posexplode(doc["results"]).alias("pos", "r")), limit)
     rule = _or_empty(F.col("r.check_id"))
     tail = F.substring_index(rule, ".", -1)
     category = severity.lookup(
@@ -150,12 +151,9 @@ def _excerpt_line(code: Column, number: Column) -> Column:
     return _one_line(F.coalesce(F.get(wanted, 0)["code"], F.get(filled, 0)["code"], F.lit("")))
 
 
-def bandit_findings(reports: DataFrame) -> DataFrame:
+def bandit_findings(reports: DataFrame, limit: int | None = None) -> DataFrame:
     doc = F.from_json(_from_first(F.col("payload"), "{"), BANDIT)
-    rows = (
-        reports.select("project", "root", F.posexplode(doc["results"]).alias("pos", "r"))
-        .where(F.col("pos") < MAX_FINDINGS)
-    )
+    rows = _first(reports.select("project", "root", F.posexplode(doc["results"]).alias("pos", "r")), limit)
     cwe = F.col("r.issue_cwe.id")
     number = F.coalesce(F.col("r.line_number"), F.lit(0))
     return _findings(
@@ -173,12 +171,9 @@ def bandit_findings(reports: DataFrame) -> DataFrame:
     )
 
 
-def gosec_findings(reports: DataFrame) -> DataFrame:
+def gosec_findings(reports: DataFrame, limit: int | None = None) -> DataFrame:
     doc = F.from_json(_from_first(F.col("payload"), "{"), GOSEC)
-    rows = (
-        reports.select("project", "root", F.posexplode(doc["Issues"]).alias("pos", "r"))
-        .where(F.col("pos") < MAX_FINDINGS)
-    )
+    rows = _first(reports.select("project", "root", F.posexplode(doc["Issues"]).alias("pos", "r")), limit)
     cwe = text.trim(_or_empty(F.col("r.cwe.id")))
     line = F.regexp_extract(text.trim(_or_empty(F.col("r.line"))), r"(?s)^([^-]+)(?:-.*)?$", 1)
     return _findings(
@@ -196,7 +191,7 @@ def gosec_findings(reports: DataFrame) -> DataFrame:
     )
 
 
-def _numbered_messages(reports: DataFrame, files: Column) -> DataFrame:
+def _numbered_messages(reports: DataFrame, files: Column, limit: int | None) -> DataFrame:
     """Messages of ``array<struct<path, messages>>`` numbered over the whole document."""
     flat = F.flatten(
         F.transform(
@@ -207,19 +202,17 @@ def _numbered_messages(reports: DataFrame, files: Column) -> DataFrame:
             ),
         )
     )
-    return reports.select("project", "root", F.posexplode(flat).alias("pos", "r")).where(
-        F.col("pos") < MAX_FINDINGS
-    )
+    return _first(reports.select("project", "root", F.posexplode(flat).alias("pos", "r")), limit)
 
 
-def eslint_findings(reports: DataFrame) -> DataFrame:
+def eslint_findings(reports: DataFrame, limit: int | None = None) -> DataFrame:
     doc = F.from_json(_from_first(F.col("payload"), "["), ESLINT)
     files = F.transform(
         doc, lambda f: F.struct(f["filePath"].alias("path"), f["messages"].alias("messages"))
     )
     rule = F.coalesce(F.nullif(F.col("r.m.ruleId"), F.lit("")), F.lit("parse-error"))
     return _findings(
-        _numbered_messages(reports, files),
+        _numbered_messages(reports, files, limit),
         "eslint",
         rule_id=F.concat(F.lit("ESLINT:"), rule),
         severity=F.when(F.col("r.m.severity") >= 2, "Medium").otherwise("Low"),
@@ -231,7 +224,7 @@ def eslint_findings(reports: DataFrame) -> DataFrame:
     )
 
 
-def phpstan_findings(reports: DataFrame) -> DataFrame:
+def phpstan_findings(reports: DataFrame, limit: int | None = None) -> DataFrame:
     """Files of a report are taken in path order, so that the cap is deterministic."""
     doc = F.from_json(_from_first(F.col("payload"), "{"), PHPSTAN)
     files = F.sort_array(
@@ -242,7 +235,7 @@ def phpstan_findings(reports: DataFrame) -> DataFrame:
     )
     rule = F.coalesce(F.nullif(F.col("r.m.identifier"), F.lit("")), F.lit("error"))
     return _findings(
-        _numbered_messages(reports, files),
+        _numbered_messages(reports, files, limit),
         "phpstan",
         rule_id=F.concat(F.lit("PHPSTAN:"), rule),
         severity=F.lit("Medium"),

@@ -76,8 +76,8 @@ def _list(deep: bool):
     return run
 
 
-def _read(max_bytes: int):
-    """Contents in batches of bounded size; a file over the limit keeps an empty content."""
+def _read(max_bytes: int | None):
+    """Contents in batches of bounded size; a file over a limit that is set keeps an empty content."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["project", "path", "is_dir", "size", "content", "in_core"]
@@ -87,10 +87,10 @@ def _read(max_bytes: int):
                 content = None
                 if not row.is_dir:
                     content = ""
-                    if row.size <= max_bytes:
+                    if max_bytes is None or row.size <= max_bytes:
                         try:
                             with open(os.path.join(row.root, row.path), "rb") as f:
-                                content = f.read(max_bytes + 1).decode("utf-8", "replace")
+                                content = f.read().decode("utf-8", "replace")
                         except OSError:
                             continue
                 rows.append((row.project, row.path, row.is_dir, row.size, content, row.in_core))
@@ -125,10 +125,10 @@ def list_tree(projects: DataFrame, tasks: int | None = None) -> DataFrame:
     return top.unionByName(below)
 
 
-def read_trees(projects: DataFrame, max_bytes: int = 2 * 1024 * 1024, tasks: int | None = None) -> DataFrame:
+def read_trees(projects: DataFrame, max_bytes: int | None = None, tasks: int | None = None) -> DataFrame:
     """The ``files`` table of many projects; contents are read where the rows are.
 
-    Files over ``max_bytes`` (which no rule reads) appear with their size only.
+    Where ``max_bytes`` is set, larger files appear with their size only.
     """
     n = tasks or projects.sparkSession.sparkContext.defaultParallelism
     return list_tree(projects, tasks).repartition(n).mapInPandas(_read(max_bytes), FILES)

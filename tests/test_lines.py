@@ -97,7 +97,8 @@ def test_trailing_comment(spark):
 def test_skipped_files(spark, make_files):
     files = make_files({"a.php": "x", "b.php": "y\x00z", "c.php": "q" * 2000 + "\x00"})
     big = files.withColumn("size", F.when(F.col("path") == "a.php", F.lit(3_000_000)).otherwise(F.col("size")))
-    assert [r.path for r in codelines.readable_text(big).collect()] == ["c.php"]
+    assert [r.path for r in codelines.readable_text(big).collect()] == ["a.php", "c.php"]
+    assert [r.path for r in codelines.readable_text(big, 1_000_000).collect()] == ["c.php"]
 
 
 def test_truncation_counts_bytes(spark):

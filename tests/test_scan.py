@@ -1,12 +1,15 @@
 """Whole scans of small projects with known findings."""
 
+import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from faultlens.functions import logtext
 from faultlens.operators import codelines, configscan, detect, manifests
 from faultlens.plans import project_scan
-from faultlens.sources import tree
+from faultlens.sources import baselines, lockfiles, scanners, tree
 
 STRIPE = "sk_live_" + "a1" * 12
 
@@ -143,7 +146,7 @@ def test_long_lines_and_placeholders(spark, make_files):
         }
     )
     got = places(detect.code_findings(codelines.code_files(files)))
-    assert got == {("a.js", 2, "ERR_EMPTY_CATCH"), ("c.js", 1, "SEC_TOKEN")}
+    assert got == {("a.js", 1, "JS_EVAL"), ("a.js", 2, "ERR_EMPTY_CATCH"), ("c.js", 1, "SEC_TOKEN")}
 
 
 def test_manifest_versions(spark, make_files):
@@ -170,10 +173,54 @@ def test_config_kinds(spark, make_files):
     }
 
 
-def test_framework_core_without_broadcast(spark, make_files, monkeypatch):
-    """The path for very many core directories gives the same files."""
-    files = make_files(SHOP)
-    few = {r.path for r in codelines.without_framework_core(files).collect()}
-    monkeypatch.setattr(codelines, "MAX_BROADCAST_DIRS", -1)
-    many = {r.path for r in codelines.without_framework_core(files).collect()}
-    assert few == many and "system/helpers/h.php" not in few
+def test_framework_core(spark, make_files):
+    kept = {r.path for r in codelines.without_framework_core(make_files(SHOP)).collect()}
+    assert "system/helpers/h.php" not in kept and len(kept) < len(SHOP)
+
+
+def test_nothing_is_cut(spark, make_files, tmp_path):
+    """Long files, long lines, long reports and long lock files are read to their end."""
+    filler = "// filler text of a comment\n"
+    files = make_files(
+        {
+            "long.php": filler * (3 * 1024 * 1024 // len(filler)) + "eval($x);\n",
+            "line.php": "$a = '" + "x" * 5000 + "'; eval($x);\n",
+            "big/Dockerfile": "# x\n" * 200_000 + "USER root\n",
+            "package-lock.json": json.dumps(
+                {"packages": {f"node_modules/{'p' * 100}{i}": {"version": "1.0.0"} for i in range(30_000)}}
+            ),
+        }
+    )
+    found = {(r.file, r.rule_id) for r in project_scan.static_findings(files).collect()}
+    assert {("long.php", "SEC_DANGEROUS_EXEC"), ("line.php", "SEC_DANGEROUS_EXEC"), ("big/Dockerfile", "DOCKER_USER_ROOT")} <= found
+    assert lockfiles.dependencies(files).count() == 30_000
+    report = json.dumps({"results": [{"test_id": f"B{i}", "line_number": i} for i in range(1500)]})
+    reports = spark.createDataFrame([("p", "", report)], "project string, root string, payload string")
+    assert scanners.bandit_findings(reports).count() == 1500
+    assert scanners.bandit_findings(reports, limit=1000).count() == 1000
+    (tmp_path / "big.lock").write_text("x" * 4_000_000)
+    row = tree.read_tree(spark, str(tmp_path)).first()
+    assert (row.size, len(row.content)) == (4_000_000, 4_000_000)
+
+
+def test_long_messages_that_differ_late_are_two_groups(spark):
+    rows = [("a" * 200 + " x",), ("a" * 200 + " y",)]
+    messages = spark.createDataFrame(rows, "m string")
+    assert messages.select(logtext.signature(F.col("m"))).distinct().count() == 2
+
+
+def test_no_option_drops_nothing(spark, make_files):
+    deps = spark.createDataFrame([("p", "l", "npm", "a", "1")], "project string, source string, ecosystem string, name string, version string")
+    advisories = spark.createDataFrame(
+        [("X-1", "npm", "a", "1", "MODERATE", "s")], "id string, ecosystem string, name string, version string, severity string, summary string"
+    )
+    result = project_scan.scan(make_files({"a.txt": "x"}), deps=deps, advisories=advisories)
+    assert [r.rule_id for r in result.findings.collect()] == ["DEP_CVE"]
+
+
+def test_a_baseline_leaves_other_projects(spark, make_files, tmp_path):
+    path = str(tmp_path / "baseline")
+    for project in ("p1", "p2", "p1"):
+        found = project_scan.static_findings(make_files({"a.php": "eval($x);"}, project))
+        baselines.write_baseline(found, path)
+    assert sorted(r.project for r in baselines.read_baseline(spark, path).collect()) == ["p1", "p2"]
