@@ -61,3 +61,8 @@ def range_index(key: Column, splits: Sequence[int]) -> Column:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Sends at most 1,000 rows at a time to Python in this session, as texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

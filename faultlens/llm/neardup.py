@@ -11,17 +11,21 @@ Links are contracted to components after every round.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
-from functools import lru_cache
 from math import comb
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import stored
+from faultlens.llm.common import modest_batches, stored
+
+# Executors get these functions by value, so they need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Words of a shingle, and least similarity in percent.
 SHINGLE = 5
@@ -48,7 +52,7 @@ def words(text: str | None) -> list[bytes]:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 50_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
@@ -119,7 +123,6 @@ def _describe(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFra
             yield flush(ids, sets)
 
 
-@lru_cache
 def least_matches(percent: int, miss: float) -> tuple[int, ...]:
     """Per batch, the fewest matching values that leave ``miss`` probability of the threshold.
 
@@ -136,9 +139,8 @@ def least_matches(percent: int, miss: float) -> tuple[int, ...]:
     return tuple(out)
 
 
-def _prune(batches: Iterator[pd.DataFrame], percent: int, miss: float) -> Iterator[pd.DataFrame]:
+def _prune(batches: Iterator[pd.DataFrame], least: tuple[int, ...]) -> Iterator[pd.DataFrame]:
     """Candidate pairs that no batch of their signatures rules out."""
-    least = least_matches(percent, miss)
     for batch in batches:
         if not len(batch):
             continue
@@ -231,6 +233,7 @@ def near_duplicates(
     doc_id is linked with nothing, its component_id is null and it is kept. Further columns
     are ignored; no input gives no rows.
     """
+    modest_batches(docs.sparkSession)
     described = stored(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
             lambda batches: _describe(batches, shingle),
@@ -297,8 +300,9 @@ def _links(
     """The pairs that are similar enough: pruned by signatures, then verified by texts."""
     side_a = signatures.withColumnsRenamed({"node": "a", "signature": "signature_a"})
     side_b = signatures.withColumnsRenamed({"node": "b", "signature": "signature_b"})
+    least = least_matches(percent, miss)
     likely = stored(
-        pairs.join(side_a, "a").join(side_b, "b").mapInPandas(lambda x: _prune(x, percent, miss), "a long, b long").distinct(),
+        pairs.join(side_a, "a").join(side_b, "b").mapInPandas(lambda x: _prune(x, least), "a long, b long").distinct(),
         "likely",
     )
     text_a = texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"})
