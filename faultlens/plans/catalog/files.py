@@ -9,6 +9,7 @@ from faultlens.functions import paths
 from faultlens.operators import codelines, configscan, inventory
 from faultlens.plans import corpora, project_scan
 from faultlens.plans.catalog import register
+from faultlens.sources import tree
 from faultlens.plans.corpora_sql import (
     BENIGN, KIND, MINIFIED, ROLE, SOURCE, basename, case_table, define, extension, in_ignored, in_vendored, kinds_of, sql, text,
 )
@@ -216,3 +217,24 @@ register(
     lambda spark, d: configscan.config_files(corpora.config_files(spark, d)).groupBy("project", "kind").agg(F.count("*").alias("n")),
     sql("SELECT project, kind, count(*) AS n FROM config_kinds GROUP BY ALL", "config_kinds"),
 )
+
+
+register(
+    "s_1_tree_rows",
+    lambda spark, d: tree.tree_rows(every_file(spark, d))
+    .groupBy("project", "is_dir", "in_core")
+    .agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.sum(F.length("path")).alias("letters")),
+    sql(
+        f"""SELECT e.project, is_dir, EXISTS (SELECT 1 FROM every_core_dir d
+            WHERE d.project = e.project AND starts_with(e.path || '/', d.core_dir || '/') AND NOT {in_ignored("d.core_dir || '/x'")}) AS in_core,
+          count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(length(path)) AS BIGINT) AS letters
+        FROM (
+          SELECT project, path, false AS is_dir, size FROM every_file WHERE NOT {in_ignored('path')}
+          UNION ALL
+          SELECT DISTINCT project, path, true, 0 FROM (
+            SELECT project, array_to_string(parts[1:unnest(range(1, len(parts)))], '/') AS path
+            FROM (SELECT DISTINCT project, string_split(path, '/') AS parts FROM every_file))
+          WHERE NOT {in_ignored("path || '/x'")}) e GROUP BY ALL""",
+        "every_file", "every_core_dir",
+    ),
+)

@@ -11,12 +11,14 @@ import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens.functions import paths
 from faultlens.functions.paths import IGNORED_DIRS
+from faultlens.operators import codelines
 from faultlens.schemas import FILES
 
 # Executors get these functions by value, so they need not have the package installed.
@@ -33,6 +35,9 @@ def _entries(root: str, rel: str, core: bool, deep: bool) -> Iterator[tuple[str,
 
     The last item says whether the entry lies in (or is) a vendored framework core.
     """
+    if "://" in root:
+        yield from _remote_entries(root, rel, core, deep)
+        return
     stack = [(rel, core)]
     while stack:
         here, in_core = stack.pop()
@@ -60,6 +65,40 @@ def _entries(root: str, rel: str, core: bool, deep: bool) -> Iterator[tuple[str,
                 stack.append((path, below_core))
 
 
+def _remote_entries(root: str, rel: str, core: bool, deep: bool) -> Iterator[tuple[str, bool, int, bool]]:
+    """The same for a root that is a URI, by the file system that its scheme names."""
+    store, base = fs.FileSystem.from_uri(root)
+    stack = [(rel, core)]
+    while stack:
+        here, in_core = stack.pop()
+        try:
+            children = store.get_file_info(fs.FileSelector(f"{base}/{here}" if here else base))
+        except OSError:
+            continue
+        for child in children:
+            path = f"{here}/{child.base_name}" if here else child.base_name
+            is_dir = child.type == fs.FileType.Directory
+            if is_dir and child.base_name in IGNORED_DIRS:
+                continue
+            below_core = in_core or (
+                is_dir
+                and child.base_name.lower() == "system"
+                and store.get_file_info(f"{base}/{path}/{CORE_MARKER}").type == fs.FileType.File
+            )
+            yield path, is_dir, 0 if is_dir else child.size, below_core
+            if is_dir and deep:
+                stack.append((path, below_core))
+
+
+def _bytes(root: str, path: str) -> bytes:
+    if "://" in root:
+        store, base = fs.FileSystem.from_uri(root)
+        with store.open_input_stream(f"{base}/{path}") as f:
+            return f.read()
+    with open(os.path.join(root, path), "rb") as f:
+        return f.read()
+
+
 def _list(deep: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -89,8 +128,7 @@ def _read(max_bytes: int | None):
                     content = ""
                     if max_bytes is None or row.size <= max_bytes:
                         try:
-                            with open(os.path.join(row.root, row.path), "rb") as f:
-                                content = f.read().decode("utf-8", "replace")
+                            content = _bytes(row.root, row.path).decode("utf-8", "replace")
                         except OSError:
                             continue
                 rows.append((row.project, row.path, row.is_dir, row.size, content, row.in_core))
@@ -136,12 +174,43 @@ def read_trees(projects: DataFrame, max_bytes: int | None = None, tasks: int | N
 
 def read_tree(spark: SparkSession, root: str, project: str | None = None) -> DataFrame:
     """One project; a missing root is an error."""
-    if not os.path.isdir(root):
+    if "://" not in root and not os.path.isdir(root):
         raise FileNotFoundError(root)
     name = project or os.path.basename(os.path.abspath(root))
     return read_trees(spark.createDataFrame([(name, root)], "project string, root string"))
 
 
+def tree_rows(objects: DataFrame) -> DataFrame:
+    """The ``files`` table of trees of which only the files are listed, as object stores do.
+
+    ``objects(project, path, size, content)`` has paths below the tree's root. Files below
+    ignored directories go, and every other directory above a file gets a row. Only files
+    with a ``system`` directory above them are shuffled.
+    """
+    seen = objects.select("project", "path", F.lit(False).alias("is_dir"), "size", "content")
+    kept = seen.where(~paths.in_ignored_dir(F.col("path")))
+    ignored = F.array(*[F.lit(d) for d in IGNORED_DIRS])
+    above = seen.select("project", F.explode(paths.ancestors(F.col("path"))).alias("path")).distinct()
+    directories = above.where(~F.arrays_overlap(paths.parts(F.col("path")), ignored)).select(
+        "project", "path", F.lit(True).alias("is_dir"), F.lit(0).cast("long").alias("size"), F.lit(None).cast("string").alias("content")
+    )
+    entries = kept.unionByName(directories)
+    inside = F.concat(F.lit("/"), F.lower("path"), F.lit("/")).contains("/system/")
+    at_or_above = F.concat(paths.ancestors(F.col("path")), F.array("path"))
+    core = (
+        entries.where(inside)
+        .select("project", "path", F.explode(at_or_above).alias("core_dir"))
+        .join(codelines.core_dirs(kept), ["project", "core_dir"], "left_semi")
+        .select("project", "path", F.lit(True).alias("in_core"))
+        .distinct()
+    )
+    flagged = entries.where(inside).join(core, ["project", "path"], "left").withColumn(
+        "in_core", F.coalesce("in_core", F.lit(False))
+    )
+    plain = entries.where(~inside).withColumn("in_core", F.lit(False))
+    return plain.unionByName(flagged.select(*plain.columns))
+
+
 def with_unit(files: DataFrame) -> DataFrame:
     """Add ``unit``: which group of rules may read a file, by name alone."""
     path = F.col("path")

@@ -192,7 +192,7 @@ def test_nothing_is_cut(spark, make_files, tmp_path):
         }
     )
     found = {(r.file, r.rule_id) for r in project_scan.static_findings(files).collect()}
-    assert {("long.php", "SEC_DANGEROUS_EXEC"), ("line.php", "SEC_DANGEROUS_EXEC"), ("big/Dockerfile", "DOCKER_USER_ROOT")} <= found
+    assert {("long.php", "PHP_DANGEROUS_EXEC"), ("line.php", "PHP_DANGEROUS_EXEC"), ("big/Dockerfile", "DOCKER_USER_ROOT")} <= found
     assert lockfiles.dependencies(files).count() == 30_000
     report = json.dumps({"results": [{"test_id": f"B{i}", "line_number": i} for i in range(1500)]})
     reports = spark.createDataFrame([("p", "", report)], "project string, root string, payload string")
@@ -224,3 +224,19 @@ def test_a_baseline_leaves_other_projects(spark, make_files, tmp_path):
         found = project_scan.static_findings(make_files({"a.php": "eval($x);"}, project))
         baselines.write_baseline(found, path)
     assert sorted(r.project for r in baselines.read_baseline(spark, path).collect()) == ["p1", "p2"]
+
+
+def test_uris_and_listings_equal_the_walk(spark, tmp_path):
+    root = tmp_path / "tree"
+    for path, body in {**SHOP, "node_modules/x/a.js": "x", "a b/ä.php": "y", "System/core/CodeIgniter.php": "z"}.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(body)
+    columns = ["project", "path", "is_dir", "size", "content", "in_core"]
+
+    def rows(frame):
+        return sorted(tuple(r) for r in frame.select(*columns).fillna("", ["content"]).collect())
+
+    walked = rows(tree.read_tree(spark, str(root), "p"))
+    assert rows(tree.read_tree(spark, root.as_uri(), "p")) == walked
+    files = [("p", str(f.relative_to(root)), f.stat().st_size, f.read_text()) for f in root.rglob("*") if f.is_file()]
+    assert rows(tree.tree_rows(spark.createDataFrame(files, "project string, path string, size long, content string"))) == walked
