@@ -229,7 +229,7 @@ SELECT project, event_order,
   coalesce(json_extract_string(value, '$.type'), '') AS type,
   coalesce(json_extract_string(value, '$.message'), '') AS message,
   coalesce(json_extract_string(value, '$.file'), '') AS file,
-  CAST(coalesce(json_extract_string(value, '$.line'), '0') AS INTEGER) AS line,
+  CAST(coalesce(json_extract_string(value, '$.line'), '0') AS BIGINT) AS line,
   coalesce(json_extract_string(value, '$.severity'), '') AS severity
 FROM (SELECT * FROM runtime_json WHERE json_valid(value))
 WHERE coalesce(json_type(value, '$.line'), 'NULL') IN ('UBIGINT', 'BIGINT', 'NULL')

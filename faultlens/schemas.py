@@ -35,7 +35,7 @@ FINDING_COLUMNS = [f.name for f in FINDINGS.fields]
 
 RUNTIME_EVENT = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("timestamp", "type", "message", "file")]
-    + [T.StructField("line", T.IntegerType())]
+    + [T.StructField("line", T.LongType())]
     + [T.StructField(n, T.StringType()) for n in ("trace", "url", "method", "user", "severity", "app")]
 )
 

@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from faultlens.operators import errorgroups, loggroups
+from faultlens.operators import errorgroups, loggroups, windows
 from faultlens.sources import events, logs
 from faultlens.streaming import live
 
@@ -90,3 +91,16 @@ def test_streams_equal_batch(spark, tmp_path):
     want = errorgroups.runtime_groups(events.read_events(spark, str(tmp_path / "in"), ("*.txt",)))
     columns = ["type", "file", "line", "count", "last_seen", "last_message", "severity"]
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+
+
+def test_event_lines_beyond_32_bits(spark):
+    lines = spark.createDataFrame([('{"type": "E", "line": 5000000000}',)], "value string")
+    assert events.parse_events(lines).first().line == 5_000_000_000
+
+
+def test_large_limits_per_key_are_cut_in_buckets(spark):
+    rows = spark.range(20_000).selectExpr("'p' AS project", "id")
+    top = windows.first_n(rows, ["project"], [F.col("id").desc()], 2000)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window ") >= 2
+    assert sorted(r.id for r in top.collect()) == list(range(18_000, 20_000))
