@@ -668,32 +668,33 @@ register(
         "findings",
     ),
 )
-_JSON_DOC = (
-    "project STRING, summary STRUCT<total BIGINT, high BIGINT>, security_score STRUCT<value INT, grade STRING>, "
-    "findings ARRAY<STRUCT<rule STRING, cvss STRING, line INT, cwe STRING>>"
-)
-
-
-def json_export(spark: SparkSession, d: str) -> DataFrame:
-    docs = exports.json_documents(enriched(spark, d), summary(spark, d))
-    doc = F.from_json("document", _JSON_DOC)
-    rows = docs.select("project", doc.alias("d"))
-    return rows.groupBy("project").agg(
-        F.max("d.summary.total").alias("total"),
-        F.max("d.summary.high").alias("high"),
-        F.max("d.security_score.value").alias("security_score"),
-        F.sum(F.size("d.findings")).alias("exported"),
-        F.sum(F.aggregate("d.findings", F.lit(0).cast("long"), lambda a, x: a + x["line"])).alias("lines"),
-        F.sum(F.size(F.filter("d.findings", lambda x: x["cwe"].isNull()))).alias("without_cwe"),
-    )
 
 
+def _json_text(*fields: tuple[str, str]) -> str:
+    """A JSON object of the fields; those marked with ? are left out when empty."""
+    parts = []
+    for name, value in fields:
+        key = f"""',"{name.rstrip('?')}":' || {value if value.startswith("'") else f"to_json({value})"}"""
+        parts.append(f"CASE WHEN {value} <> '' THEN {key} ELSE '' END" if name.endswith("?") else key)
+    return "'{' || substr(" + " || ".join(parts) + ", 2) || '}'"
+
+
+_FINDING_JSON = _json_text(
+    ("rule", "rule_id"), ("severity", "severity"), ("cvss", case_table("severity", severity.CVSS, "'0.0'")), ("category", "category"),
+    ("title", "title"), ("file", "file"), ("line", "line"), ("snippet?", "snippet"), ("explanation?", "explanation"),
+    ("recommendation?", "recommendation"), ("cwe?", "cwe"), ("owasp?", "owasp"),
+)
 register(
     "s_13_json_export",
-    json_export,
+    # The time of the export is the only part that differs from run to run.
+    lambda spark, d: exports.json_rows(enriched(spark, d), summary(spark, d)).withColumn(
+        "text", F.regexp_replace("text", '"generated_at":"[^"]*"', '"generated_at":""')
+    ),
     sql(
-        """SELECT s.project, s.total, s.high, s.security_score, e.exported, e.lines, e.without_cwe FROM summary s JOIN (
-          SELECT project, count(*) AS exported, CAST(sum(line) AS BIGINT) AS lines, count(*) FILTER (cwe = '') AS without_cwe FROM enriched GROUP BY project) e USING (project)""",
+        f"""SELECT project, 1 AS part, {_FINDING_JSON} AS text FROM enriched UNION ALL
+        SELECT project, 0, '{{"project":' || to_json(project) || ',"generated_at":"","security_score":{{"value":' || security_score || ',"grade":"' || security_grade
+          || '"}},"code_health_score":{{"value":' || health_score || ',"grade":"' || health_grade || '"}},"summary":{{"total":' || total || ',"critical":' || critical
+          || ',"high":' || high || ',"medium":' || medium || ',"low":' || low || ',"remediation_effort_minutes":' || effort_minutes || '}}}}' FROM summary""",
         "summary", "enriched",
     ),
 )
@@ -714,32 +715,21 @@ register(
         "enriched",
     ),
 )
-_SARIF_DOC = (
-    "runs ARRAY<STRUCT<tool STRUCT<driver STRUCT<rules ARRAY<STRUCT<id STRING>>>>, results ARRAY<STRUCT<ruleId STRING, level STRING, "
-    "locations ARRAY<STRUCT<physicalLocation STRUCT<region STRUCT<startLine INT>>>>>>>>"
-)
-
-
-def sarif_export(spark: SparkSession, d: str) -> DataFrame:
-    docs = exports.sarif_documents(enriched(spark, d)).select("project", F.from_json("document", _SARIF_DOC).alias("d"))
-    run = docs.select("project", F.col("d.runs")[0].alias("r"))
-    results = F.col("r.results")
-    return run.groupBy("project").agg(
-        F.sum(F.size(results)).alias("results"),
-        F.sum(F.size(F.filter(results, lambda x: x["level"] == "error"))).alias("errors"),
-        F.sum(
-            F.size(F.filter(results, lambda x: x["locations"][0]["physicalLocation"]["region"].isNull()))
-        ).alias("without_region"),
-        F.max(F.size(F.col("r.tool.driver.rules"))).alias("rules"),
-    )
-
-
+_LEVEL = case_table("severity", {"Critical": "error", "High": "error", "Medium": "warning"}, "'note'")
+_RISK = case_table("severity", {"Critical": "9.5", "High": "8.0", "Medium": "5.0"}, "'2.0'")
 register(
     "s_15_sarif_export",
-    sarif_export,
-    sql(
-        """SELECT project, count(*) AS results, count(*) FILTER (severity IN ('Critical', 'High')) AS errors,
-          count(*) FILTER (line <= 0) AS without_region, CAST(count(DISTINCT rule_id) AS INTEGER) AS rules FROM enriched GROUP BY project""",
+    lambda spark, d: exports.sarif_rows(enriched(spark, d)),
+    sql(
+        f"""SELECT project, 1 AS part, '{{"ruleId":' || to_json(rule_id) || ',"level":"' || {_LEVEL} || '","message":{{"text":' || to_json(title || ' — ' || recommendation)
+          || '}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":' || to_json(replace(file, chr(92), '/')) || '}}'
+          || CASE WHEN line > 0 THEN ',"region":{{"startLine":' || line || '}}' ELSE '' END || '}}}}]}}' AS text FROM enriched
+        UNION ALL
+        SELECT project, 0, '{{"id":' || to_json(rule_id) || ',"name":' || to_json(title) || ',"shortDescription":{{"text":' || to_json(title)
+          || '}},"fullDescription":{{"text":' || to_json(explanation) || '}},"help":{{"text":' || to_json(recommendation) || '}},"properties":{{"tags":['
+          || array_to_string(list_filter([to_json(category), CASE WHEN cwe <> '' THEN to_json(cwe) END, CASE WHEN owasp <> '' THEN to_json('OWASP ' || owasp) END], lambda x: x IS NOT NULL), ',')
+          || '],"security-severity":"' || {_RISK} || '"}}}}'
+        FROM (SELECT *, row_number() OVER (PARTITION BY project, rule_id ORDER BY {ORDER}) AS place FROM enriched) WHERE place = 1""",
         "enriched",
     ),
 )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,48 +13,28 @@ from faultlens.functions import severity
 from faultlens.operators import grouping
 from faultlens.operators.findings import finding_order, order_key
 
-# Findings per document; a project with more gets several documents.
-PAGE_SIZE = 5000
 CSV_COLUMNS = ("Severity", "Category", "CWE", "OWASP", "File", "Line", "Title", "Recommendation")
+SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 
 
 def _omit_empty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def paged(findings: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
-    """Findings with the page of their project's export.
-
-    A project within one page keeps a single document. A larger one is spread by hash
-    over enough pages that none collects more than about ``page_size`` findings.
-    """
-    totals = findings.groupBy("project").agg(F.count("*").alias("_n"))
-    pages = F.ceil(F.col("_n") / page_size).cast("int")
-    spread = F.pmod(F.xxhash64("file", "line", "rule_id", "title", "ord"), pages).cast("int")
-    return (
-        findings.join(totals, "project")
-        .withColumn("page", F.when(F.col("_n") <= page_size, F.lit(0)).otherwise(spread))
-        .drop("_n")
-    )
-
+def _in_order(*parts: DataFrame) -> DataFrame:
+    """Rows of ``(project, part, place, text)`` sorted over ranges, of any number for a project."""
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows.orderBy("project", "part", "place").select("project", "part", "text")
 
-def _values(keyed: Column) -> Column:
-    """Values of ``array<struct<k, v>>`` in key order."""
-    return F.sort_array(keyed)["v"]
 
+def json_rows(findings: DataFrame, summary: DataFrame) -> DataFrame:
+    """``(project, part, text)``: part 0 is a project's head, part 1 its findings in order.
 
-def _joined(keyed: Column) -> Column:
-    """JSON texts of ``array<struct<k, v>>`` in key order as the inside of a JSON list."""
-    return F.array_join(F.sort_array(keyed)["v"], ",")
-
-
-def _ordered(struct: Column) -> Column:
-    """The page's structs in finding order."""
-    return _values(F.collect_list(F.struct(order_key().alias("k"), struct.alias("v"))))
-
-
-def json_documents(findings: DataFrame, summary: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
-    """``(project, page, document)``: scores, counts and enriched findings as JSON."""
+    The texts are JSON objects. A project's document is its head with the list ``findings``
+    of the other texts; ``json_document`` puts it together.
+    """
     finding = F.struct(
         F.col("rule_id").alias("rule"),
         "severity",
@@ -65,7 +48,7 @@ def json_documents(findings: DataFrame, summary: DataFrame, page_size: int = PAG
             for c in ("snippet", "explanation", "recommendation", "cwe", "owasp")
         ],
     )
-    lists = paged(findings, page_size).groupBy("project", "page").agg(_ordered(finding).alias("findings"))
+    items = findings.select("project", F.lit(1).alias("part"), order_key().alias("place"), F.to_json(finding).alias("text"))
     doc = F.struct(
         "project",
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("generated_at"),
@@ -75,10 +58,17 @@ def json_documents(findings: DataFrame, summary: DataFrame, page_size: int = PAG
             "total", "critical", "high", "medium", "low",
             F.col("effort_minutes").alias("remediation_effort_minutes"),
         ).alias("summary"),
-        "findings",
     )
-    joined = summary.join(lists, "project", "left").withColumn("page", F.coalesce("page", F.lit(0)))
-    return joined.select("project", "page", F.to_json(doc).alias("document"))
+    place = items.schema["place"].dataType
+    heads = summary.select("project", F.lit(0).alias("part"), F.lit(None).cast(place).alias("place"), F.to_json(doc).alias("text"))
+    return _in_order(heads, items)
+
+
+def json_document(rows: Iterable) -> str:
+    """The JSON document of one project from its ``json_rows`` in order."""
+    texts = [(r.part, r.text) for r in rows]
+    head = next(t for part, t in texts if part == 0)
+    return f'{head[:-1]},"findings":[{",".join(t for part, t in texts if part == 1)}]}}'
 
 
 def csv_rows(findings: DataFrame) -> DataFrame:
@@ -100,11 +90,12 @@ def write_csv(findings: DataFrame, path: str) -> None:
     csv_rows(findings).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def sarif_documents(
-    findings: DataFrame, tool_name: str = "faultlens", page_size: int = PAGE_SIZE
-) -> DataFrame:
-    """``(project, page, document)`` in SARIF 2.1.0; ``findings`` are enriched."""
-    rows = paged(findings, page_size)
+def sarif_rows(findings: DataFrame) -> DataFrame:
+    """``(project, part, text)``: part 0 are a project's rules, part 1 its results, both in finding order.
+
+    ``findings`` are enriched; the texts are JSON objects of SARIF 2.1.0. A rule comes with the
+    texts of its first finding. ``sarif_document`` puts a project's document together.
+    """
     region = F.when(F.col("line") > 0, F.struct(F.col("line").alias("startLine")))
     result = F.struct(
         F.col("rule_id").alias("ruleId"),
@@ -119,13 +110,10 @@ def sarif_documents(
             )
         ).alias("locations"),
     )
-    # Results and rules turn into JSON where they are, so that only a sort key and a text
-    # are shuffled. Per rule first, then per page: one pass over the findings gives both.
+    results = findings.select("project", F.lit(1).alias("part"), order_key().alias("place"), F.to_json(result).alias("text"))
     texts = F.struct("severity", "category", "title", "explanation", "recommendation", "cwe", "owasp")
-    by_rule = rows.groupBy("project", "page", "rule_id").agg(
-        F.min_by(texts, order_key()).alias("f"),
-        F.min(order_key()).alias("_first"),
-        F.collect_list(F.struct(order_key().alias("k"), F.to_json(result).alias("v"))).alias("_results"),
+    by_rule = findings.groupBy("project", "rule_id").agg(
+        F.min_by(texts, order_key()).alias("f"), F.min(order_key()).alias("place")
     )
     tags = F.array_compact(
         F.array(
@@ -145,21 +133,24 @@ def sarif_documents(
             severity.sarif_security_severity(F.col("f.severity")).alias("security-severity"),
         ).alias("properties"),
     )
-    pages = by_rule.groupBy("project", "page").agg(
-        _joined(F.collect_list(F.struct(F.col("_first").alias("k"), F.to_json(rule).alias("v")))).alias("rules"),
-        _joined(F.flatten(F.collect_list("_results"))).alias("results"),
-    )
-    driver = F.to_json(F.struct(F.lit(tool_name).alias("name"), F.lit(__version__).alias("version")))
-    document = F.concat(
-        F.lit('{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":'),
-        F.regexp_replace(driver, r"\}$", ""),
-        F.lit(',"rules":['),
-        F.col("rules"),
-        F.lit(']}},"results":['),
-        F.col("results"),
-        F.lit("]}]}"),
+    rules = by_rule.select("project", F.lit(0).alias("part"), "place", F.to_json(rule).alias("text"))
+    return _in_order(rules, results)
+
+
+def sarif_document(rows: Iterable, tool_name: str = "faultlens") -> str:
+    """The SARIF document of one project from its ``sarif_rows`` in order."""
+    texts = [(r.part, r.text) for r in rows]
+    rules, results = (",".join(t for part, t in texts if part == k) for k in (0, 1))
+    driver = json.dumps({"name": tool_name, "version": __version__})[:-1]
+    return (
+        f'{{"$schema":"{SARIF_SCHEMA}","version":"2.1.0","runs":[{{"tool":{{"driver":{driver},"rules":[{rules}]}}}},'
+        f'"results":[{results}]}}]}}'
     )
-    return pages.select("project", "page", document.alias("document"))
+
+
+def write_rows(rows: DataFrame, path: str) -> None:
+    """Store ``json_rows`` or ``sarif_rows`` in their order, as Parquet."""
+    rows.write.mode("overwrite").parquet(path)
 
 
 def attestations(

@@ -125,14 +125,14 @@ def test_carry_forward_over_buckets(spark):
 def test_exports(spark, frame):
     rows = fo.enrich(frame([finding("SEC_TOKEN", "Critical"), finding("PERF_SELECT_STAR", "Medium", "Performance", line=0, snippet="")]))
     scanned = spark.createDataFrame([("p", 10)], "project string, files_scanned long")
-    sarif = json.loads(exports.sarif_documents(rows).first().document)
+    sarif = json.loads(exports.sarif_document(exports.sarif_rows(rows).collect()))
     run = sarif["runs"][0]
     assert sarif["version"] == "2.1.0"
     assert [r["id"] for r in run["tool"]["driver"]["rules"]] == ["SEC_TOKEN", "PERF_SELECT_STAR"]
     assert run["tool"]["driver"]["rules"][0]["properties"]["security-severity"] == "9.5"
     assert [r["level"] for r in run["results"]] == ["error", "warning"]
     assert "region" not in run["results"][1]["locations"][0]["physicalLocation"]
-    doc = json.loads(exports.json_documents(rows, fo.summary(rows, scanned)).first().document)
+    doc = json.loads(exports.json_document(exports.json_rows(rows, fo.summary(rows, scanned)).collect()))
     assert doc["summary"]["total"] == 2 and doc["findings"][0]["cwe"] == "CWE-798"
     assert "snippet" not in doc["findings"][1]
     assert [r.Severity for r in exports.csv_rows(rows).collect()] == ["Critical", "Medium"]
@@ -142,12 +142,15 @@ def test_exports(spark, frame):
     assert "files_changed" not in att
 
 
-def test_large_projects_are_paged_whole(spark, frame):
-    rows = frame([finding(file=f"f{i}", line=i) for i in range(250)])
-    docs = [json.loads(r.document) for r in exports.sarif_documents(rows, page_size=40).collect()]
-    assert len(docs) > 1
-    uris = [r["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] for d in docs for r in d["runs"][0]["results"]]
-    assert sorted(uris) == sorted(f"f{i}" for i in range(250))
+def test_large_exports_keep_their_order(spark, frame):
+    rows = frame([finding(file=f"f{i:04}", line=i) for i in range(3000)])
+    doc = json.loads(exports.sarif_document(exports.sarif_rows(rows.repartition(7)).collect()))["runs"][0]
+    uris = [r["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] for r in doc["results"]]
+    assert uris == [f"f{i:04}" for i in range(3000)] and len(doc["tool"]["driver"]["rules"]) == 1
+    scanned = spark.createDataFrame([("p", 1), ("empty", 1)], "project string, files_scanned long")
+    parts = exports.json_rows(rows, fo.summary(rows, scanned)).collect()
+    assert [f["file"] for f in json.loads(exports.json_document([r for r in parts if r.project == "p"]))["findings"]] == uris
+    assert json.loads(exports.json_document([r for r in parts if r.project == "empty"]))["findings"] == []
 
 
 REPORTS = {
