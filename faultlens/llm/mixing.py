@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 BLOCKS = 10_000
 #: Default targets: a source weighs its row count to this power, which lifts small sources.
 POWER = 0.5
+#: Columns that a mixture adds.
+ADDED = ("mix_source", "weight", "block", "release", "deadline", "slot", "position")
 #: Rows of one source in a bucket that one task sorts, at most (on average).
 ROWS_PER_BUCKET = 200_000
 
@@ -94,8 +96,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, blocks: int
     no rows.
     """
     spark = docs.sparkSession
-    added = ["mix_source", "weight", "block", "release", "deadline", "slot", "position"]
-    docs = docs.drop(*added, "_bucket", "_order").withColumn("mix_source", F.coalesce(F.col("source").cast("string"), F.lit("")))
+    docs = docs.drop(*ADDED, "_bucket", "_order").withColumn("mix_source", F.coalesce(F.col("source").cast("string"), F.lit("")))
     # Bounded by the number of sources, which the targets name one by one.
     counts = {r["mix_source"]: r["count"] for r in docs.groupBy("mix_source").count().collect()}
     rows = sum(counts.values())
@@ -132,7 +133,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, blocks: int
         .withColumn("block", F.expr(f"_row div {size}"))
         .join(F.broadcast(table), ["mix_source", "block"])
         .withColumn("position", F.col("place") + F.col("_row") % size)
-        .select(*[c for c in docs.columns if c != "mix_source"], *added)
+        .select(*[c for c in docs.columns if c != "mix_source"], *ADDED)
     )
 
 
@@ -142,5 +143,6 @@ def in_mixed_order(docs: DataFrame, weights: Mapping[str, float] | None = None,
     Partitions hold consecutive ranges of positions and are sorted, so files written from
     the result follow the mixture from the first to the last.
     """
-    mixed = mix(docs, weights, blocks)
-    return mixed.orderBy("position").select(*docs.columns)
+    own = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c in ADDED}
+    mixed = mix(docs.withColumnsRenamed(own), weights, blocks).orderBy("position")
+    return mixed.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])

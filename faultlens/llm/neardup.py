@@ -2,11 +2,13 @@
 
 Texts become sets of word shingles; equal sets collapse first. MinHash signatures are cut
 into bands, and sets that agree in a band are candidates. Instead of all pairs of a band's
-bucket, every member meets the bucket's pivots: one at first, eight times as many in each
-later round, and only where the members still belong to different components. A pair is
-dropped as soon as a batch of signature values leaves less than the chosen probability
-that its similarity reaches the threshold; survivors are verified on their full texts.
-Links are contracted to components after every round.
+bucket, every member meets the bucket's pivots: one at first, more in a second round, and
+only where the members still belong to different components. A pair is dropped as soon as a
+batch of signature values leaves less than the chosen probability that its similarity
+reaches the threshold; survivors are verified on their full texts. Links are contracted to
+components after every round. What then still shares open buckets (texts with a common
+passage, copies edited so far that only some are similar) is compared set by set in blocks
+of bounded size, so that neither pairs nor groups are ever spelled out as rows.
 """
 
 from __future__ import annotations
@@ -34,8 +36,12 @@ PERCENT = 80
 HASHES, ROWS = 128, 4
 #: Signature values compared at a time, and the probability of dropping a pair at the threshold.
 BATCH, MISS = 16, 1e-6
-#: Pivots of a bucket grow by this factor from round to round.
-GROWTH = 8
+#: Pivots of a bucket in the two rounds (in the second, on average).
+PIVOTS = (1, 8)
+#: Shingles of a block of sets, about; sets of one block differ in size by at most this factor.
+BLOCK_SHINGLES, SIZE_STEP = 30_000, 1.1
+#: Doc_ids that are broadcast (8 bytes each, 24 with labels) to pick their texts; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 #: Words that are hashed together.
 CHUNK = 200_000
 
@@ -152,7 +158,7 @@ def _prune(batches: Iterator[pd.DataFrame], least: tuple[int, ...]) -> Iterator[
             part = slice(k * BATCH, (k + 1) * BATCH)
             matches[alive] += (left[alive, part] == right[alive, part]).sum(axis=1)
             alive = alive[matches[alive] >= needed]
-        yield batch.iloc[alive][["a", "b"]]
+        yield batch.iloc[alive][["a", "b", "label_a", "label_b"]]
 
 
 def shingles(text: str | None, size: int) -> set[tuple[bytes, ...]]:
@@ -173,50 +179,122 @@ def _verify(batches: Iterator[pd.DataFrame], size: int, percent: int) -> Iterato
             here = shingles(text_a, size)
             common = len(here & there)
             good.append(100 * common >= percent * (len(here) + len(there) - common) > 0)
-        yield batch.loc[good, ["a", "b"]]
+        yield batch.loc[good, ["a", "b", "label_a", "label_b"]]
 
 
-def _components(links: DataFrame) -> DataFrame:
-    """node and label, the least node it is connected to; for every node of a link.
+def _components(edges: DataFrame) -> DataFrame:
+    """node and label, the least node it is connected to; for every node of an edge (u, v).
 
-    Alternates two rules until nothing changes: every node's larger neighbours move to its
-    least neighbour, then its smaller ones do. Each is an aggregation and a join.
+    In each step a node and all its neighbours move to the least of them, which halves the
+    length of paths, until only stars around least nodes remain. A step is an aggregation
+    and a join, so nodes with very many neighbours are dealt out.
     """
-    edges = stored(
-        links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges"
-    )
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.where("u > v").distinct(), "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u")
-        small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            moved.select("u", F.col("m").alias("v"))
-        )
-        edges = stored(small.where("u > v").distinct(), "small-star")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == tuple(state):
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        moved = both.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        own = least.select("u", F.col("m").alias("v"))
+        edges = stored(moved.unionByName(own).where("u > v").distinct(), "stars")
+        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if mark == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
             )
-        mark = tuple(state)
+        mark = state
 
 
-def _relabelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """node and label after the labels that links join have become one."""
-    old = nodes.select(F.col("node"), F.col("label"))
-    ends = links.join(old.withColumnsRenamed({"node": "a", "label": "la"}), "a").join(
-        old.withColumnsRenamed({"node": "b", "label": "lb"}), "b"
-    )
-    joined = _components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(
-        F.col("node").alias("label"), F.col("label").alias("fresh")
+def _members(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members of the buckets ``(bucket, node, n_shingles)`` that hold several components."""
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    # A node's order in all its buckets is that of a hash; pivots are the first ones.
+    order = (F.pmod(F.xxhash64("node"), F.lit(1 << 52)) / F.lit(float(1 << 52))).alias("order")
+    return _open_members(buckets.join(sizes, "bucket").select("bucket", "node", "n_shingles", "size", order), nodes)
+
+
+def _families(members: DataFrame) -> DataFrame:
+    """node and family, for members of open buckets: those that buckets connect."""
+    least = members.groupBy("bucket").agg(F.min("node").alias("v"))
+    edges = members.join(least, "bucket").select(F.col("node").alias("u"), "v").where("u > v").distinct()
+    return _components(edges).withColumnRenamed("label", "family")
+
+
+def _set_rows(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    cache = _WordHashes()
+    for batch in batches:
+        sets = []
+        for text in batch["text"]:
+            tokens = words(text)
+            sets.append(_shingle_hashes(np.fromiter(map(cache.__getitem__, tokens), np.uint64, len(tokens)), size).tobytes())
+        out = batch[["node", "label", "family"]].copy()
+        out["hashes"] = sets
+        out["n"] = [len(x) // 8 for x in sets]
+        yield out[out["n"] > 0]
+
+
+def _block_links(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    """Links between the sets of two blocks, by one sparse product of their membership matrices."""
+
+    def block(items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        nodes = np.array([i["node"] for i in items], np.int64)
+        labels = np.array([i["label"] for i in items], np.int64)
+        counts = np.array([i["n"] for i in items], np.int64)
+        return nodes, labels, counts, np.frombuffer(b"".join(i["hashes"] for i in items), np.uint64)
+
+    for batch in batches:
+        for left, right in zip(batch["left"], batch["right"], strict=True):
+            (na, la, ca, ha), (nb, lb, cb, hb) = block(left), block(right)
+            # For every shingle of the left block, the sets on the right that hold it.
+            order = np.argsort(hb, kind="stable")
+            ranked, owner = hb[order], np.repeat(np.arange(len(nb)), cb)[order]
+            low, high = np.searchsorted(ranked, ha, "left"), np.searchsorted(ranked, ha, "right")
+            found = high - low
+            rows = np.repeat(np.repeat(np.arange(len(na)), ca), found)
+            at = np.repeat(low - np.concatenate([[0], np.cumsum(found)[:-1]]), found) + np.arange(found.sum())
+            shared = np.bincount(rows * len(nb) + owner[at], minlength=len(na) * len(nb)).reshape(len(na), len(nb))
+            similar = (100 * shared >= percent * (ca[:, None] + cb[None, :] - shared)) & (la[:, None] != lb[None, :])
+            i, j = np.nonzero(similar)
+            if len(i):
+                yield pd.DataFrame({"a": na[i], "b": nb[j], "label_a": la[i], "label_b": lb[j]})
+
+
+def _block_pairs(docs: DataFrame, members: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """All links between open members of a family, whatever their number.
+
+    Sets are dealt into blocks by size; only blocks of sizes that can be similar meet.
+    """
+    wanted = stored(_families(members).join(nodes, "node"), "families")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node")
+    sets = stored(
+        texts.mapInPandas(lambda x: _set_rows(x, size), "node long, label long, family long, hashes binary, n long").distinct(),
+        "sets",
+    ).withColumn("step", F.floor(F.log("n") / float(np.log(SIZE_STEP))).cast("int"))
+    loads = sets.groupBy("family", "step").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    blocks = stored(
+        sets.join(loads, ["family", "step"])
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        .groupBy("family", "step", "block")
+        .agg(F.collect_list(F.struct("node", "label", "n", "hashes")).alias("items")),
+        "blocks",
     )
-    return stored(
-        old.join(joined, "label", "left").select("node", F.coalesce("fresh", "label").alias("label")), "labels"
+    reach = int(np.ceil(np.log(100 / percent) / np.log(SIZE_STEP)))
+    left = blocks.withColumnsRenamed({"items": "left", "block": "block_l"})
+    right = blocks.select(F.col("family").alias("family_r"), F.col("step").alias("step_r"), F.col("block").alias("block_r"), F.col("items").alias("right"))
+    # Every block meets itself and those after it, up to the sizes that can be similar.
+    ahead = left.withColumn("step_l", F.col("step")).withColumn("step", F.explode(F.sequence(F.col("step"), F.col("step") + reach)))
+    met = ahead.join(
+        right,
+        (F.col("family") == F.col("family_r")) & (F.col("step") == F.col("step_r")) & ((F.col("step_l") < F.col("step_r")) | (F.col("block_l") <= F.col("block_r"))),
     )
+    return met.select("left", "right").mapInPandas(lambda x: _block_links(x, percent), "a long, b long, label_a long, label_b long")
+
+
+def _open_members(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members of the buckets that still hold several components, with their labels."""
+    labelled = members.drop("label").join(nodes, "node")
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    return stored(labelled.join(mixed.where("least < most").select("bucket"), "bucket"), "members")
 
 
 def near_duplicates(
@@ -243,50 +321,47 @@ def near_duplicates(
     )
     linked = described.where("n_shingles > 0 and doc_id is not null")
     # Equal sets collapse to their least doc_id.
-    reps = stored(linked.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("node")), "sets")
-    signed = linked.join(
-        reps.select("n_shingles", "k1", "k2", F.col("node").alias("doc_id")), ["n_shingles", "k1", "k2", "doc_id"]
-    ).select(F.col("doc_id").alias("node"), "bands", "signature")
-    buckets = signed.select("node", F.explode("bands").alias("bucket")).distinct()
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    # A node's order in all its buckets is that of a hash; pivots are the first ones.
-    order = (F.pmod(F.xxhash64("node"), F.lit(1 << 52)) / F.lit(float(1 << 52))).alias("order")
-    members = stored(buckets.join(sizes, "bucket").select("bucket", "node", "size", order), "buckets")
-    # Copies of one doc_id start out linked, as do equal sets of different ones.
-    nodes = stored(reps.select("node", F.col("node").alias("label")).distinct(), "labels")
+    set_key = ["n_shingles", "k1", "k2"]
+    reps = stored(
+        linked.groupBy(*set_key)
+        .agg(F.min_by(F.struct(F.col("doc_id").alias("node"), "bands", "signature"), "doc_id").alias("rep"))
+        .select(*set_key, "rep.*"),
+        "sets",
+    )
+    # Rows of one doc_id start out linked: they are one node.
+    nodes = reps.select("node", F.col("node").alias("label")).distinct()
+    members = _members(reps.select("node", "n_shingles", F.explode("bands").alias("bucket")), nodes)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signatures = signed.select("node", "signature")
+    signatures = reps.select("node", "signature")
 
-    low, high = -1.0, 0.0
-    while True:
-        labelled = members.join(nodes, "node")
-        open_buckets = labelled.groupBy("bucket").agg(
-            F.min("label").alias("least"), F.max("label").alias("most"), F.min(F.struct("order", "node", "label")).alias("first")
-        ).where("least < most")
-        if high == 0.0:
-            pivots = open_buckets.select("bucket", "first.*")
+    for pivot_count in PIVOTS:
+        if members.isEmpty():
+            break
+        if pivot_count == 1:
+            first = members.groupBy("bucket").agg(F.min(F.struct("order", "node", "label", "n_shingles")).alias("first"))
+            pivots = first.select("bucket", "first.*")
         else:
-            within = (F.col("order") >= F.lit(low) / F.col("size")) & (F.col("order") < F.lit(high) / F.col("size"))
-            pivots = labelled.where(within).join(open_buckets.select("bucket"), "bucket").select("bucket", "order", "node", "label")
-        pivots = pivots.withColumnsRenamed({"node": "b", "label": "label_b", "order": "order_b"})
+            pivots = members.where(F.col("order") < F.lit(float(pivot_count)) / F.col("size")).select(
+                "bucket", "order", "node", "label", "n_shingles"
+            )
+        pivots = pivots.withColumnsRenamed({"node": "b", "label": "label_b", "order": "order_b", "n_shingles": "n_b"})
+        # Sets of very different sizes cannot be similar.
+        small, large = F.least("n_shingles", "n_b"), F.greatest("n_shingles", "n_b")
         pairs = stored(
-            labelled.join(pivots, "bucket")
-            .where((F.col("label") != F.col("label_b")) & (F.col("order") > F.col("order_b")))
-            .select(F.col("node").alias("a"), "b")
+            members.join(pivots, "bucket")
+            .where((F.col("label") != F.col("label_b")) & (F.col("order") > F.col("order_b")) & (100 * small >= percent * large))
+            .select(F.col("node").alias("a"), "b", F.col("label").alias("label_a"), "label_b")
             .distinct(),
             "pairs",
         )
-        if not pairs.isEmpty():
-            nodes = _relabelled(nodes, _links(pairs, signatures, texts, shingle, percent, miss))
-        low, high = high, max(high, 1.0) * GROWTH
-        # Every bucket is settled once all its members have been pivots or share a component.
-        if members.join(nodes, "node").where(F.col("size") > low).groupBy("bucket").agg(
-            F.min("label").alias("least"), F.max("label").alias("most")
-        ).where("least < most").isEmpty():
-            break
-
-    merged = reps.join(nodes, "node").select("n_shingles", "k1", "k2", F.col("label").alias("component_id"))
-    return described.join(merged, ["n_shingles", "k1", "k2"], "left").select(
+        nodes = _merged(nodes, _links(pairs, signatures, texts, shingle, percent, miss))
+        # A bucket is settled once its members share a component, or have all been pivots.
+        members = _open_members(members.where(F.col("size") > (pivot_count if pivot_count > 1 else 2)), nodes)
+    if not members.isEmpty():
+        nodes = _merged(nodes, _block_pairs(texts, members, nodes, shingle, percent))
+
+    merged = reps.select(*set_key, "node").join(nodes, "node").select(*set_key, F.col("label").alias("component_id"))
+    return described.select("doc_id", *set_key).join(merged, set_key, "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"),
@@ -294,6 +369,15 @@ def near_duplicates(
     )
 
 
+def _merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """The nodes with one label for all labels that the links connect."""
+    edges = links.select(F.greatest("label_a", "label_b").alias("u"), F.least("label_a", "label_b").alias("v"))
+    joined = _components(stored(edges.distinct(), "edges")).select(F.col("node").alias("label"), F.col("label").alias("fresh"))
+    return stored(
+        nodes.join(joined, "label", "left").select("node", F.coalesce("fresh", "label").alias("label")), "labels"
+    )
+
+
 def _links(
     pairs: DataFrame, signatures: DataFrame, texts: DataFrame, shingle: int, percent: int, miss: float
 ) -> DataFrame:
@@ -301,19 +385,22 @@ def _links(
     side_a = signatures.withColumnsRenamed({"node": "a", "signature": "signature_a"})
     side_b = signatures.withColumnsRenamed({"node": "b", "signature": "signature_b"})
     least = least_matches(percent, miss)
+    out = "a long, b long, label_a long, label_b long"
     likely = stored(
-        pairs.join(side_a, "a").join(side_b, "b").mapInPandas(lambda x: _prune(x, least), "a long, b long").distinct(),
-        "likely",
+        pairs.join(side_a, "a").join(side_b, "b").mapInPandas(lambda x: _prune(x, least), out), "likely"
     )
+    # Only the texts of likely pairs are shuffled: their doc_ids are sent to the readers while
+    # they are few, and beyond that the texts are joined without.
+    ids = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
+    if ids.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
     text_a = texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"})
     text_b = texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"})
-    ends = likely.select(F.col("b")).distinct()
     return stored(
         likely.join(text_a, "a")
-        .join(text_b.join(ends, "b", "left_semi"), "b")
-        .select("a", "b", "text_a", "text_b")
-        .mapInPandas(lambda x: _verify(x, shingle, percent), "a long, b long")
-        .distinct(),
+        .join(text_b, "b")
+        .select("a", "b", "label_a", "label_b", "text_a", "text_b")
+        .mapInPandas(lambda x: _verify(x, shingle, percent), out),
         "links",
     )
 
