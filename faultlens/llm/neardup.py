@@ -328,8 +328,14 @@ def near_duplicates(
         .select(*set_key, "rep.*"),
         "sets",
     )
-    # Rows of one doc_id start out linked: they are one node.
     nodes = reps.select("node", F.col("node").alias("label")).distinct()
+    # Rows of one doc_id start out linked, whatever sets they collapsed into.
+    several = linked.groupBy("doc_id").agg(F.min("k1").alias("one"), F.max("k1").alias("other"))
+    several = stored(several.where("one < other").select("doc_id"), "repeated")
+    if not several.isEmpty():
+        own = linked.join(several, "doc_id").join(reps.select(*set_key, "node"), set_key).select("doc_id", "node")
+        least = own.groupBy("doc_id").agg(F.min("node").alias("label_b"))
+        nodes = _merged(nodes, own.join(least, "doc_id").select(F.col("node").alias("label_a"), "label_b"))
     members = _members(reps.select("node", "n_shingles", F.explode("bands").alias("bucket")), nodes)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signatures = reps.select("node", "signature")
