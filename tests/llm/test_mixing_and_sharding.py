@@ -53,6 +53,33 @@ def test_mixture_of_repeated_rows_and_nothing(corpus):
     assert ordered.columns == corpus([]).columns and {r.weight for r in ordered.collect()} == {3.0}
 
 
+def test_small_sources_beside_a_hot_one_hold_their_targets(corpus):
+    sources = ["hot"] * 20_000 + [f"s{k % 200}" for k in range(2_000)] + ["mid"] * 150
+    docs = corpus(["x"] * len(sources), sources=sources)
+    rows = sorted(mixing.mix(docs, blocks=200).select("position", "mix_source", "weight").collect())
+    assert [r.position for r in rows] == list(range(len(sources)))
+    weight, done = {r.mix_source: r.weight for r in rows}, Counter()
+    # Rows of 200 blocks: 111 of the hot source; each smaller one is within its own rows of its target.
+    bound = {"hot": 112, "mid": 112} | {f"s{k}": 11 for k in range(200)}
+    first_end = min(n / weight[s] for s, n in Counter(sources).items())
+    for r in rows:
+        done[r.mix_source] += 1
+        if r.position + 1 > first_end:
+            break
+        assert all(abs(done[s] - (r.position + 1) * w) < bound[s] for s, w in weight.items())
+    assert r.position > 1_000
+
+
+def test_every_row_of_a_schedule_meets_its_deadline():
+    counts = {"hot": 1_000_000} | {f"s{k}": 10 for k in range(2_000)} | {"mid": 257}
+    sizes = mixing.block_sizes(counts)
+    plan = mixing.pieces(counts, {s: n**0.5 for s, n in counts.items()}, sizes)
+    assert sum(n for *_, n in plan) == sum(counts.values())
+    assert all(release <= slot and slot + n <= deadline for _, _, release, deadline, slot, _, n in plan)
+    assert [slot for *_, slot, _, _ in plan] == [sum(n for *_, n in plan[:k]) for k in range(100)] + [p[4] for p in plan[100:]]
+    assert len({p[:2] for p in plan}) <= 2 * mixing.BLOCKS + 2 * len(counts) and len(plan) <= 2 * len({p[:2] for p in plan})
+
+
 def check_shards(rows, texts, n_shards):
     total, seen = sum(len((t or "").encode()) + 16 for t in texts), Counter()
     slots = defaultdict(list)
