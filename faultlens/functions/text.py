@@ -30,8 +30,20 @@ def truncate_bytes(c: Column, limit: int, ellipsis: str = "…") -> Column:
     return F.when(F.octet_length(c) > limit, F.concat(head, F.lit(ellipsis))).otherwise(c)
 
 
+SNIPPET_BYTES = 160
+
+
 def snippet(c: Column) -> Column:
-    return truncate_bytes(trim(c), 160)
+    return truncate_bytes(trim(c), SNIPPET_BYTES)
+
+
+def hash_if_cut(c: Column, limit: int) -> Column:
+    """Hash of a whole text that ``truncate_bytes`` cuts; null for one that it leaves as it is."""
+    return F.when(F.octet_length(c) > limit, F.sha2(c, 256))
+
+
+def snippet_identity(c: Column) -> Column:
+    return hash_if_cut(trim(c), SNIPPET_BYTES)
 
 
 def contains_any(c: Column, needles: Iterable[str]) -> Column:

@@ -76,6 +76,7 @@ def config_findings(files: DataFrame, rules: Sequence[rb.Rule] | None = None) ->
         hit.join(table, "number")
         .withColumn("file", F.col("path"))
         .withColumn("snippet", text.snippet(F.col("line")))
+        .withColumn("identity", text.snippet_identity(F.col("line")))
         .withColumn("line", F.col("line_no").cast("int"))
         .withColumn("phase", F.lit(PHASE_CONFIG))
         .withColumn("ord", F.col("number"))

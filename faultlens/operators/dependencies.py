@@ -44,6 +44,7 @@ def dependency_findings(deps: DataFrame, advisories: DataFrame) -> DataFrame:
         F.lit("").alias("owasp"),
         F.lit(PHASE_EXTERNAL).alias("phase"),
         F.lit(0).alias("ord"),
+        F.lit(None).cast("string").alias("identity"),
     )
     return made.select(*FINDING_COLUMNS)
 

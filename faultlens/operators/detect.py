@@ -193,6 +193,7 @@ def code_findings(files: DataFrame, rules: Sequence[rb.Rule] | None = None) -> D
         hit.join(table, "number")
         .withColumn("file", F.col("path"))
         .withColumn("snippet", text.snippet(shown))
+        .withColumn("identity", text.snippet_identity(shown))
         .withColumn("line", F.col("line_no").cast("int"))
         .withColumn("phase", F.when(catch, PHASE_CATCH).otherwise(PHASE_CODE))
         .withColumn("ord", F.col("number"))

@@ -52,7 +52,12 @@ def enrich(findings: DataFrame) -> DataFrame:
 
 def merge(*frames: DataFrame) -> DataFrame:
     """Bag union of findings from several sources."""
-    return reduce(DataFrame.unionByName, [f.select(*FINDING_COLUMNS) for f in frames])
+    return reduce(DataFrame.unionByName, [with_identity(f).select(*FINDING_COLUMNS) for f in frames])
+
+
+def with_identity(findings: DataFrame) -> DataFrame:
+    """The findings with their column ``identity``, null where a given table has none."""
+    return findings if "identity" in findings.columns else findings.withColumn("identity", F.lit(None).cast("string"))
 
 
 def in_scope(findings: DataFrame, categories: Iterable[str] = (), minimum: str = "") -> DataFrame:
@@ -74,10 +79,19 @@ def keep(findings: DataFrame, predicate: Column) -> DataFrame:
     return findings.where(predicate)
 
 
-def fingerprint() -> Column:
-    """Identity of a finding without its line: rule, file and offending text."""
+def fingerprint(identity: Column | None = None) -> Column:
+    """Identity of a finding without its line: rule, file and offending text.
+
+    ``identity`` stands for the text where the snippet or title shown is cut.
+    """
     text = F.when(F.col("snippet") != "", F.col("snippet")).otherwise(F.col("title"))
-    return F.sha1(F.concat_ws("|", F.col("rule_id"), F.col("file"), text))
+    whole = text if identity is None else F.coalesce(identity, text)
+    return F.sha1(F.concat_ws("|", F.col("rule_id"), F.col("file"), whole))
+
+
+def fingerprinted(findings: DataFrame) -> DataFrame:
+    """The findings with the fingerprints of their whole texts."""
+    return with_identity(findings).withColumn("fingerprint", fingerprint(F.col("identity"))).select(*findings.columns, "fingerprint")
 
 
 def suppress_known(findings: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -86,7 +100,7 @@ def suppress_known(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     The baseline's size is left to the optimizer: it is broadcast when its statistics
     allow, else the join shuffles and splits frequent fingerprints.
     """
-    marked = findings.withColumn("fingerprint", fingerprint())
+    marked = fingerprinted(findings)
     return marked.join(baseline, ["project", "fingerprint"], "left_anti").drop("fingerprint")
 
 

@@ -48,5 +48,6 @@ def manifest_findings(files: DataFrame) -> DataFrame:
         .withColumn("explanation", F.replace("explanation", F.lit("{version}"), F.col("version")))
         .withColumn("phase", F.lit(PHASE_CODE))
         .withColumn("ord", F.col("number"))
+        .withColumn("identity", F.lit(None).cast("string"))
         .select(*FINDING_COLUMNS)
     )

@@ -501,7 +501,7 @@ register(
 )
 register(
     "x_2_fingerprint",
-    lambda spark, d: _count(found(spark, d).withColumn("fingerprint", fo.fingerprint()), "fingerprint"),
+    lambda spark, d: _count(fo.fingerprinted(found(spark, d)), "fingerprint"),
     sql(f"SELECT {FINGERPRINT} AS fingerprint, count(*) AS n FROM findings GROUP BY ALL", "findings"),
 )
 

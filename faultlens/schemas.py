@@ -31,7 +31,9 @@ FINDINGS = T.StructType(
         T.StructField("ord", T.IntegerType()),
     ]
 )
-FINDING_COLUMNS = [f.name for f in FINDINGS.fields]
+#: Findings also carry ``identity``: a hash of the whole snippet (or of the whole title, without
+#: a snippet) where the shown one is cut, else null. Given tables need not have it.
+FINDING_COLUMNS = [*[f.name for f in FINDINGS.fields], "identity"]
 
 RUNTIME_EVENT = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("timestamp", "type", "message", "file")]

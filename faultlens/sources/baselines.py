@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.operators.findings import fingerprint
+from faultlens.operators.findings import fingerprinted
 
 
 #: Files of a project's baseline, at most.
@@ -14,7 +14,7 @@ FILES_PER_PROJECT = 8
 
 def baseline_of(findings: DataFrame) -> DataFrame:
     """Distinct ``(project, fingerprint)`` of findings."""
-    return findings.select("project", fingerprint().alias("fingerprint")).distinct()
+    return fingerprinted(findings).select("project", "fingerprint").distinct()
 
 
 def write_baseline(findings: DataFrame, path: str) -> None:

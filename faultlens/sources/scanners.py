@@ -55,9 +55,22 @@ def _from_first(payload: Column, opening: str) -> Column:
     return F.when(at > 1, F.substring(payload, at, F.length(payload))).otherwise(payload)
 
 
+def _whole_line(c: Column) -> Column:
+    """Line feeds to blanks, trimmed."""
+    return text.trim(F.translate(_or_empty(c), "\n", " "))
+
+
 def _one_line(c: Column) -> Column:
     """Line feeds to blanks, trimmed, cut to the title length."""
-    return text.truncate_bytes(text.trim(F.translate(_or_empty(c), "\n", " ")), MAX_TITLE)
+    return text.truncate_bytes(_whole_line(c), MAX_TITLE)
+
+
+def _identity(title: Column, snippet: Column | None = None) -> Column:
+    """Hash of what ``_one_line`` cuts of a snippet, or of a title without a snippet."""
+    of_title = text.hash_if_cut(_whole_line(title), MAX_TITLE)
+    if snippet is None:
+        return of_title
+    return F.when(_whole_line(snippet) != "", text.hash_if_cut(_whole_line(snippet), MAX_TITLE)).otherwise(of_title)
 
 
 def _level(c: Column) -> Column:
@@ -73,6 +86,7 @@ def _findings(rows: DataFrame, engine: str, **columns: Column) -> DataFrame:
         "recommendation": F.lit(REVIEW[engine]),
         "phase": F.lit(PHASE_EXTERNAL),
         "ord": F.col("pos"),
+        "identity": F.lit(None).cast("string"),
         **columns,
     }
     values["line"] = F.coalesce(values["line"], F.lit(0))
@@ -148,7 +162,7 @@ def _excerpt_line(code: Column, number: Column) -> Column:
     )
     filled = F.filter(parts, lambda p: p["code"] != "")
     wanted = F.filter(filled, lambda p: p["n"] == number)
-    return _one_line(F.coalesce(F.get(wanted, 0)["code"], F.get(filled, 0)["code"], F.lit("")))
+    return F.coalesce(F.get(wanted, 0)["code"], F.get(filled, 0)["code"], F.lit(""))
 
 
 def bandit_findings(reports: DataFrame, limit: int | None = None) -> DataFrame:
@@ -165,7 +179,8 @@ def bandit_findings(reports: DataFrame, limit: int | None = None) -> DataFrame:
         title=_one_line(F.col("r.issue_text")),
         file=paths.relative_to(_or_empty(F.col("r.filename")), F.col("root")),
         line=number,
-        snippet=_excerpt_line(F.col("r.code"), number),
+        snippet=_one_line(_excerpt_line(F.col("r.code"), number)),
+        identity=_identity(F.col("r.issue_text"), _excerpt_line(F.col("r.code"), number)),
         explanation=_or_empty(F.col("r.issue_text")),
         cwe=F.when(cwe > 0, F.concat(F.lit("CWE-"), cwe.cast("string"))).otherwise(""),
     )
@@ -186,6 +201,7 @@ def gosec_findings(reports: DataFrame, limit: int | None = None) -> DataFrame:
         file=paths.relative_to(_or_empty(F.col("r.file")), F.col("root")),
         line=F.coalesce(F.when(line.rlike(r"^[+-]?[0-9]+$"), line.try_cast("int")), F.lit(0)),
         snippet=_one_line(F.col("r.code")),
+        identity=_identity(F.col("r.details"), F.col("r.code")),
         explanation=_or_empty(F.col("r.details")),
         cwe=F.when(cwe != "", F.concat(F.lit("CWE-"), cwe)).otherwise(""),
     )
@@ -218,6 +234,7 @@ def eslint_findings(reports: DataFrame, limit: int | None = None) -> DataFrame:
         severity=F.when(F.col("r.m.severity") >= 2, "Medium").otherwise("Low"),
         category=F.lit("Error Handling"),
         title=_one_line(F.col("r.m.message")),
+        identity=_identity(F.col("r.m.message")),
         file=paths.relative_to(_or_empty(F.col("r.path")), F.col("root")),
         line=F.col("r.m.line"),
         explanation=_or_empty(F.col("r.m.message")),
@@ -241,6 +258,7 @@ def phpstan_findings(reports: DataFrame, limit: int | None = None) -> DataFrame:
         severity=F.lit("Medium"),
         category=F.lit("Error Handling"),
         title=_one_line(F.col("r.m.message")),
+        identity=_identity(F.col("r.m.message")),
         file=paths.relative_to(_or_empty(F.col("r.path")), F.col("root")),
         line=F.col("r.m.line"),
         explanation=_or_empty(F.col("r.m.message")),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from faultlens.operators import compliance, dependencies, diffscope, grouping, insights, technology
 from faultlens.operators import findings as fo
 from faultlens.operators.windows import carry_forward
+from faultlens.plans import project_scan
 from faultlens.schemas import FINDINGS
 from faultlens.sources import baselines, exports, history, lockfiles, scanners
 
@@ -51,6 +52,39 @@ def test_baseline_survives_moved_lines(frame):
     assert [r.rule_id for r in kept] == ["N"]
 
 
+def test_a_baseline_tells_lines_apart_that_differ_after_the_snippet(make_files):
+    long = "x" * 200
+
+    def found(a, b):
+        files = make_files({"a.py": f"x = eval('{long}{a}')\n", "Dockerfile": f"ENV API_KEY={long}{b}\n"})
+        return project_scan.static_findings(files)
+
+    old, now = found("1", "1"), found("2", "2")
+    both = fo.merge(old, now)
+    assert both.select("file", "snippet").distinct().count() == 2 == old.count()
+    assert fo.suppress_known(now, baselines.baseline_of(old)).count() == 2
+    assert fo.suppress_known(now, baselines.baseline_of(both)).count() == 0
+    assert baselines.baseline_of(both).count() == 4
+    # Whole snippets keep the fingerprints that stored baselines have.
+    whole = found("", "").withColumn("snippet", F.lit("s")).withColumn("identity", F.lit(None).cast("string"))
+    assert fo.suppress_known(whole, whole.select("project", fo.fingerprint().alias("fingerprint"))).count() == 0
+
+
+def test_a_baseline_tells_cut_scanner_texts_apart(spark):
+    def found(engine, payload):
+        return scanners.ENGINES[engine](spark.createDataFrame([("p", "/r", json.dumps(payload))], "project string, root string, payload string"))
+
+    for engine, payload in {
+        "eslint": lambda x: [{"filePath": "/r/a.js", "messages": [{"ruleId": "r", "message": "m" * 900 + x, "line": 1, "severity": 2}]}],
+        "gosec": lambda x: {"Issues": [{"rule_id": "G", "details": "d", "file": "/r/a.go", "code": "c" * 900 + x, "line": "1", "severity": "LOW"}]},
+        "bandit": lambda x: {"results": [{"test_id": "B", "issue_text": "t", "filename": "/r/a.py", "code": "1 " + "c" * 900 + x, "line_number": 1}]},
+    }.items():
+        old, now = found(engine, payload("1")), found(engine, payload("2"))
+        assert now.count() == 1 and now.select("title", "snippet").exceptAll(old.select("title", "snippet")).count() == 0
+        assert fo.suppress_known(now, baselines.baseline_of(old)).count() == 1
+        assert fo.suppress_known(now, baselines.baseline_of(now)).count() == 0
+
+
 def test_compliance(spark, frame):
     rows = fo.enrich(
         frame([finding("DB_RAW_SQL_CONCAT"), finding("DB_RAW_SQL_CONCAT"), finding("SEC_TOKEN", "Critical"), finding("PERF_SELECT_STAR")])
