@@ -5,7 +5,10 @@ table cell), missing tags of tables are put in, and end tags close up to their e
 Rendering walks the tree the way a page is laid out: hidden elements are left out, blocks
 stand on lines of their own, paragraphs and the like are set apart by a blank line, list
 items get bullets or numbers and are indented by depth, preformatted text keeps its spaces,
-and the cells of a table are padded to common column widths.
+and the cells of a table are padded to common column widths. Formulas, labels of inline
+drawings, choices and the content of text areas stand in the line; what a drawing or formula
+holds but does not show itself (titles, definitions, annotations) is left out, and so is text
+that only a reference to a definition would show.
 """
 
 from __future__ import annotations
@@ -28,9 +31,16 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 HIDDEN = frozenset(
-    "head script style template noscript noembed noframes iframe object audio video canvas svg math datalist "
-    "select option textarea title meta link base".split()
+    "head script style template noscript noembed noframes iframe object audio video canvas datalist "
+    "title meta link base".split()
 )
+#: What stands in a drawing or formula but is not shown: descriptions, definitions, other notations.
+HIDDEN_IN = {
+    "svg": frozenset("title desc metadata defs symbol clippath mask marker pattern lineargradient radialgradient filter".split()),
+    "math": frozenset("annotation annotation-xml mphantom".split()),
+}
+#: Text of these stands apart from what is beside it on the line: labels and choices.
+SPACED = frozenset("svg text foreignobject mtd select optgroup option textarea".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr fieldset".split())
 BLOCK = APART | frozenset(
     "html body address article aside div dd dt details dialog figcaption footer form header hgroup legend li main "
@@ -64,6 +74,7 @@ _TAG = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
+_BARE_VALUE_END = re.compile(r"=\s*[^\s\"'=<>`]*/\Z")
 _INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.IGNORECASE)
 
 
@@ -72,9 +83,10 @@ class Element:
     tag: str
     attributes: dict[str, str] = field(default_factory=dict)
     children: list = field(default_factory=list)
+    unseen: bool = False
 
     def hidden(self) -> bool:
-        if self.tag in HIDDEN or "hidden" in self.attributes:
+        if self.unseen or self.tag in HIDDEN or "hidden" in self.attributes:
             return True
         if self.tag == "input" or (self.tag == "dialog" and "open" not in self.attributes):
             return True
@@ -123,9 +135,17 @@ def parse(source: str) -> Element:
         siblings = stack[at - 1].children if at else stack[-1].children
         siblings.insert(len(siblings) - 1 if at else len(siblings), node)
 
-    def open_element(tag: str, attributes: dict[str, str]) -> Element:
-        element = Element(tag, attributes)
+    def foreign() -> bool:
+        return bool(is_open["svg"] or is_open["math"]) and not is_open["foreignobject"]
+
+    def made(tag: str, attributes: dict[str, str]) -> Element:
+        unseen = foreign() and any(is_open[kind] and tag in tags for kind, tags in HIDDEN_IN.items())
+        element = Element(tag, attributes, unseen=unseen)
         place(element)
+        return element
+
+    def open_element(tag: str, attributes: dict[str, str]) -> Element:
+        element = made(tag, attributes)
         stack.append(element)
         is_open[tag] += 1
         return element
@@ -140,6 +160,11 @@ def parse(source: str) -> Element:
             place(html.unescape(source[at : match.start()]))
         at = match.end()
         if match[2] is None:
+            if foreign() and source.startswith("<![CDATA[", match.start()):
+                stop = source.find("]]>", match.start())
+                stop = n if stop < 0 else stop
+                place(source[match.start() + 9 : stop])
+                at = min(n, stop + 3)
             continue
         tag = match[2].lower()
         if match[1]:
@@ -175,8 +200,10 @@ def parse(source: str) -> Element:
             close(closed, barrier)
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
             open_element("tr", {})
-        if tag in VOID:
-            place(Element(tag, attributes))
+        # Elements of drawings and formulas may end in their start tag.
+        rest = match[3].rstrip()
+        if tag in VOID or (rest.endswith("/") and not _BARE_VALUE_END.search(rest) and (foreign() or tag in HIDDEN_IN)):
+            made(tag, attributes)
             continue
         element = open_element(tag, attributes)
         if tag in RAW:
@@ -360,6 +387,17 @@ def render(root: Element, level: int = 0) -> str:
         if edge:
             edge()
             todo.append(("end", edge, depth))
+        if tag in SPACED or (tag == "tspan" and not node.attributes.keys().isdisjoint(("x", "y", "dy"))):
+            out.text(" ")
+            todo.append(("end", lambda: out.text(" "), depth))
+            label = node.attributes.get("label", "") if tag in ("optgroup", "option") else ""
+            if label and (tag == "optgroup" or not any(c.strip() for c in _strings(node))):
+                out.text(f" {label} ")
+        if tag == "mfrac":
+            parts = [c for c in node.children if not isinstance(c, str)]
+            apart = [x for part in parts for x in (" ", part)][1:]
+            todo.extend(("walk", x, depth) for x in reversed(apart))
+            continue
         if tag in ("td", "th"):
             todo.append(("end", lambda: out.text(" "), depth))
         todo.extend(("walk", child, depth) for child in reversed(node.children))

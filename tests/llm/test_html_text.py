@@ -30,6 +30,33 @@ def test_visibility():
     assert h.title(h.parse("<title> A &amp;\n B</title>")) == "A & B"
 
 
+def test_formulas():
+    assert text("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then") == "if x=1 then"
+    formula = "<semantics><mfrac><mi>a</mi><mn>2</mn></mfrac><annotation encoding=tex>\\frac</annotation></semantics>"
+    assert text(f"<p>is <math>{formula}</math>.") == "is a 2."
+    assert text("<math><mtable><mtr><mtd>1<mtd>2</mtable></math>") == "1 2"
+    assert text("<math><mspace/><mi>y</mi></math><p>after") == "y\n\nafter"
+
+
+def test_labels_of_drawings():
+    unseen = "<title>t</title><desc>d</desc><defs><text>n</text></defs><style>s</style><script>j</script><clipPath/>"
+    drawing = f"<svg viewBox='0 0 1 1'>{unseen}<path d='M0'/><text>In</text><g><text>Out <tspan x=1>two</tspan><tspan x=1>lines</tspan></text></g></svg>"
+    assert text(f"<p>see {drawing} here") == "see In Out two lines here"
+    assert text("<svg><desc/><text>a</text><foreignObject><div>b</div></foreignObject></svg>c") == "a\nb\nc"
+    assert text("<svg><text><![CDATA[a > b]]></text></svg>") == "a > b"
+    assert text("<svg aria-hidden=true><text>n</text></svg><svg/><desc>seen</desc>") == "seen"
+
+
+def test_choices():
+    source = "Size <select><option>S<option selected>M<optgroup label=Big><option>L<option label=XL></optgroup></select> please"
+    assert text(source) == "Size S M Big L XL please"
+    assert text("<datalist><option>n</datalist><select hidden><option>n</select>x") == "x"
+
+
+def test_text_areas():
+    assert text("Note<textarea rows=2>\nfirst &amp; <b>second</textarea>end") == "Note first & <b>second end"
+
+
 def test_preformatted_text_keeps_spaces():
     assert text("<pre>\n  a\n    b  c\n</pre>after") == "  a\n    b  c\n\nafter"
 
