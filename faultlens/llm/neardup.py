@@ -38,8 +38,10 @@ HASHES, ROWS = 128, 4
 BATCH, MISS = 16, 1e-6
 #: Pivots of a bucket in the two rounds (in the second, on average).
 PIVOTS = (1, 8)
-#: Shingles of a block of sets, about; sets of one block differ in size by at most this factor.
-BLOCK_SHINGLES, SIZE_STEP = 30_000, 1.1
+#: Shingles and sets of a block, about; sets of one block differ in size by at most this factor.
+BLOCK_SHINGLES, BLOCK_SETS, SIZE_STEP = 30_000, 5_000, 1.1
+#: Equal shingles of two blocks that are counted at a time, and cells of the count matrix.
+MATCHES, CELLS = 1_000_000, 2_000_000
 #: Doc_ids that are broadcast (8 bytes each, 24 with labels) to pick their texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Words that are hashed together.
@@ -232,8 +234,33 @@ def _set_rows(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFra
         yield out[out["n"] > 0]
 
 
+def _shared(hashes: np.ndarray, counts: np.ndarray, ranked: np.ndarray, owner: np.ndarray, width: int) -> np.ndarray:
+    """How many shingles each set on the left shares with each of the ``width`` sets on the right.
+
+    ``ranked`` holds the right shingles in order, and ``owner`` their sets. Shingles on the left are taken
+    in slices of so many matches (one shingle has at most ``width``), so memory does not depend on how
+    common shingles are.
+    """
+    shared = np.zeros(len(counts) * width, np.int32)
+    low = np.searchsorted(ranked, hashes, "left")
+    found = np.searchsorted(ranked, hashes, "right") - low
+    before = np.concatenate([[0], np.cumsum(found)])
+    base = np.repeat(np.arange(len(counts), dtype=np.int64), counts) * width
+    start = 0
+    while start < len(hashes):
+        stop = max(start + 1, int(np.searchsorted(before, before[start] + MATCHES, "right")) - 1)
+        n = found[start:stop]
+        at = np.repeat(low[start:stop] - (before[start:stop] - before[start]), n) + np.arange(before[stop] - before[start])
+        cells = np.repeat(base[start:stop], n) + owner[at]
+        # Only cells of the sets that the slice touches are counted.
+        first, last = base[start], base[stop - 1] + width
+        shared[first:last] += np.bincount(cells - first, minlength=last - first).astype(np.int32)
+        start = stop
+    return shared.reshape(len(counts), width)
+
+
 def _block_links(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
-    """Links between the sets of two blocks, by one sparse product of their membership matrices."""
+    """Links between the sets of two blocks, by a sparse product of their membership matrices in slices."""
 
     def block(items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         nodes = np.array([i["node"] for i in items], np.int64)
@@ -244,18 +271,19 @@ def _block_links(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.D
     for batch in batches:
         for left, right in zip(batch["left"], batch["right"], strict=True):
             (na, la, ca, ha), (nb, lb, cb, hb) = block(left), block(right)
-            # For every shingle of the left block, the sets on the right that hold it.
             order = np.argsort(hb, kind="stable")
             ranked, owner = hb[order], np.repeat(np.arange(len(nb)), cb)[order]
-            low, high = np.searchsorted(ranked, ha, "left"), np.searchsorted(ranked, ha, "right")
-            found = high - low
-            rows = np.repeat(np.repeat(np.arange(len(na)), ca), found)
-            at = np.repeat(low - np.concatenate([[0], np.cumsum(found)[:-1]]), found) + np.arange(found.sum())
-            shared = np.bincount(rows * len(nb) + owner[at], minlength=len(na) * len(nb)).reshape(len(na), len(nb))
-            similar = (100 * shared >= percent * (ca[:, None] + cb[None, :] - shared)) & (la[:, None] != lb[None, :])
-            i, j = np.nonzero(similar)
-            if len(i):
-                yield pd.DataFrame({"a": na[i], "b": nb[j], "label_a": la[i], "label_b": lb[j]})
+            # Some sets of the left block at a time, for a matrix of bounded size.
+            ends = np.concatenate([[0], np.cumsum(ca)])
+            step = max(1, CELLS // len(nb))
+            for top in range(0, len(na), step):
+                part = slice(top, min(top + step, len(na)))
+                shared = _shared(ha[ends[part.start] : ends[part.stop]], ca[part], ranked, owner, len(nb))
+                similar = (np.int64(100) * shared >= percent * (ca[part, None] + cb[None, :] - shared)) & (la[part, None] != lb[None, :])
+                i, j = np.nonzero(similar)
+                i = i + top
+                if len(i):
+                    yield pd.DataFrame({"a": na[i], "b": nb[j], "label_a": la[i], "label_b": lb[j]})
 
 
 def _block_pairs(docs: DataFrame, members: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -270,7 +298,9 @@ def _block_pairs(docs: DataFrame, members: DataFrame, nodes: DataFrame, size: in
         texts.mapInPandas(lambda x: _set_rows(x, size), "node long, label long, family long, hashes binary, n long").distinct(),
         "sets",
     ).withColumn("step", F.floor(F.log("n") / float(np.log(SIZE_STEP))).cast("int"))
-    loads = sets.groupBy("family", "step").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    loads = sets.groupBy("family", "step").agg(
+        F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_SETS)).alias("blocks")
+    )
     blocks = stored(
         sets.join(loads, ["family", "step"])
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))

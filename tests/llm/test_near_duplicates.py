@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 
 from faultlens.llm import neardup
 
@@ -59,6 +61,54 @@ def test_short_null_repeated_and_shared_ids(corpus):
     assert neardup.near_duplicates(corpus([]), 4).collect() == []
 
 
+def _block(texts, first):
+    cache = neardup._WordHashes()
+    sets = []
+    for k, text in enumerate(texts):
+        hashes = neardup._shingle_hashes(np.array([cache[w] for w in neardup.words(text)], np.uint64), 5)
+        sets.append({"node": first + k, "label": first + k, "n": len(hashes), "hashes": hashes.tobytes()})
+    return sets
+
+
+def test_blocks_of_short_texts_with_a_common_passage_take_little_memory():
+    passage = "one two three four five six seven eight"
+    texts = [f"{passage} a{k} b{k}" for k in range(4_000)]
+    # Every hundredth text has a copy on the other side.
+    left = _block(texts, 0)
+    other = [f"{passage} {'a' if k % 100 == 0 else 'c'}{k} b{k}" for k in range(4_000)]
+    other[1] = "p q r s t u v w x y z 1 2 3"
+    right = _block(other, 10_000)
+    tracemalloc.start()
+    out = list(neardup._block_links(iter([pd.DataFrame({"left": [left], "right": [right]})]), 80))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    found = {(a, b) for frame in out for a, b in zip(frame["a"], frame["b"], strict=True)}
+    assert found == {(k, 10_000 + k) for k in range(0, 4_000, 100)}
+    assert peak < 200_000_000
+
+
+def test_blocks_in_slices_give_the_links_of_all_pairs(monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(5, 40))) for _ in range(120)]
+    left, right = _block(texts[:70], 0), _block(texts[50:], 50)
+    sets = {i["node"]: set(np.frombuffer(i["hashes"], np.uint64).tolist()) for i in left + right}
+    want = {
+        (a["node"], b["node"]) for a in left for b in right
+        if a["node"] != b["node"] and 100 * len(sets[a["node"]] & sets[b["node"]]) >= 30 * len(sets[a["node"]] | sets[b["node"]])
+    }
+    assert want
+    for matches, cells in ((1, 1), (7, 200), (300, 1_000), (10**6, 10**6)):
+        monkeypatch.setattr(neardup, "MATCHES", matches)
+        monkeypatch.setattr(neardup, "CELLS", cells)
+        out = neardup._block_links(iter([pd.DataFrame({"left": [left], "right": [right]})]), 30)
+        assert {(a, b) for frame in out for a, b in zip(frame["a"], frame["b"], strict=True)} == want
+
+
+def test_short_texts_with_a_common_passage_are_compared_in_full(corpus):
+    passage = "one two three four five six seven eight nine ten eleven twelve"
+    check(corpus, [f"{passage} a{k // 2} b{k}" for k in range(300)], list(range(300)), size=5)
+
+
 def test_one_of_each_stays(corpus, prose):
     kept = neardup.keep_one_of_each(corpus([*prose, prose[0], None], [*range(len(prose)), 0, None]))
     want, _ = grouped(list(enumerate(prose)), neardup.SHINGLE)
