@@ -31,11 +31,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SAMPLE = 10_000
 #: Lengths of word beginnings that may become entries; whole words may, too.
 STEMS = range(3, 9)
-#: An entry needs this share of the sample's toxic documents, and so many that all of its
-#: holders are toxic by luck with less than this probability.
-SHARE, LUCK = 0.01, 1e-7
-#: Least log odds of an entry, and the most entries.
-ODDS, ENTRIES = 3.0, 2_000
+#: An entry needs so many toxic documents that all of its holders are toxic by luck with less
+#: than this probability.
+LUCK = 1e-7
+#: Least log odds of an entry.
+ODDS = 3.0
 #: Clean documents that must hold a phrase for it to be an exception.
 EXCEPTION_SUPPORT = 3
 #: Rows whose crc32(doc_id) leaves this remainder are held out of the fit.
@@ -155,7 +155,8 @@ def _count(frame: DataFrame, of) -> DataFrame:
             for text, label in zip(batch["text"], batch["toxic"], strict=True):
                 (toxic if label else clean).update(of(fold(text)))
             keys = list(toxic.keys() | clean.keys())
-            yield pd.DataFrame({"feature": keys, "toxic": [toxic[k] for k in keys], "clean": [clean[k] for k in keys]})
+            if keys:  # an empty list makes a column of floats, which Arrow can't turn into strings
+                yield pd.DataFrame({"feature": keys, "toxic": [toxic[k] for k in keys], "clean": [clean[k] for k in keys]})
 
     counted = frame.select("text", "toxic").mapInPandas(batches, "feature string, toxic long, clean long")
     return counted.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -170,30 +171,27 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
         rate = (sizes.get(1, (0, 0.0))[1] + 0.5) / (sum(s[1] for s in sizes.values()) + 1)
         return Lexicon({}, {}, (float(np.log(rate / (1 - rate))), 0.0, 0.0))
 
-    support = max(SHARE * n_toxic, np.log(LUCK) / np.log(n_toxic / (n_toxic + n_clean)))
-    # Features that many toxic documents have: by that support, boundedly many.
-    often = _count(sample.where("toxic = 1"), features).where(F.col("toxic") >= support).select("feature")
-    wanted = frozenset(r["feature"] for r in often.collect())
+    support = np.log(LUCK) / np.log(n_toxic / (n_toxic + n_clean))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
+    # Those of the sample alone, so boundedly many.
     found = (
-        _count(sample, lambda text: features(text) & wanted)
+        _count(sample, features)
         .where(F.col("toxic") >= support)
         .withColumn("odds", odds)
         .where(F.col("odds") >= ODDS)
         .orderBy(F.desc("odds"), F.length(F.trim("feature")).desc(), F.length("feature"), "feature")
-        .limit(ENTRIES)
         .collect()
     )
-    chosen: dict[str, tuple[int, int]] = {}
     weights: dict[str, float] = {}
+    told: set[tuple[str, int, int]] = set()
     for row in found:
         entry, counts = row["feature"], (row["toxic"], row["clean"])
         # Of entries that the same number of documents hold, the longest is the most telling;
         # one that begins with a heavier entry adds nothing.
-        longer = any(e.startswith(entry.rstrip()) and c == counts for e, c in chosen.items())
-        if not longer and not any(entry[:n] in chosen for n in range(2, len(entry))):
-            chosen[entry] = counts
+        longer = (entry.rstrip(), *counts) in told
+        if not longer and not any(entry[:n] in weights for n in range(2, len(entry))):
             weights[entry] = float(row["odds"])
+            told.update((entry[:n], *counts) for n in range(2, len(entry) + 1))
     lexicon = Lexicon(weights)
 
     def phrases(folded: str) -> set[str]:
@@ -201,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
     taken = _count(sample, phrases).where((F.col("clean") >= EXCEPTION_SUPPORT) & (F.col("toxic") == 0))
     most = max(weights.values(), default=0.0)
-    lexicon = Lexicon(weights, {r["feature"]: most for r in taken.orderBy(F.desc("clean"), "feature").limit(ENTRIES).collect()})
+    lexicon = Lexicon(weights, {r["feature"]: most for r in taken.collect()})
     measured = score_measures(sample, lexicon, "toxic int, stands_for double").select("toxic", "stands_for", "m0", "m1").toPandas()
     lexicon.curve = _logistic(
         measured[["m0", "m1"]].to_numpy(float), measured["toxic"].to_numpy(float), measured["stands_for"].to_numpy(float)

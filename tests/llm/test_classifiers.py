@@ -116,3 +116,24 @@ def test_temperature_calibrates():
     for low in (0.1, 0.4, 0.7):
         part = (p > low) & (p < low + 0.2)
         assert abs(p[part].mean() - y[part].mean()) < 0.08
+
+
+def test_tasks_without_rows_or_words(spark):
+    docs, labels, _, rows = corpus_with_labels(spark, n=60)
+    got = toxicity.score_toxicity(docs.repartition(90), labels.repartition(90)).collect()
+    assert len(got) == len(rows)
+    blank = spark.createDataFrame([(i, "" if i % 2 else None) for i in range(6)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1, i % 2) for i in range(6)], "doc_id long, quality int, toxic int")
+    assert len({r.score for r in toxicity.score_toxicity(blank.repartition(9), marks).collect()}) == 1
+    assert quality.score_quality(docs.repartition(90), labels).count() == len(rows)
+
+
+def test_rare_entries_count(spark):
+    """Each slur stands in under 1 % of the toxic documents and still becomes an entry."""
+    slurs = [f"zq{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(120)]
+    rows = [(i, f"plain words here {slurs[i % 120]}", 1) for i in range(0, 120 * 60)]
+    rows += [(100_000 + i, "plain words here too", 0) for i in range(7200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], 1, r[2]) for r in rows], "doc_id long, quality int, toxic int")
+    lexicon = toxicity.fit(docs, labels)
+    assert all(any(f" {s} ".startswith(e) for e in lexicon.weights) for s in slurs)
