@@ -5,13 +5,16 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from faultlens.plans import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
 NAMES = ["a_15_log_groups", "a_16_runtime_groups", "r_e_err_empty_catch", "i_13_env_secret_committed", "j_3_changed_line_scope"]
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    catalog.load()
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
+    assert set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not present")
