@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultlens.session import scratch_dir
@@ -66,3 +66,26 @@ def parallelism(spark: SparkSession) -> int:
 def modest_batches(spark: SparkSession) -> None:
     """Sends at most 1,000 rows at a time to Python in this session, as texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def numbered(frame: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
+    """The frame, written once, with ``rank`` (from 0) and ``n`` (rows) within each ``group``.
+
+    Rows are dealt by ranges of (group, order) and sorted within them; the rows that earlier
+    ranges hold of a group are added to the place within the range. So no task sorts a
+    group, however large it is. Equal rows share a range: ``order`` should end in a column
+    that tells them apart. ``group`` must not be null.
+    """
+    ranges = frame.repartitionByRange(parallelism(frame.sparkSession), group, *order)
+    placed = stored(ranges.sortWithinPartitions(group, *order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    placed = placed.withColumn("_range", F.shiftright("_at", 33))
+    # At most one row for each group and one more for each range.
+    runs = placed.groupBy(group, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumns(
+        {
+            "_before": F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first"),
+            "n": F.sum("_rows").over(Window.partitionBy(group)),
+        }
+    ).drop("_first", "_rows")
+    return placed.join(runs, [group, "_range"]).withColumn("rank", F.col("_at") + F.col("_before")).drop("_at", "_range", "_before")

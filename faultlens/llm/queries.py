@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from faultlens.llm import (
+    collocations,
+    collocations_sql,
     decontaminate,
     fingerprints,
     html_text,
     licenses,
+    manifest,
+    manifest_sql,
     mixing,
     neardup,
     quality,
@@ -69,6 +73,14 @@ def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verify_tampering(table(spark, sf_dir, "documents"))
+
+
+def op13_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_prefix_fingerprints": op1_prefix_fingerprints,
     "op2_pfair_mixture": op2_pfair_mixture,
@@ -80,6 +92,8 @@ QUERIES: dict[str, Query] = {
     "op8_license_diagonals": op8_license_diagonals,
     "op9_sampled_splitters": op9_sampled_splitters,
     "op10_weighted_lexicon": op10_weighted_lexicon,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_branch_and_bound": op13_branch_and_bound,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -119,4 +133,6 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_
        coalesce(h.n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items t USING (doc_id)
 """,
+    "op12_merkle_manifest": manifest_sql.sql(),
+    "op13_branch_and_bound": collocations_sql.SQL,
 }
