@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from faultlens.llm import (
+    chat,
     collocations,
     collocations_sql,
     decontaminate,
@@ -73,6 +74,10 @@ def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op11_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(chat.format_windows(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.verify_tampering(table(spark, sf_dir, "documents"))
 
@@ -92,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "op8_license_diagonals": op8_license_diagonals,
     "op9_sampled_splitters": op9_sampled_splitters,
     "op10_weighted_lexicon": op10_weighted_lexicon,
+    "op11_budgeted_windows": op11_budgeted_windows,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_branch_and_bound": op13_branch_and_bound,
     "pipeline": corpus_pipeline.run,

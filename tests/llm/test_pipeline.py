@@ -58,5 +58,5 @@ def test_run_and_registry(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns[-2:] == ["shard", "slot"] and 0 < got.count() <= 200
     assert corpus_pipeline.ORACLE_SQL is None
-    assert sorted({n.split("_")[0] for n in queries.QUERIES}) == sorted([*(f"op{n}" for n in range(1, 11)), "pipeline"])
+    assert sorted({n.split("_")[0] for n in queries.QUERIES}) == sorted([*(f"op{n}" for n in range(1, 14)), "pipeline"])
     assert zlib.crc32(b"7") % 5 == toxicity.HELD_OUT or not toxicity.held_out(7)
