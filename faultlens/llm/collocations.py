@@ -46,7 +46,7 @@ SCALE = 1_000_000
 #: Pairs of a language that are expanded first.
 FIRST = 2 * REPORTED
 #: Bytes of text that a task counts at a time, and the bits of a bitmap (4 MB).
-SLICE, BITS = 8 << 20, 25
+SLICE, BITS = 4 << 20, 25
 _MIX = 1_000_003
 #: Language of rows without one.
 UNKNOWN = "und"
@@ -160,18 +160,21 @@ class Counter:
         if not len(starts):
             return None
         # Pieces end at marks and at the ends of texts.
-        parted = np.zeros(len(text), bool)
-        parted[text == _END] = True
+        parted = text == _END
         parted[begins[begins < len(text)]] = True
-        piece = np.cumsum(parted, dtype=np.int32)[starts]
+        piece = np.searchsorted(np.flatnonzero(parted), starts, "right")
+        # A word ends where the next one starts or a gap does.
+        final = ~gap
+        final[:-1] &= gap[1:] | first[1:]
+        offsets = np.append(0, np.cumsum(np.flatnonzero(final) + 1 - starts))
         letters = text[~gap]
-        offsets = np.append((np.cumsum(~gap, dtype=np.int64) - 1)[starts], len(letters))
-        array = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(letters.tobytes())])
+        del parted, final, gap, first
+        array = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(letters)])
         coded = array.dictionary_encode()
         codes, names = coded.indices.to_numpy(), coded.dictionary
         if self.size == 1:
             found = np.bincount(codes, minlength=len(names))
-            words = pa.concat_arrays([names.cast(pa.large_string()), pa.array([""], pa.large_string())])
+            words = pa.concat_arrays([names, pa.array([b""], pa.large_binary())])
             return self._batch(lang, [words], np.append(found, len(codes)))
         crc = np.array([zlib.crc32(x) for x in names.to_pylist()], dtype=np.int64)
         of_lang = np.int64(zlib.crc32(lang.encode()))
@@ -195,19 +198,20 @@ class Counter:
             keys, found = np.unique(rank.astype(np.int64) * len(names) + codes[at + 2], return_counts=True)
             pair = pairs[keys // len(names)]
             parts = [pair // len(names), pair % len(names), keys % len(names)]
-        return self._batch(lang, [names.take(pa.array(p)).cast(pa.large_string()) for p in parts], found)
+        return self._batch(lang, [names.take(pa.array(p)) for p in parts], found)
 
     def _batch(self, lang: str, words: list[pa.Array], found: np.ndarray) -> pa.RecordBatch:
-        columns = [pa.array([lang]).take(pa.array(np.zeros(len(found), np.int64))), *(w.cast(pa.string()) for w in words), pa.array(found, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["lang", *"xyz"[: self.size], "f"])
+        phrases = words[0] if len(words) == 1 else pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.large_binary()))
+        langs = pa.array([lang]).take(pa.array(np.zeros(len(found), np.int32)))
+        return pa.RecordBatch.from_arrays([langs, phrases.cast(pa.large_string()).cast(pa.string()), pa.array(found, pa.int64())], names=["lang", "phrase", "f"])
 
 
 def _counts(texts: DataFrame, counter: Counter, label: str) -> DataFrame:
-    """The phrases with a count of ``SUPPORT`` or more."""
-    names = list("xyz"[: counter.size])
-    schema = ", ".join(["lang string", *(f"{c} string" for c in names), "f long"])
-    parts = texts.mapInArrow(counter.__call__, schema)
-    return stored(parts.groupBy("lang", *names).agg(F.sum("f").alias("f")).where(F.col("f") >= SUPPORT), label)
+    """The words (x, y, z) of the phrases with a count f of ``SUPPORT`` or more."""
+    parts = texts.mapInArrow(counter.__call__, "lang string, phrase string, f long")
+    often = parts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= SUPPORT)
+    words = [F.split_part("phrase", F.lit(" "), F.lit(i + 1)).alias(c) for i, c in enumerate("xyz"[: counter.size])]
+    return stored(often.select("lang", *words, "f"), label)
 
 
 def _score(a: str, left: str, right: str) -> Column:
