@@ -33,7 +33,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import stored
+from faultlens.llm.common import batch_bytes, stored
 
 # Executors get these functions by value, so they need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -47,6 +47,8 @@ SCALE = 1_000_000
 FIRST = 2 * REPORTED
 #: Bytes of text that a task counts at a time, and the bits of a bitmap (4 MB).
 SLICE, BITS = 4 << 20, 25
+#: Bytes of rows sent to a task's Python at a time.
+BATCH = 8 << 20
 _MIX = 1_000_003
 #: Language of rows without one.
 UNKNOWN = "und"
@@ -211,7 +213,8 @@ def _counts(texts: DataFrame, counter: Counter, label: str) -> DataFrame:
     parts = texts.mapInArrow(counter.__call__, "lang string, phrase string, f long")
     often = parts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= SUPPORT)
     words = [F.split_part("phrase", F.lit(" "), F.lit(i + 1)).alias(c) for i, c in enumerate("xyz"[: counter.size])]
-    return stored(often.select("lang", *words, "f"), label)
+    with batch_bytes(texts.sparkSession, BATCH):
+        return stored(often.select("lang", *words, "f"), label)
 
 
 def _score(a: str, left: str, right: str) -> Column:
