@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from faultlens.functions import paths
@@ -10,6 +11,11 @@ from faultlens.operators.windows import carry_forward
 
 HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
 LINES_PER_BUCKET = 10_000
+#: Lines of a file whose merged ranges form one row of a lookup.
+LINES_PER_SPAN_ROW = 4096
+#: The row of a changed file itself, beside those of its lines.
+WHOLE_FILE = -1
+SPANS = "array<struct<start:int,end:int>>"
 
 
 def tagged_headers(diff_lines: DataFrame) -> DataFrame:
@@ -57,6 +63,77 @@ def hunk_ranges(tagged: DataFrame) -> DataFrame:
     )
 
 
+def span_bucket(line):
+    return F.floor(line / LINES_PER_SPAN_ROW).cast("int")
+
+
+def _pieces(start, end):
+    """A range cut at the borders of the lookup rows, as ``(bucket, start, end)``."""
+    first, last = span_bucket(start), span_bucket(end)
+    buckets = F.when(start <= end, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(
+        buckets,
+        lambda b: F.struct(
+            b.alias("bucket"),
+            F.greatest(start, b * LINES_PER_SPAN_ROW).alias("start"),
+            F.least(end, (b + 1) * LINES_PER_SPAN_ROW - 1).alias("end"),
+        ),
+    )
+
+
+def merged_spans(pieces: DataFrame) -> DataFrame:
+    """``(project, file, bucket, spans)``: overlapping and touching ranges of ``pieces(project,
+    file, bucket, start, end)`` merged, in order.
+
+    One exchange: the islands are found and collected where the rows of a bucket lie, and a
+    bucket has at most half as many islands as lines. A piece without a start stands for its file.
+    """
+    key = ["project", "file", "bucket"]
+    placed = pieces.repartition(*key)
+    # At most one row for each start.
+    longest = placed.groupBy(*key, "start").agg(F.max("end").alias("end"))
+    so_far = W.partitionBy(*key).orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    opens = F.coalesce(F.col("start") > F.max("end").over(so_far) + 1, F.lit(True))
+    numbered = longest.withColumn("_opens", opens.cast("int"))
+    up_to = W.partitionBy(*key).orderBy("start").rowsBetween(W.unboundedPreceding, 0)
+    islands = (
+        numbered.withColumn("_island", F.sum("_opens").over(up_to))
+        .groupBy(*key, "_island")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    )
+    held = F.when(F.col("start").isNotNull(), F.struct("start", "end"))
+    return islands.groupBy(*key).agg(F.array_sort(F.collect_list(held)).alias("spans"))
+
+
+def changed_spans(diff_lines: DataFrame) -> DataFrame:
+    """The changed files and their merged ranges in one frame, from one reading of the diff.
+
+    A file has a row with the bucket ``WHOLE_FILE``, and one for each ``LINES_PER_SPAN_ROW``
+    lines in which something changed.
+    """
+    text = F.col("text")
+    count = F.regexp_extract(text, HUNK, 2)
+    start = F.regexp_extract(text, HUNK, 1).try_cast("int")
+    n = F.when(count == "", F.lit(1)).otherwise(count.try_cast("int"))
+    whole = F.array(F.struct(F.lit(WHOLE_FILE).alias("bucket"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end")))
+    nothing = F.array().cast("array<struct<bucket:int,start:int,end:int>>")
+    parts = F.when(F.col("header").isNotNull(), whole).otherwise(F.coalesce(_pieces(F.col("start"), F.col("start") + F.col("n") - 1), nothing))
+    tagged = tagged_headers(diff_lines).where(F.coalesce("file", F.lit("")) != "")
+    tagged = tagged.where(F.col("header").isNotNull() | text.rlike(HUNK)).select(
+        "project", "file", "header", start.alias("start"), n.alias("n")
+    )
+    return merged_spans(tagged.select("project", "file", F.inline(parts)))
+
+
+def spans_of(changed_files: DataFrame, changed_ranges: DataFrame) -> DataFrame:
+    """The same frame from files and ranges that are there already."""
+    files = changed_files.select(
+        "project", "file", F.lit(WHOLE_FILE).alias("bucket"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end")
+    )
+    start, end = F.col("start").cast("int"), F.col("end").cast("int")
+    return merged_spans(files.unionByName(changed_ranges.select("project", "file", F.inline(_pieces(start, end)))))
+
+
 def with_new_files(changed_files: DataFrame, new_files: DataFrame) -> DataFrame:
     """Add untracked files ``(project, file)``: every line of theirs counts as changed."""
     added = new_files.select(

@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultlens.functions import paths, severity
+from faultlens.operators import diffscope
 from faultlens.operators import rulebook as rb
 from faultlens.schemas import FINDING_COLUMNS
 
 SEVERITIES = ("Critical", "High", "Medium", "Low")
-LINE_BUCKET = 256
 
 
 def finding_order() -> list[Column]:
@@ -104,67 +104,45 @@ def suppress_known(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     return marked.join(baseline, ["project", "fingerprint"], "left_anti").drop("fingerprint")
 
 
-def _lines_between(first: Column, last: Column) -> Column:
-    none = F.array().cast("array<int>")
-    return F.when(first <= last, F.sequence(first, last)).otherwise(none)
-
-
-def _bucket(line: Column) -> Column:
-    return F.floor(line / LINE_BUCKET).cast("int")
-
-
-def changed_keys(changed_ranges: DataFrame) -> DataFrame:
-    """Ranges as distinct ``(project, file, bucket, at)``: at most one row per line of a
-    bucket, plus ``at = -1`` for a bucket that one range covers whole."""
-    start, end = F.col("start"), F.col("end")
-    first_full = F.ceil(start / LINE_BUCKET).cast("int")
-    last_full = (F.floor((end + 1) / LINE_BUCKET) - 1).cast("int")
-    has_full = first_full <= last_full
-    edges = F.when(
-        has_full,
-        F.concat(
-            _lines_between(start, first_full * LINE_BUCKET - 1),
-            _lines_between((last_full + 1) * LINE_BUCKET, end),
-        ),
-    ).otherwise(_lines_between(start, end))
-    keys = F.concat(
-        F.transform(
-            edges,
-            lambda n: F.struct(_bucket(n).alias("bucket"), n.alias("at")),
-        ),
-        F.transform(
-            _lines_between(first_full, last_full),
-            lambda n: F.struct(n.alias("bucket"), F.lit(-1).alias("at")),
-        ),
-    )
-    return changed_ranges.select("project", "file", F.inline(keys)).distinct()
-
+def on_changed_spans(findings: DataFrame, spans: DataFrame, new_files: DataFrame | None = None) -> DataFrame:
+    """Keep findings on changed lines, given ``diffscope.changed_spans``.
 
-def on_changed_lines(findings: DataFrame, changed_files: DataFrame, changed_ranges: DataFrame) -> DataFrame:
-    """Keep findings on changed lines.
-
-    ``changed_files(project, file, all)`` has one row per file, ``changed_ranges(project,
-    file, start, end)`` holds inclusive ranges. A finding is looked up in the bucket of
-    its line, where it meets at most one key per line: the work does not grow with the
-    product of a file's findings and ranges.
+    A finding meets one row: that of its lines, or that of its file where it has no line or
+    where ``new_files(project, file)`` names the file. The row's merged ranges are in order, so
+    the last one that starts at or before the line decides.
     """
-    whole_file = F.col("all") | (F.col("line") <= 0)
-    located = (
-        findings.withColumn("_file", paths.normalise(F.col("file")))
-        .join(changed_files.withColumnRenamed("file", "_file"), ["project", "_file"])
-        .withColumn("_bucket", F.when(whole_file, F.lit(-1)).otherwise(_bucket(F.col("line"))))
-    )
-    whole = changed_files.select(
-        "project", "file", F.lit(-1).alias("bucket"), F.lit(-1).alias("at")
+    located = findings.withColumn("_file", paths.normalise(F.col("file")))
+    whole = F.col("line") <= 0
+    if new_files is not None:
+        whole_file = F.lit(diffscope.WHOLE_FILE).alias("bucket")
+        added = new_files.select("project", paths.normalise(F.col("file")).alias("file")).distinct()
+        empty = F.array().cast(diffscope.SPANS).alias("spans")
+        spans = spans.unionByName(added.select("project", "file", whole_file, empty))
+        located = located.join(added.select("project", F.col("file").alias("_file"), F.lit(True).alias("_new")), ["project", "_file"], "left")
+        whole = whole | F.coalesce("_new", F.lit(False))
+    located = located.withColumn("_bucket", F.when(whole, F.lit(diffscope.WHOLE_FILE)).otherwise(diffscope.span_bucket(F.col("line"))))
+    looked_up = spans.select(
+        F.col("project").alias("_p"), F.col("file").alias("_f"), F.col("bucket").alias("_b"), F.col("spans").alias("_spans")
     )
-    wanted = whole.unionByName(changed_keys(changed_ranges)).toDF("_p", "_f", "_b", "_at")
+    before = F.filter("_spans", lambda s: s["start"] <= F.col("line"))
     on = (
         (F.col("project") == F.col("_p"))
         & (F.col("_file") == F.col("_f"))
         & (F.col("_bucket") == F.col("_b"))
-        & ((F.col("_at") == -1) | (F.col("_at") == F.col("line")))
+        & ((F.col("_bucket") == diffscope.WHOLE_FILE) | F.coalesce(F.try_element_at(before, F.lit(-1))["end"] >= F.col("line"), F.lit(False)))
     )
-    return located.join(wanted, on, "left_semi").select(*findings.columns)
+    return located.join(looked_up, on, "left_semi").select(*findings.columns)
+
+
+def on_changed_lines(findings: DataFrame, changed_files: DataFrame, changed_ranges: DataFrame) -> DataFrame:
+    """Keep findings on changed lines.
+
+    ``changed_files(project, file, all)`` has one row per file, ``changed_ranges(project,
+    file, start, end)`` holds inclusive ranges of any files; only those of changed files count.
+    """
+    listed = changed_files.where(~F.col("all"))
+    ranges = changed_ranges.join(listed.select("project", "file").distinct(), ["project", "file"], "left_semi")
+    return on_changed_spans(findings, diffscope.spans_of(listed, ranges), changed_files.where("all"))
 
 
 def by_severity(findings: DataFrame, by: Sequence[str] = ("project",)) -> DataFrame:

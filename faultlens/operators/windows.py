@@ -24,14 +24,12 @@ def carry_forward(
     bucket; the last value of every bucket, one row each, is then carried over the
     buckets. The work of a very large key is so spread over its buckets.
     """
-    rows = df.withColumn("_bucket", bucket)
+    rows = df.withColumn("_bucket", bucket).repartition(*keys, "_bucket")
     within = W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     filled = rows.withColumn("_local", F.last(value, ignorenulls=True).over(within))
-    position = F.struct(*[F.col(c) for c in order])
-    ends = rows.where(F.col(value).isNotNull()).groupBy(*keys, "_bucket").agg(
-        F.max_by(value, position).alias("_end")
-    )
-    buckets = rows.select(*keys, "_bucket").distinct().join(ends, [*keys, "_bucket"], "left")
+    # Both frames read the rows where they were dealt to.
+    held = F.when(F.col(value).isNotNull(), F.struct(*order))
+    buckets = rows.groupBy(*keys, "_bucket").agg(F.max_by(value, held).alias("_end"))
     earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     carried = buckets.select(
         *keys, "_bucket", F.last("_end", ignorenulls=True).over(earlier).alias("_carried")

@@ -69,8 +69,7 @@ register(
 
 
 def changed(spark: SparkSession, d: str) -> DataFrame:
-    files, ranges = diffscope.changed_lines(corpora.diff_lines(spark, d))
-    return fo.on_changed_lines(found(spark, d), files, ranges)
+    return fo.on_changed_spans(found(spark, d), diffscope.changed_spans(corpora.diff_lines(spark, d)))
 
 
 register(

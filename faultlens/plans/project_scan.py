@@ -80,10 +80,7 @@ def apply_options(found: DataFrame, options: ScanOptions) -> DataFrame:
     kept = fo.in_scope(found, options.categories, options.minimum_severity)
     kept = fo.without_rules(kept, options.disabled_rules)
     if options.diff_lines is not None:
-        changed, ranges = diffscope.changed_lines(options.diff_lines)
-        if options.new_files is not None:
-            changed = diffscope.with_new_files(changed, options.new_files)
-        kept = fo.on_changed_lines(kept, changed, ranges)
+        kept = fo.on_changed_spans(kept, diffscope.changed_spans(options.diff_lines), options.new_files)
     if options.baseline is not None:
         kept = fo.suppress_known(kept, options.baseline)
     return kept

@@ -287,3 +287,32 @@ def test_history(spark):
     assert got == {"1": 0, "2": 4, "3": 0, "4": 0}
     new = spark.createDataFrame([("5", "/a", "2024-03-01", 10, 0)], "id string, path string, created_at string, total long, new_since long")
     assert history.with_new_since(new, scans).first().new_since == 6
+
+
+def test_spans_merge_and_touch(spark):
+    pieces = [("p", "f", 1, 5), ("p", "f", 6, 6), ("p", "f", 8, 20), ("p", "f", 9, 10), ("p", "f", 4000, 9000), ("q", "f", 3, 2), ("p", "g", 2, 2)]
+    ranges = spark.createDataFrame(pieces, "project string, file string, start int, end int")
+    files = spark.createDataFrame([("p", "f"), ("p", "g"), ("q", "f")], "project string, file string")
+    got = {(r.project, r.file, r.bucket): [tuple(s) for s in r.spans] for r in diffscope.spans_of(files, ranges).collect()}
+    assert got == {
+        ("p", "f", -1): [], ("p", "g", -1): [], ("q", "f", -1): [], ("p", "g", 0): [(2, 2)],
+        ("p", "f", 0): [(1, 6), (8, 20), (4000, 4095)], ("p", "f", 1): [(4096, 8191)], ("p", "f", 2): [(8192, 9000)],
+    }
+
+
+def test_changed_lines_plan(spark, frame, tmp_path):
+    """Findings are scanned and shuffled once; the diff twice, for its files and what they carry."""
+    path = str(tmp_path / "diff")
+    spark.createDataFrame([("p", 0, "+++ b/a.php"), ("p", 1, "@@ -1 +2,3 @@")], "project string, line_no long, text string").write.parquet(path)
+    frame([finding(file="a.php", line=3, ord=1), finding(file="a.php", line=9, ord=2)]).write.parquet(str(tmp_path / "found"))
+    kept = fo.on_changed_spans(spark.read.parquet(str(tmp_path / "found")), diffscope.changed_spans(spark.read.parquet(path)))
+    assert [r.ord for r in kept.collect()] == [1]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = fo.on_changed_spans(spark.read.parquet(str(tmp_path / "found")), diffscope.changed_spans(spark.read.parquet(path)))
+        text = plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert text.count("FileScan parquet") == 3 and text.count("- Exchange ") <= 6
