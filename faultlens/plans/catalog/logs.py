@@ -227,24 +227,31 @@ register(
 # --- streams ----------------------------------------------------------------------
 
 
-def _event_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The events table as a file stream with the corpus keys."""
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return corpora.with_event_keys(stream.select("event_id", "ts", "user_id", "event_type", "props"))
+#: The events arrive in three parts; every twentieth comes with the last one, however old.
+_PART = "CASE WHEN event_id % 20 = 0 OR day(ts) > 20 THEN 3 WHEN day(ts) > 10 THEN 2 ELSE 1 END"
 
 
-def _drain(spark: SparkSession, stream: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """Run a job over all available data and read its groups."""
+def _in_parts(spark: SparkSession, d: str, label: str, run) -> str:
+    """Run a job three times over a growing folder of events, each time from where it stopped.
+
+    ``run`` gets the stream and the folders of output and state. Returns the former.
+    """
     base = scratch_dir(spark, label)
-    query = live.start(stream, f"{base}/out", f"{base}/state")
-    query.awaitTermination()
-    return live.current(spark, f"{base}/out", keys)
+    events = spark.read.parquet(f"{d}/events.parquet").select("event_id", "ts", "user_id", "event_type", "props")
+    for part in (1, 2, 3):
+        events.where(F.expr(_PART) == part).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{base}/in")
+        run(corpora.with_event_keys(stream), f"{base}/out", f"{base}/state").awaitTermination()
+    return f"{base}/out"
 
 
 def streamed_runtime_groups(spark: SparkSession, d: str) -> DataFrame:
-    lines = corpora.runtime_line_columns(_event_stream(spark, d))
-    return _drain(spark, live.runtime_groups(lines), ["type", "file", "line"], "runtime-stream")
+    def run(events: DataFrame, out: str, state: str):
+        lines = corpora.runtime_line_columns(events)
+        return live.maintain(lines, live.runtime_groups, live.merged_runtime_groups, ["type", "file", "line"], out, state)
+
+    schema = "type string, file string, line long, count long, last_seen string, last_message string, severity string"
+    return live.kept(spark, _in_parts(spark, d, "runtime-stream", run), schema)
 
 
 register(
@@ -261,9 +268,11 @@ register(
 
 
 def streamed_error_rate(spark: SparkSession, d: str) -> DataFrame:
-    lines = corpora.log_line_columns(_event_stream(spark, d))
-    rate = live.error_rate(lines, F.col("ts").cast("timestamp"), "1 day", "10 minutes")
-    done = _drain(spark, rate, ["window_start", "window_end", "signature"], "rate-stream")
+    def run(events: DataFrame, out: str, state: str):
+        lines = corpora.log_line_columns(events)
+        return live.start(live.error_rate(lines, F.col("ts").cast("timestamp"), "1 day", "10 minutes"), out, state)
+
+    done = live.finished(spark, _in_parts(spark, d, "rate-stream", run))
     return done.select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "signature", "count"
     )
@@ -273,16 +282,26 @@ register(
     "t_2_error_rate_stream",
     streamed_error_rate,
     sql(
-        """SELECT strftime(date_trunc('day', event_ts), '%Y-%m-%d %H:%M') AS window_start, signature, count(*) AS count
-           FROM log_errors GROUP BY ALL""",
+        f"""SELECT strftime(day, '%Y-%m-%d %H:%M') AS window_start, signature, count(*) AS count
+           FROM (SELECT signature, date_trunc('day', event_ts) AS day, part, max(event_ts) OVER () AS newest,
+                   max(event_ts) FILTER (part < 2) OVER () AS before_2, max(event_ts) FILTER (part < 3) OVER () AS before_3
+                 FROM (SELECT signature, event_ts, {_PART.replace("event_id", "line_order").replace("(ts)", "(event_ts)")} AS part FROM log_errors e))
+           WHERE day + INTERVAL 1 DAY <= newest - INTERVAL 10 MINUTE
+             AND NOT coalesce(part = 2 AND day + INTERVAL 1 DAY <= before_2 - INTERVAL 10 MINUTE, false)
+             AND NOT coalesce(part = 3 AND day + INTERVAL 1 DAY <= before_3 - INTERVAL 10 MINUTE, false)
+           GROUP BY ALL""",
         "log_errors",
     ),
 )
 
 
 def streamed_log_groups(spark: SparkSession, d: str) -> DataFrame:
-    lines = corpora.log_line_columns(_event_stream(spark, d)).drop("ts")
-    return _drain(spark, live.log_groups(lines), ["signature"], "log-stream")
+    def run(events: DataFrame, out: str, state: str):
+        lines = corpora.log_line_columns(events).drop("ts")
+        return live.maintain(lines, live.log_groups, live.merged_log_groups, ["signature"], out, state)
+
+    schema = "signature string, count long, level_rank int, first_seen string, last_seen string"
+    return live.kept(spark, _in_parts(spark, d, "log-stream", run), schema)
 
 
 register(

@@ -1,11 +1,15 @@
 """Continuous versions of the log and runtime groupings.
 
-Every job reads a streaming frame, aggregates by key and hands each micro-batch to a
-sink; run to the end of the available data, it equals the batch operator.
+Groups without an end (``runtime_groups``, ``log_groups``) are kept in a table of their own:
+every micro-batch is grouped by itself and merged into the buckets of that table that it
+touches (``maintain``). So the stream has no state that grows, and reading the current groups
+costs the same after any number of batches. Windows of event time (``error_rate``) end: a
+watermark closes them and drops what comes later.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -52,6 +56,27 @@ def log_groups(lines: DataFrame) -> DataFrame:
     )
 
 
+def merged_runtime_groups(groups: DataFrame) -> DataFrame:
+    """Rows of ``runtime_groups`` over parts of the events, added up to those of all."""
+    latest = F.max_by(F.struct("last_message", "severity"), F.struct("last_seen", "last_message"))
+    return (
+        groups.groupBy("type", "file", "line")
+        .agg(F.sum("count").alias("count"), F.max("last_seen").alias("last_seen"), latest.alias("_l"))
+        .select("type", "file", "line", "count", "last_seen", "_l.last_message", "_l.severity")
+    )
+
+
+def merged_log_groups(groups: DataFrame) -> DataFrame:
+    """Rows of ``log_groups`` over parts of the lines, added up to those of all."""
+    first, last = (F.nullif(F.col(c), F.lit("")) for c in ("first_seen", "last_seen"))
+    return groups.groupBy("signature").agg(
+        F.sum("count").alias("count"),
+        F.max("level_rank").alias("level_rank"),
+        F.coalesce(F.min(first), F.lit("")).alias("first_seen"),
+        F.coalesce(F.max(last), F.lit("")).alias("last_seen"),
+    )
+
+
 def error_rate(lines: DataFrame, event_time: Column, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Error lines per signature and tumbling window of event time, late data cut off."""
     timed = lines.withColumn("event_time", event_time).withWatermark("event_time", late)
@@ -68,8 +93,79 @@ def error_rate(lines: DataFrame, event_time: Column, width: str = "1 hour", late
     )
 
 
-def start(stream: DataFrame, out: str, checkpoint: str, mode: str = "update", **trigger) -> StreamingQuery:
-    """Start a job that appends each micro-batch's changed groups with its batch number.
+#: Buckets of a kept table, and the slots that the lists of its newest buckets alternate between.
+BUCKETS, SLOTS = 32, 2
+HEADS = "bucket int, batch long"
+
+
+def _heads(spark: SparkSession, out: str, before: int | None = None) -> dict[int, int]:
+    """The batch that last wrote each bucket; of batches below ``before`` only.
+
+    At most ``BUCKETS`` rows lie in each of two slots, whatever the number of batches.
+    """
+    rows = []
+    for slot in range(SLOTS):
+        try:
+            rows += spark.read.schema(HEADS + ", at long").parquet(f"{out}/heads/slot={slot}").collect()
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+    ats = {r["at"] for r in rows if before is None or r["at"] < before}
+    return {r["bucket"]: r["batch"] for r in rows if ats and r["at"] == max(ats)}
+
+
+def _buckets(spark: SparkSession, out: str, heads: dict[int, int], schema) -> DataFrame:
+    paths = [f"{out}/data/batch={batch}/bucket={bucket}" for bucket, batch in sorted(heads.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def maintain(stream: DataFrame, group, merge, keys: list[str], out: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Keep ``group`` of everything that a stream has brought in a table of hash buckets.
+
+    ``group`` makes the groups of one batch, ``merge`` adds rows of the same groups up. A batch
+    reads and writes the buckets of its own groups only, in a folder of its own, and then lists
+    the newest folder of every bucket in one of two slots. A batch that is run again after a
+    failure starts from the other slot, so nothing counts twice.
+    """
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        found = group(batch)
+        hashed = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+        path = f"{out}/batches/batch={batch_id}"
+        found.withColumn("bucket", hashed).write.mode("overwrite").parquet(path)
+        new = spark.read.parquet(path)
+        heads = _heads(spark, out, batch_id)
+        touched = {r["bucket"] for r in new.select("bucket").distinct().collect()}
+        held = _buckets(spark, out, {b: n for b, n in heads.items() if b in touched}, found.schema)
+        merged = merge(new.select(*found.columns).unionByName(held.select(*found.columns)))
+        by_bucket = merged.withColumn("bucket", hashed).repartition(F.col("bucket"))
+        by_bucket.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/data/batch={batch_id}")
+        heads |= dict.fromkeys(touched, batch_id)
+        rows = [(bucket, batch, batch_id) for bucket, batch in heads.items()]
+        listed = spark.createDataFrame(rows, HEADS + ", at long").coalesce(1)
+        listed.write.mode("overwrite").parquet(f"{out}/heads/slot={batch_id % SLOTS}")
+
+    return (
+        stream.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .foreachBatch(upsert)
+        .start()
+    )
+
+
+def kept(spark: SparkSession, out: str, schema) -> DataFrame:
+    """The groups of a table that ``maintain`` keeps: one row each, as of the last batch."""
+    return _buckets(spark, out, _heads(spark, out), schema)
+
+
+def dropped_late(query: StreamingQuery) -> int:
+    """Rows (of partial sums) behind the watermark that a query's last batches have dropped."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+
+
+def start(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", **trigger) -> StreamingQuery:
+    """Start a job that writes each micro-batch's rows with its batch number.
 
     A batch that is run again after a failure overwrites its own folder.
     """
@@ -86,9 +182,6 @@ def start(stream: DataFrame, out: str, checkpoint: str, mode: str = "update", **
     )
 
 
-def current(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
-    """The latest state of every group that a job in update mode has written."""
-    rows = spark.read.parquet(out)
-    values = [c for c in rows.columns if c not in (*keys, "batch")]
-    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
-    return latest.select(*keys, "_v.*")
+def finished(spark: SparkSession, out: str) -> DataFrame:
+    """All rows that a job in append mode has written: the windows that are closed."""
+    return spark.read.parquet(out).drop("batch")

@@ -80,17 +80,62 @@ def test_runtime_groups(spark, tmp_path):
     assert [r.message for r in recent] == ["tie early", "tie late"]
 
 
-def test_streams_equal_batch(spark, tmp_path):
+GROUPS = "type string, file string, line long, count long, last_seen string, last_message string, severity string"
+
+
+def test_kept_groups_equal_batch_over_batches_failure_and_restart(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "e1.txt").write_text("\n".join(EVENTS[:4]) + "\n")
-    (tmp_path / "in" / "e2.txt").write_text("\n".join(EVENTS[4:]) + "\n")
-    stream = spark.readStream.option("maxFilesPerTrigger", "1").text(str(tmp_path / "in"))
-    query = live.start(live.runtime_groups(stream), str(tmp_path / "out"), str(tmp_path / "state"))
-    query.awaitTermination()
-    got = live.current(spark, str(tmp_path / "out"), ["type", "file", "line"])
+    calls = []
+
+    def merge(groups):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        return live.merged_runtime_groups(groups)
+
+    def run():
+        stream = spark.readStream.option("maxFilesPerTrigger", "1").text(str(tmp_path / "in"))
+        keys = ["type", "file", "line"]
+        query = live.maintain(stream, live.runtime_groups, merge, keys, str(tmp_path / "out"), str(tmp_path / "state"))
+        query.awaitTermination()
+
+    (tmp_path / "in" / "e1.txt").write_text("\n".join(EVENTS[:3]) + "\n")
+    (tmp_path / "in" / "e2.txt").write_text("\n".join(EVENTS[3:5]) + "\n")
+    run()
+    (tmp_path / "in" / "e3.txt").write_text("\n".join(EVENTS[5:]) + "\n")
+    with pytest.raises(Exception, match="lost"):
+        run()
+    run()
+    got = live.kept(spark, str(tmp_path / "out"), GROUPS)
     want = errorgroups.runtime_groups(events.read_events(spark, str(tmp_path / "in"), ("*.txt",)))
     columns = ["type", "file", "line", "count", "last_seen", "last_message", "severity"]
+    assert len(calls) == 4
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    # What is read is one folder for each bucket, not one for each batch.
+    assert len(got.inputFiles()) <= got.count()
+
+
+def test_nothing_kept_yet(spark, tmp_path):
+    assert live.kept(spark, str(tmp_path / "none"), GROUPS).collect() == []
+
+
+def test_late_lines_are_dropped_and_counted(spark, tmp_path):
+    schema = "value string, at timestamp"
+
+    def run(rows):
+        data = spark.createDataFrame(rows, "value string, at string").select("value", F.col("at").cast("timestamp").alias("at"))
+        data.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        rate = live.error_rate(stream, F.col("at"), "1 hour", "10 minutes")
+        query = live.start(rate, str(tmp_path / "out"), str(tmp_path / "state"))
+        query.awaitTermination()
+        return live.dropped_late(query)
+
+    line = "ERROR - 2026-06-19 09:01:00 --> query failed"
+    assert run([(line, "2026-06-19 09:01:00"), (line, "2026-06-19 09:59:00"), (line, "2026-06-19 11:30:00")]) == 0
+    assert run([(line, "2026-06-19 09:30:00"), (line, "2026-06-19 11:05:00"), (line, "2026-06-19 13:30:00")]) == 1
+    got = {(r.window_start.hour, r["count"]) for r in live.finished(spark, str(tmp_path / "out")).collect()}
+    assert got == {(9, 2), (11, 2)}
 
 
 def test_event_lines_beyond_32_bits(spark):
