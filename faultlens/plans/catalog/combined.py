@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens.functions import paths
+from faultlens.operators import codelines
 from faultlens.operators import findings as fo
 from faultlens.operators import inventory, manifests, technology
 from faultlens.plans import corpora, project_scan
@@ -67,7 +68,7 @@ register(
 def scan_record_rows(spark: SparkSession, d: str) -> DataFrame:
     """Scan records of the manifest projects: dependency findings, language and stack."""
     files = corpora.manifest_files(spark, d)
-    found = manifests.manifest_findings(files.where(~F.col("path").startswith("vendor/")))
+    found = manifests.manifest_findings(codelines.analysed_paths(files))
     seen = files.groupBy("project").agg(F.count("*").alias("files_scanned"))
     scans = seen.select(
         "project",

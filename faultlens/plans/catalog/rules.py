@@ -12,7 +12,7 @@ from faultlens.operators import rulebook as rb
 from faultlens.plans import corpora
 from faultlens.plans.catalog import register
 from faultlens.plans.corpora_sql import (
-    config_query, contains_any, matches, placeholder, rule_query, sql, starts_with_any, text, trim,
+    config_query, contains_any, in_vendored, matches, placeholder, rule_query, sql, starts_with_any, text, trim,
 )
 
 _OUT = ("project", "file", "line", "severity", "snippet")
@@ -47,9 +47,23 @@ for i, rule in enumerate(rb.CONFIG_RULES, 1):
     register(f"i_{i}_{rule.rule_id.lower()}", _config_rules(rule), sql(config_query(rule), "config_lines"))
 
 
+#: Vendored directories below others, which the path filter must find as well.
+_BELOW = ("api/vendor/x/", "lib/Third_Party/")
+
+
+def nested_manifests(spark: SparkSession, d: str) -> DataFrame:
+    """The manifests, and each of them once more in vendored directories further down."""
+    files = corpora.manifest_files(spark, d)
+    where = F.explode(F.array(F.lit(""), *[F.lit(b) for b in _BELOW]))
+    return files.withColumn("_below", where).withColumn("path", F.concat("_below", "path")).drop("_below")
+
+
+_NESTED = "(SELECT project, unnest(['', {}]) || path AS path, content FROM manifest_files)".format(", ".join(map(text, _BELOW)))
+
+
 def _manifest_rule(rule: rb.Rule):
     return lambda spark, d: (
-        manifests.manifest_findings(corpora.manifest_files(spark, d).where(~F.col("path").startswith("vendor/")))
+        manifests.manifest_findings(codelines.analysed_paths(nested_manifests(spark, d)))
         .where(F.col("rule_id") == rule.rule_id)
         .select(*_OUT, "explanation")
     )
@@ -60,14 +74,14 @@ def _line_of(found: str) -> str:
 
 
 _PHP = f"regexp_extract(content, {text(rb.EOL_PHP_RULE.pattern)}, %d)"
-_MANIFEST = "string_split(path, '/')[-1] IN ('composer.json', 'package.json') AND NOT starts_with(path, 'vendor/')"
+_MANIFEST = "string_split(path, '/')[-1] IN ('composer.json', 'package.json') AND NOT " + in_vendored("path")
 register(
     "r_v_dep_eol_php",
     _manifest_rule(rb.EOL_PHP_RULE),
     sql(
         f"""SELECT project, path AS file, {_line_of(_PHP % 0)} AS line, 'Medium' AS severity, {trim(_PHP % 0)} AS snippet,
           'Requiring an EOL PHP version (' || {_PHP % 1} || '.' || {_PHP % 2} || ') means running without security patches.' AS explanation
-        FROM manifest_files WHERE string_split(path, '/')[-1] = 'composer.json' AND {_PHP % 0} <> ''
+        FROM {_NESTED} WHERE {_MANIFEST} AND string_split(path, '/')[-1] = 'composer.json' AND {_PHP % 0} <> ''
           AND (CAST({_PHP % 1} AS INTEGER) < 7 OR (CAST({_PHP % 1} AS INTEGER) = 7 AND CAST({_PHP % 2} AS INTEGER) < 4))""",
         "manifest_files",
     ),
@@ -79,7 +93,7 @@ register(
     sql(
         f"""SELECT project, path AS file, {_line_of(_LOOSE)} AS line, 'Medium' AS severity, {trim(_LOOSE)} AS snippet,
           {text(rb.UNPINNED_RULE.explanation)} AS explanation
-        FROM manifest_files WHERE {_MANIFEST} AND {_LOOSE} <> ''""",
+        FROM {_NESTED} WHERE {_MANIFEST} AND {_LOOSE} <> ''""",
         "manifest_files",
     ),
 )
