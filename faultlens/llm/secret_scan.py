@@ -1,10 +1,11 @@
 """Secret scans with one combined deterministic automaton.
 
 Each rule is a regular expression over bytes. All of them together become one automaton by
-subset construction, which minimisation then shrinks; its transition arrays take a text
-through all rules in a single pass over its bytes. The pass finds the texts that hold any
-secret, and of which rules; in those, the automaton of each such rule walks from every
-possible start to the longest match, so matches are leftmost and do not overlap.
+subset construction, which minimisation then shrinks. Its transition arrays take a text through
+all rules in a single pass over its bytes, from the last to the first, so that the state at
+a byte tells which rules match from there on. Each such rule then walks on from the least
+start behind its previous match, so matches are leftmost, longest and do not overlap, and
+no byte is read more than once by a rule's walks but for the one that ends a match.
 """
 
 from __future__ import annotations
@@ -13,10 +14,13 @@ import hashlib
 import re._constants as sre
 import re._parser as sre_parser
 import sys
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from operator import length_hint
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -42,15 +46,19 @@ RULES = [
     ("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
 ]
 BASE = ("assign", "access", "hex")
-#: Repeats that the automata for matches anywhere count, by rule.
-COPIES = {"": 3, "hex": 16}
+#: Rules whose matches are whole runs of one class. A run long enough starts where the
+#: length needed first lies ahead, so only such places count as starts.
+RUNS = {"hex"}
 
 
 class _Nfa:
-    """States with byte-set edges and empty edges, built from a parsed expression."""
+    """States with byte-set edges and empty edges, built from parsed expressions.
 
-    def __init__(self):
-        self.most_copies: int | None = None
+    ``backwards`` reads what the expressions match from its last byte to its first.
+    """
+
+    def __init__(self, backwards: bool = False):
+        self.backwards = backwards
         self.edges: list[list[tuple[frozenset[int], int]]] = []
         self.empty: list[list[int]] = []
 
@@ -61,7 +69,7 @@ class _Nfa:
 
     def add(self, parsed, start: int) -> int:
         """Adds the expression behind ``start`` and returns where it ends."""
-        for op, arg in parsed:
+        for op, arg in reversed(list(parsed)) if self.backwards else parsed:
             if op is sre.LITERAL:
                 start = self._step(frozenset([arg]), start)
             elif op is sre.IN:
@@ -75,8 +83,6 @@ class _Nfa:
                 start = end
             elif op is sre.MAX_REPEAT:
                 least, most, inner = arg
-                if self.most_copies and most is sre.MAXREPEAT:
-                    least = min(least, self.most_copies)
                 for _ in range(least):
                     start = self.add(inner, start)
                 if most is sre.MAXREPEAT:
@@ -130,21 +136,18 @@ class Automaton:
     accepts: list[frozenset[str]]
 
 
-def compile_rules(patterns: dict[str, str], anywhere: bool) -> Automaton:
-    """The minimal automaton of all patterns.
+def compile_rules(patterns: dict[str, str], starts: bool = False) -> Automaton:
+    """The minimal automaton of all patterns; an accepting state names all that match there.
 
-    Either matches begin at the first byte, or they begin anywhere; then the automaton stays
-    in the state it is in when the first match of any rule is complete, and it takes
-    ``{n,}`` for ``{COPIES,}`` where n is greater, as subsets multiply with every count that
-    runs beside another. It so accepts all texts with a match and a few without.
+    Either it reads forwards and matches begin at the first byte, or, for ``starts``, it
+    reads a text backwards and accepts at every byte where some match begins.
     """
-    nfa = _Nfa()
+    nfa = _Nfa(backwards=starts)
     root = nfa.state()
     ends = {}
     for name, pattern in patterns.items():
         start = nfa.state()
         nfa.empty[root].append(start)
-        nfa.most_copies = COPIES.get(name, COPIES[""]) if anywhere else None
         ends[nfa.add(sre_parser.parse(pattern), start)] = name
     # Bytes that no rule tells apart share a class.
     sets = sorted({members for edges in nfa.edges for members, _ in edges}, key=sorted)
@@ -158,15 +161,12 @@ def compile_rules(patterns: dict[str, str], anywhere: bool) -> Automaton:
                 steps.setdefault(c, []).append(end)
         of_class.append(steps)
 
-    again = {root} if anywhere else set()
+    again = {root} if starts else set()
     first = nfa.closure({root})
     idle = nfa.closure(again)
     index, todo, table, accepts = {first: 0}, [first], [], []
     for current in todo:
         accepts.append(frozenset(ends[s] for s in current if s in ends))
-        if anywhere and accepts[-1]:
-            table.append([index[current]] * len(kinds))
-            continue
         reached: dict[int, set[int]] = {}
         for s in current:
             for c, found in of_class[s].items():
@@ -206,77 +206,71 @@ def _minimised(table: list[list[int]], accepts: list[frozenset[str]]):
     return [shrunk[i] for i in range(len(shrunk))], [kept[i] for i in range(len(kept))]
 
 
-def _successors(automaton: Automaton) -> list:
-    """The start state, where a state is the list of its successors themselves.
+def _linked(automaton: Automaton) -> list:
+    """The start state, where a state is the list of its 256 successors themselves.
 
-    Accepting states are None, which ends a pass.
+    A step into an accepting state is None instead; the last entry of a state has those
+    steps by their byte, with what they accept.
     """
-    states: list[list | None] = [None if a else [] for a in automaton.accepts]
+    states: list[list] = [[] for _ in automaton.rows]
     for row, state in zip(automaton.rows, states, strict=True):
-        if state is not None:
-            state.extend(states[n] for n in row)
+        state.extend(None if automaton.accepts[n] else states[n] for n in row)
+        state.append({b: (states[n], automaton.accepts[n]) for b, n in enumerate(row) if automaton.accepts[n]})
     return states[0]
 
 
-def holds(state: list, data: bytes) -> bool:
-    """Whether the automaton that starts in this state accepts anywhere."""
-    for byte in data:
-        state = state[byte]
-        if state is None:
-            return True
-    return False
-
-
 class Scanner:
-    """The combined automaton and those of the single rules."""
+    """The combined automaton for the starts of all rules, and one for the ends of each rule."""
 
     def __init__(self):
-        strict = {name: pattern for name, _, pattern in RULES}
-        self.combined = compile_rules(strict, anywhere=True)
-        self.single = {name: compile_rules({name: strict[name]}, anywhere=True) for name in strict}
-        self.loose = {name: compile_rules({name: loose}, anywhere=False) for name, loose, _ in RULES}
-        self.strict = {name: compile_rules({name: strict[name]}, anywhere=False) for name in strict}
-        self.first = {
-            name: frozenset(b for b in range(256) if a.rows[0][b] >= 0) for name, a in self.loose.items()
-        }
+        self.combined = compile_rules({n: strict if n in RUNS else loose for n, loose, strict in RULES}, starts=True)
+        self.ends = {name: compile_rules({"match": loose, "counts": strict}) for name, loose, strict in RULES}
 
     def __getstate__(self):
-        return {k: v for k, v in vars(self).items() if k not in ("any_rule", "one_rule")}
+        return {k: v for k, v in vars(self).items() if k != "linked"}
 
     def ready(self) -> Scanner:
         """With the linked states for passes over all bytes, which every process makes for itself."""
-        if not hasattr(self, "any_rule"):
-            self.any_rule = _successors(self.combined)
-            self.one_rule = {name: _successors(a) for name, a in self.single.items()}
+        if not hasattr(self, "linked"):
+            self.linked = _linked(self.combined)
         return self
 
+    def starts(self, data: bytes) -> dict[str, array]:
+        """Places where matches of each rule begin, by one pass over all bytes from the last."""
+        found: dict[str, array] = {}
+        state, left = self.linked, reversed(data)
+        for byte in left:
+            following = state[byte]
+            if following is None:
+                following, names = state[256][byte]
+                for name in names:
+                    found.setdefault(name, array("q")).append(length_hint(left))
+            state = following
+        return found
+
     @staticmethod
-    def _longest(automaton: Automaton, data: bytes, start: int) -> int:
-        rows, accepts, state, end = automaton.rows, automaton.accepts, 0, -1
+    def _longest(automaton: Automaton, data: bytes, start: int) -> tuple[int, bool]:
+        """Where the longest match from ``start`` ends, and whether it counts."""
+        rows, accepts, state, end, counts = automaton.rows, automaton.accepts, 0, start, False
         for at in range(start, len(data)):
             state = rows[state][data[at]]
             if state < 0:
                 break
             if accepts[state]:
-                end = at + 1
-        return end
+                end, counts = at + 1, "counts" in accepts[state]
+        return end, counts
 
     def spans(self, data: bytes) -> list[tuple[int, int, str]]:
         """Start, end and rule of every secret, in bytes, by start and then rule order."""
-        if not holds(self.any_rule, data):
-            return []
+        starts = self.starts(data)
         found = []
         for order, (name, _, _) in enumerate(RULES):
-            if not holds(self.one_rule[name], data):
-                continue
-            first, loose, strict, at = self.first[name], self.loose[name], self.strict[name], 0
-            while at < len(data):
-                if data[at] in first and (end := self._longest(loose, data, at)) > 0:
-                    if self._longest(strict, data, at) == end:
-                        found.append((at, order, end, name))
-                    at = end
-                else:
-                    at += 1
+            at = 0
+            for start in reversed(starts.get(name, ())):
+                if start >= at:
+                    at, counts = self._longest(self.ends[name], data, start)
+                    if counts:
+                        found.append((start, order, at, name))
         return [(start, end, name) for start, _, end, name in sorted(found)]
 
 
@@ -291,8 +285,9 @@ def find_secrets(text: str | None, rules: Scanner) -> list[tuple[str, int, int]]
     spans = rules.ready().spans(data)
     if not spans or len(data) == len(text):
         return [(name, start, end) for start, end, name in spans]
-    points = {at: len(data[:at].decode("utf-8", "surrogatepass")) for s, e, _ in spans for at in (s, e)}
-    return [(name, points[start], points[end]) for start, end, name in spans]
+    # Code points begin at every byte that does not continue one.
+    points = np.concatenate(([0], np.cumsum(np.frombuffer(data, np.uint8) & 0xC0 != 0x80)))
+    return [(name, int(points[start]), int(points[end])) for start, end, name in spans]
 
 
 OUTPUT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_spans long"

@@ -136,7 +136,45 @@ def test_added_rules_and_odd_rows(corpus):
     assert secret_scan.scan_secrets(corpus([])).collect() == []
 
 
+def spans_of(rules, text):
+    return sorted(
+        (m.start(), order, m.end(), name)
+        for order, (name, loose, strict) in enumerate(rules)
+        for m in re.finditer(loose, text)
+        if re.fullmatch(strict, m[0])
+    )
+
+
+def test_all_rules_in_one_pass_against_regular_expressions():
+    rules = secret_scan.scanner().ready()
+    rng = random.Random(4)
+    bits = [
+        "eyJ", ".", "eyJ.eyJ", "ghp_", "gho_", "AIza", "xoxb-", "xox", "sk_live_", "rk_test_", "a1" * 6, "Z" * 9, "_", "-", "-----", " ",
+        "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "é", "password=", "token: ", "AKIA", "deadbeef" * 3, "0f" * 11, "\n", "k" * 16,
+    ]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 14)))
+        want = [(name, a, b) for a, _, b, name in spans_of(secret_scan.RULES, text)]
+        assert secret_scan.find_secrets(text, rules) == want, text
+
+
+def test_long_texts_take_linear_time():
+    rules = secret_scan.scanner().ready()
+    tail = "a" * 8 + ".eyJ" + "b" * 8 + "." + "c" * 8
+    text = "eyJ" * 300_000
+    assert secret_scan.find_secrets("é" + text, rules) == []
+    assert secret_scan.find_secrets("é" + text + tail, rules) == [("jwt", 1, 1 + len(text + tail))]
+    text = "-----BEGIN " * 100_000 + "RSA PRIVATE KEY-----"
+    assert secret_scan.find_secrets(text, rules) == [("private_key", len(text) - 31, len(text))]
+    assert secret_scan.find_secrets("0f" * 500_000, rules) == [("hex", 0, 1_000_000)]
+    text = "é" + "password=12345678 " * 30_000
+    found = secret_scan.find_secrets(text, rules)
+    assert len(found) == 30_000 and all(text[a:b] == "password=12345678" for _, a, b in found)
+
+
 def test_combined_automaton_is_minimal_and_complete():
     rules = secret_scan.scanner()
     table, accepts = secret_scan._minimised(rules.combined.rows, rules.combined.accepts)
     assert len(table) == len(rules.combined.rows) and accepts[0] == frozenset()
+    assert set().union(*accepts) == {name for name, _, _ in secret_scan.RULES}
+    assert all(n >= 0 for row in rules.combined.rows for n in row)
