@@ -9,10 +9,11 @@ from faultlens.functions import paths
 from faultlens.operators import codelines, configscan, inventory
 from faultlens.plans import corpora, project_scan
 from faultlens.plans.catalog import register
-from faultlens.sources import tree
 from faultlens.plans.corpora_sql import (
     BENIGN, KIND, MINIFIED, ROLE, SOURCE, basename, case_table, define, extension, in_ignored, in_vendored, kinds_of, sql, text,
 )
+from faultlens.session import scratch_dir
+from faultlens.sources import tree
 
 
 def listed(spark: SparkSession, d: str) -> DataFrame:
@@ -238,3 +239,31 @@ register(
         "every_file", "every_core_dir",
     ),
 )
+
+
+def walked(spark: SparkSession, d: str) -> DataFrame:
+    """The trees of all projects, written as directories and walked again."""
+    base = scratch_dir(spark, "trees")
+    tree.write_trees(every_file(spark, d), base)
+    entries = tree.walk(spark, [("all", base)]).where(F.contains("path", F.lit("/")))
+    project = F.substring_index("path", "/", 1)
+    below = F.expr("substring(path, length(substring_index(path, '/', 1)) + 2)")
+    return entries.select(project.alias("project"), below.alias("path"), "is_dir", "size", "in_core")
+
+
+register(
+    "s_1_tree_walk",
+    walked,
+    sql(
+        f"""SELECT e.project, path, is_dir, size, EXISTS (SELECT 1 FROM every_core_dir d
+            WHERE d.project = e.project AND starts_with(e.path || '/', d.core_dir || '/') AND NOT {in_ignored("d.core_dir || '/x'")}) AS in_core
+        FROM (
+          SELECT project, path, false AS is_dir, CAST(octet_length(encode(content)) AS BIGINT) AS size FROM every_file WHERE NOT {in_ignored('path')}
+          UNION ALL
+          SELECT DISTINCT project, path, true, 0 FROM (
+            SELECT project, array_to_string(parts[1:unnest(range(1, len(parts)))], '/') AS path
+            FROM (SELECT DISTINCT project, string_split(path, '/') AS parts FROM every_file))
+          WHERE NOT {in_ignored("path || '/x'")}) e""",
+        "every_file", "every_core_dir",
+    ),
+)

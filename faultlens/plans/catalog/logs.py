@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultlens.functions import logtext, severity
@@ -13,6 +13,7 @@ from faultlens.plans.corpora_sql import case_table, runtime_groups, sql
 from faultlens.session import scratch_dir
 from faultlens.sources import events as event_source
 from faultlens.sources import logs as log_source
+from faultlens.sources import tree
 from faultlens.streaming import live
 
 
@@ -27,20 +28,36 @@ def _events(spark, d):
 # --- sources ------------------------------------------------------------------
 
 
-def log_source_totals(spark: SparkSession, d: str) -> DataFrame:
-    """The log corpus written as text files and read back by the log source."""
-    path = scratch_dir(spark, "logs")
-    _lines(spark, d).select("value").write.mode("overwrite").text(path)
-    totals = loggroups.log_totals(log_source.read_logs(spark, path))
-    return totals.select("total_lines", "total_errors")
+#: Lines of a project that make one log file of the corpus.
+LINES_PER_FILE = 1000
+
+
+def log_source_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The log corpus written as files for all three globs and read back, line by line."""
+    base = scratch_dir(spark, "logs")
+    name = F.concat_ws("-", "project", F.col("part").cast("string"))
+    path = (
+        F.when(F.col("part") % 3 == 0, F.concat(name, F.lit(".log")))
+        .when(F.col("part") % 3 == 1, F.concat(name, F.lit(".txt")))
+        .otherwise(F.concat(F.lit("log-"), name, F.lit(".php")))
+    )
+    lines = _lines(spark, d).withColumn("part", F.floor(F.col("line_order") / LINES_PER_FILE))
+    files = lines.groupBy("project", "part").agg(F.sort_array(F.collect_list(F.struct("line_order", "value"))).alias("lines"))
+    tree.write_trees(files.select(F.lit("app").alias("project"), path.alias("path"), F.array_join("lines.value", "\n").alias("content")), base)
+    place = F.row_number().over(Window.partitionBy("source_file").orderBy("line_order"))
+    return log_source.read_logs(spark, f"{base}/app").select(
+        F.substring_index("source_file", "/", -1).alias("file"), F.col("line_order.glob").alias("glob"), place.alias("place"), "value"
+    )
 
 
 register(
     "s_4_log_source",
-    log_source_totals,
+    log_source_lines,
     sql(
-        "SELECT (SELECT count(*) FROM log_trimmed) AS total_lines, (SELECT count(*) FROM log_errors) AS total_errors",
-        "log_trimmed", "log_errors",
+        f"""SELECT CASE part % 3 WHEN 0 THEN name || '.log' WHEN 1 THEN name || '.txt' ELSE 'log-' || name || '.php' END AS file,
+          CAST(part % 3 AS INTEGER) AS glob, CAST(row_number() OVER (PARTITION BY name ORDER BY line_order) AS INTEGER) AS place, value
+        FROM (SELECT *, line_order // {LINES_PER_FILE} AS part, project || '-' || (line_order // {LINES_PER_FILE}) AS name FROM log_lines)""",
+        "log_lines",
     ),
 )
 

@@ -6,8 +6,10 @@ listed and read on the executors. Store the result as Parquet and scan that.
 
 from __future__ import annotations
 
+import json
 import os
 import sys
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +17,7 @@ from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from faultlens.functions import paths
 from faultlens.functions.paths import IGNORED_DIRS
@@ -27,6 +30,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _ENTRY = "project string, root string, path string, is_dir boolean, size long, in_core boolean"
 _COLUMNS = ["project", "root", "path", "is_dir", "size", "in_core"]
 BATCH_BYTES = 16 * 1024 * 1024
+#: Directories that planning finds for each task, and those it lists for that at most.
+DIRS_PER_TASK, LISTINGS_PER_TASK = 4, 16
 CORE_MARKER = os.path.join("core", "CodeIgniter.php")
 
 
@@ -142,6 +147,69 @@ def _read(max_bytes: int | None):
     return run
 
 
+class TreePart(InputPartition):
+    """Directories that one task lists: ``(project, root, path, in_core, deep)`` each."""
+
+    def __init__(self, dirs: list[tuple[str, str, str, bool, bool]]):
+        self.dirs = dirs
+
+
+def plan_walk(roots: list[tuple[str, str]], tasks: int) -> list[TreePart]:
+    """The walk of some roots, dealt to tasks.
+
+    Directories are opened breadth-first until there are enough of them, wherever in the
+    tree they branch; those opened are listed alone, the rest with all below. Only
+    directories are held, and their number depends on ``tasks`` and not on the trees, but
+    for the children of the last one opened.
+    """
+    waiting = deque((project, root, "", False) for project, root in roots)
+    opened = []
+    while waiting and len(waiting) < DIRS_PER_TASK * tasks and len(opened) < LISTINGS_PER_TASK * tasks:
+        project, root, path, core = here = waiting.popleft()
+        opened.append((*here, False))
+        waiting.extend((project, root, p, c) for p, is_dir, _, c in _entries(root, path, core, False) if is_dir)
+    units = [(*unit, True) for unit in waiting] + opened
+    return [TreePart(units[i::tasks]) for i in range(max(1, min(tasks, len(units))))]
+
+
+class TreeReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.roots = [tuple(r) for r in json.loads(options["roots"])]
+        self.tasks = int(options["tasks"])
+
+    def partitions(self) -> list[TreePart]:
+        return plan_walk(self.roots, self.tasks)
+
+    def read(self, partition: TreePart) -> Iterator[tuple]:
+        for project, root, path, core, deep in partition.dirs:
+            for entry in _entries(root, path, core, deep):
+                yield (project, root, *entry)
+
+
+class TreeSource(DataSource):
+    """Entries of the trees in the option ``roots``, a JSON list of ``[project, root]``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "project_tree"
+
+    def schema(self) -> str:
+        return _ENTRY
+
+    def reader(self, schema) -> TreeReader:
+        return TreeReader(self.options)
+
+
+def walk(spark: SparkSession, roots: list[tuple[str, str]], tasks: int | None = None) -> DataFrame:
+    """Entries of a few trees, however deep they branch; see ``list_tree`` for tables of many.
+
+    The driver opens the first directories; roots are on storage that all nodes see.
+    """
+    spark.dataSource.register(TreeSource)
+    options = {"roots": json.dumps(roots), "tasks": str(tasks or spark.sparkContext.defaultParallelism)}
+    return spark.read.format(TreeSource.name()).options(**options).load()
+
+
 def list_tree(projects: DataFrame, tasks: int | None = None) -> DataFrame:
     """Entries of every project in ``projects(project, root)``.
 
@@ -172,12 +240,39 @@ def read_trees(projects: DataFrame, max_bytes: int | None = None, tasks: int | N
     return list_tree(projects, tasks).repartition(n).mapInPandas(_read(max_bytes), FILES)
 
 
-def read_tree(spark: SparkSession, root: str, project: str | None = None) -> DataFrame:
-    """One project; a missing root is an error."""
+def read_tree(spark: SparkSession, root: str, project: str | None = None, max_bytes: int | None = None) -> DataFrame:
+    """One project, spread over all tasks wherever it branches; a missing root is an error."""
     if "://" not in root and not os.path.isdir(root):
         raise FileNotFoundError(root)
     name = project or os.path.basename(os.path.abspath(root))
-    return read_trees(spark.createDataFrame([(name, root)], "project string, root string"))
+    entries = walk(spark, [(name, root)])
+    return entries.repartition(spark.sparkContext.defaultParallelism).mapInPandas(_read(max_bytes), FILES)
+
+
+def _write(base: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, top = fs.FileSystem.from_uri(base) if "://" in base else (fs.LocalFileSystem(), base)
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                if ".." in row.path.split("/"):
+                    raise ValueError(f"path leaves its tree: {row.path}")
+                target = f"{top}/{row.project}/{row.path}"
+                store.create_dir(os.path.dirname(target), recursive=True)
+                with store.open_output_stream(target) as f:
+                    f.write(row.content.encode("utf-8", "replace"))
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return run
+
+
+def write_trees(files: DataFrame, base: str) -> int:
+    """Write files as directory trees ``base/project/path``; returns how many there were.
+
+    ``base`` is a directory or URI that all executors see. A task that runs again writes the
+    same files again; of files with one path any one stays. A null content is empty.
+    """
+    rows = files.select("project", "path", F.coalesce("content", F.lit("")).alias("content"))
+    return rows.mapInPandas(_write(base), "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def tree_rows(objects: DataFrame) -> DataFrame:

@@ -240,3 +240,41 @@ def test_uris_and_listings_equal_the_walk(spark, tmp_path):
     assert rows(tree.read_tree(spark, root.as_uri(), "p")) == walked
     files = [("p", str(f.relative_to(root)), f.stat().st_size, f.read_text()) for f in root.rglob("*") if f.is_file()]
     assert rows(tree.tree_rows(spark.createDataFrame(files, "project string, path string, size long, content string"))) == walked
+
+
+def test_walk_spreads_a_tree_that_branches_deep_down(spark, tmp_path):
+    for i in range(20):
+        for j in range(3):
+            where = tmp_path / "src" / "main" / f"m{i}" / f"d{j}"
+            where.mkdir(parents=True)
+            (where / "a.php").write_text("x")
+    parts = tree.plan_walk([("p", str(tmp_path))], 4)
+    below = [unit for part in parts for unit in part.dirs if unit[-1]]
+    assert len(parts) == 4 and len(below) >= 4 * tree.DIRS_PER_TASK
+    assert all(sum(unit[-1] for unit in part.dirs) >= tree.DIRS_PER_TASK for part in parts)
+    entries = tree.walk(spark, [("p", str(tmp_path))], 4)
+    assert entries.rdd.getNumPartitions() == 4
+    rows = sorted(r.path for r in entries.collect())
+    assert rows == sorted(str(f.relative_to(tmp_path)) for f in tmp_path.rglob("*"))
+
+
+def test_walk_of_small_and_narrow_trees(spark, tmp_path):
+    (tmp_path / "empty").mkdir()
+    deep = tmp_path / "deep" / "/".join("abcdefgh")
+    deep.mkdir(parents=True)
+    (deep / "f.py").write_text("x")
+    roots = [("e", str(tmp_path / "empty")), ("d", str(tmp_path / "deep")), ("gone", str(tmp_path / "gone"))]
+    rows = tree.walk(spark, roots, 3).where("not is_dir").collect()
+    assert [(r.project, r.path) for r in rows] == [("d", "a/b/c/d/e/f/g/h/f.py")]
+    assert tree.walk(spark, [], 3).count() == 0
+
+
+def test_trees_written_are_those_read(spark, tmp_path):
+    files = spark.createDataFrame(
+        [("p", "a/ä.php", "é\r\n"), ("p", "b", None), ("q", ".env", "K=1")], "project string, path string, content string"
+    )
+    assert tree.write_trees(files, str(tmp_path)) == 3
+    got = tree.read_tree(spark, str(tmp_path), "all").where("not is_dir")
+    assert sorted((r.path, r.content) for r in got.collect()) == [("p/a/ä.php", "é\r\n"), ("p/b", ""), ("q/.env", "K=1")]
+    with pytest.raises(Exception, match="path leaves its tree"):
+        tree.write_trees(spark.createDataFrame([("p", "../x", "y")], "project string, path string, content string"), str(tmp_path))
