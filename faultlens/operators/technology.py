@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,21 +73,20 @@ def merged_versions(body: Column, schema: str, first: str, second: str) -> Colum
     return F.map_concat(own, F.map_filter(extra, lambda k, _: ~F.map_contains_key(own, k)))
 
 
+def _outside(files: DataFrame) -> DataFrame:
+    """Files outside ignored directories, with their name and their place in walk order."""
+    return files.where(~F.coalesce(F.col("is_dir"), F.lit(False)) & ~paths.in_ignored_dir(F.col("path"))).withColumns(
+        {"name": paths.basename(F.col("path")), "place": paths.parts(F.col("path"))}
+    )
+
+
 def first_manifests(files: DataFrame) -> DataFrame:
-    """First file of every interesting name in walk order, with its content.
+    """``(project, name, path)``: the first file of every interesting name in walk order.
 
-    Paths alone decide; only the winners' contents are then fetched.
+    Paths alone decide, so contents are neither read nor shuffled.
     """
-    outside = files.where(~F.coalesce(F.col("is_dir"), F.lit(False)) & ~paths.in_ignored_dir(F.col("path")))
-    named = outside.withColumn("name", paths.basename(F.col("path"))).where(
-        F.col("name").isin(*INTERESTING)
-    )
-    winners = named.groupBy("project", "name").agg(
-        F.array_join(F.min(paths.parts(F.col("path"))), "/").alias("path")
-    )
-    return named.join(winners, ["project", "name", "path"], "left_semi").select(
-        "project", "name", "path", "content"
-    )
+    named = _outside(files.select("project", "path", "is_dir")).where(F.col("name").isin(*INTERESTING))
+    return named.groupBy("project", "name").agg(F.array_join(F.min("place"), "/").alias("path"))
 
 
 def scanned(files: DataFrame, exts: tuple[str, ...]) -> DataFrame:
@@ -97,118 +98,124 @@ def scanned(files: DataFrame, exts: tuple[str, ...]) -> DataFrame:
     )
 
 
-def manifest_signals(files: DataFrame) -> DataFrame:
-    """One row per project: what each manifest says, as small flags and versions."""
-    name, body = F.col("name"), F.col("content")
-    low = F.lower(body)
-    filled = body != ""
-    composer = merged_versions(body, _COMPOSER, "require", "require-dev")
-    npm = merged_versions(body, _NPM, "dependencies", "devDependencies")
-    rows = first_manifests(files).select(
+def _seen(names: Column, *wanted: str) -> Column:
+    return F.arrays_overlap(names, F.array(*[F.lit(w) for w in wanted]))
+
+
+def _versions(deps: Column, frameworks: list[tuple[str, str]]) -> Column:
+    """Versions of the frameworks' packages, null where they are not required; ``deps`` is evaluated once."""
+    return F.get(F.transform(F.array(deps), lambda d: F.array(*[d[p] for p, _ in frameworks])), 0)
+
+
+def telling_files(files: DataFrame) -> DataFrame:
+    """``(project, name, place, k8s, aws, k8s_dir, aws_dir, says)`` of all that may be a signal.
+
+    ``name`` and ``says``, what a manifest says as small flags and versions, are null but for
+    interesting names; ``k8s`` and ``aws`` mark Kubernetes YAML and AWS Terraform, the last two
+    flags telling directory names at or above the entry.
+    """
+    path, body = F.col("path"), F.col("content")
+    is_dir = F.coalesce(F.col("is_dir"), F.lit(False))
+    ext = paths.extension(path)
+    kubernetes = (
+        body.contains("apiVersion:") & body.contains("kind:") & text.contains_any(body, ("Deployment", "Service", "Pod"))
+    )
+    names = F.transform(F.when(is_dir, paths.parts(path)).otherwise(paths.directories(path)), F.lower)
+    name = F.when(~is_dir & paths.basename(path).isin(*INTERESTING), paths.basename(path))
+    rows = files.where(~paths.in_ignored_dir(path) & ~(is_dir & paths.basename(path).isin(*paths.IGNORED_DIRS))).select(
         "project",
-        "name",
-        filled.alias("filled"),
-        F.when(name == "composer.json", composer).when(name == "package.json", npm).alias("deps"),
-        F.when(name == "CodeIgniter.php", body.contains("CI_VERSION")).alias("core"),
-        F.when(name == "CodeIgniter.php", version_near(body, "CI_VERSION")).alias("core_version"),
-        low.contains("django").alias("django"),
-        low.contains("fastapi").alias("fastapi"),
-        low.contains("flask").alias("flask"),
-        text.contains_any(body, ("spring-boot", "org.springframework")).alias("spring"),
-        text.contains_any(low, ("mysqli", "'mysql'")).alias("mysqli"),
-        low.contains("postgre").alias("postgre"),
-        low.contains("mysql").alias("env_mysql"),
-        text.contains_any(low, ("pgsql", "postgres")).alias("env_postgres"),
-        low.contains("mongo").alias("env_mongo"),
-        text.contains_any(low, ("mysqli", "pdo_mysql", "mysql2")).alias("dep_mysql"),
-        text.contains_any(low, ("psycopg", '"pg"', "pdo_pgsql")).alias("dep_postgres"),
-        text.contains_any(low, ("mongoose", "pymongo", "mongodb")).alias("dep_mongo"),
-        text.contains_any(low, ("image: mysql", "image: mariadb")).alias("img_mysql"),
-        low.contains("image: postgres").alias("img_postgres"),
-        low.contains("image: mongo").alias("img_mongo"),
-        text.contains_any(low, ("aws-sdk", "boto3", "@aws-sdk/")).alias("aws_sdk"),
+        "content",
+        name.alias("name"),
+        paths.parts(path).alias("place"),
+        F.coalesce(~is_dir & ext.isin(".yaml", ".yml") & kubernetes, F.lit(False)).alias("k8s"),
+        F.coalesce(~is_dir & (ext == ".tf") & body.contains('provider "aws"'), F.lit(False)).alias("aws"),
+        _seen(names, "k8s", "kubernetes", "manifests", "charts").alias("k8s_dir"),
+        _seen(names, ".aws", ".ebextensions").alias("aws_dir"),
+    )
+    telling = rows.where(F.col("name").isNotNull() | F.col("k8s") | F.col("aws") | F.col("k8s_dir") | F.col("aws_dir"))
+    name, low = F.col("name"), F.lower("content")
+    php = merged_versions(body, _COMPOSER, "require", "require-dev")
+    npm = merged_versions(body, _NPM, "dependencies", "devDependencies")
+    says = {
+        "filled": body != "",
+        "core": body.contains("CI_VERSION"),
+        "core_version": F.when(name == "CodeIgniter.php", version_near(body, "CI_VERSION")),
+        "php": F.when(name == "composer.json", _versions(php, PHP_FRAMEWORKS)),
+        "npm": F.when(name == "package.json", _versions(npm, NODE_FRAMEWORKS)),
+        "django": low.contains("django"),
+        "fastapi": low.contains("fastapi"),
+        "flask": low.contains("flask"),
+        "spring": text.contains_any(body, ("spring-boot", "org.springframework")),
+        "cfg_mysql": text.contains_any(low, ("mysqli", "'mysql'")),
+        "cfg_postgres": low.contains("postgre"),
+        "env_mysql": low.contains("mysql"),
+        "env_postgres": text.contains_any(low, ("pgsql", "postgres")),
+        "env_mongo": low.contains("mongo"),
+        "dep_mysql": text.contains_any(low, ("mysqli", "pdo_mysql", "mysql2")),
+        "dep_postgres": text.contains_any(low, ("psycopg", '"pg"', "pdo_pgsql")),
+        "dep_mongo": text.contains_any(low, ("mongoose", "pymongo", "mongodb")),
+        "img_mysql": text.contains_any(low, ("image: mysql", "image: mariadb")),
+        "img_postgres": low.contains("image: postgres"),
+        "img_mongo": low.contains("image: mongo"),
+        "aws_sdk": text.contains_any(low, ("aws-sdk", "boto3", "@aws-sdk/")),
+    }
+    return telling.select(
+        "project", "name", "place", "k8s", "aws", "k8s_dir", "aws_dir",
+        F.when(name.isNotNull(), F.struct(*[c.alias(k) for k, c in says.items()])).alias("says"),
+    )
+
+
+def project_signals(files: DataFrame) -> DataFrame:
+    """One row per project: what its first manifest of each name says, and its first files
+    and directories that tell of an infrastructure.
+
+    One aggregate decides the firsts of all names in walk order. Contents stay where they
+    are read; flags and versions travel, after a partial aggregate in every task.
+    """
+    first = {
+        m: F.min(F.when(F.col("name") == m, F.struct("place", "says"))).alias(_name("m", m)) for m in INTERESTING
+    }
+    firsts = telling_files(files).groupBy("project").agg(
+        *first.values(),
+        F.array_join(F.min(F.when(F.col("k8s"), F.col("place"))), "/").alias("k8s_file"),
+        F.array_join(F.min(F.when(F.col("aws"), F.col("place"))), "/").alias("aws_file"),
+        F.bool_or("k8s_dir").alias("k8s_dir"),
+        F.bool_or("aws_dir").alias("aws_dir"),
     )
 
-    def flag(manifest: str, column: str, alias: str) -> Column:
-        return F.max(F.when(name == manifest, F.col(column))).alias(alias)
+    def says(manifest: str, key: str) -> Column:
+        return F.col(_name("m", manifest))["says"][key]
 
-    def first_filled(manifests: tuple[str, ...], column: str, alias: str) -> Column:
+    def first_filled(manifests: tuple[str, ...], key: str, alias: str) -> Column:
         """The flag of the first manifest that is not empty."""
-        return F.coalesce(
-            *[F.max(F.when((name == m) & F.col("filled"), F.col(column))) for m in manifests],
-            F.lit(False),
-        ).alias(alias)
-
-    def any_of(manifests: tuple[str, ...], column: str, alias: str) -> Column:
-        return F.coalesce(F.max(F.when(name.isin(*manifests), F.col(column))), F.lit(False)).alias(alias)
+        return F.coalesce(*[F.when(says(m, "filled"), says(m, key)) for m in manifests], F.lit(False)).alias(alias)
 
-    def version(manifest: str, package: str, alias: str) -> Column:
-        return F.max(F.when(name == manifest, F.col("deps")[package])).alias(alias)
+    def any_of(manifests: tuple[str, ...], key: str, alias: str) -> Column:
+        flags = [F.coalesce(says(m, key), F.lit(False)) for m in manifests]
+        return reduce(lambda x, y: x | y, flags).alias(alias)
 
     python = ("requirements.txt", "pyproject.toml", "Pipfile", "setup.py")
     java = ("pom.xml", "build.gradle", "build.gradle.kts")
     env = (".env", ".env.example")
     compose = ("docker-compose.yml", "docker-compose.yaml")
     dependency = ("composer.json", "package.json", "requirements.txt", "pyproject.toml")
-    return rows.groupBy("project").agg(
-        *[F.coalesce(F.bool_or(name == m), F.lit(False)).alias(_name("has", m)) for m in INTERESTING],
-        *[version("composer.json", p, _name("php", p)) for p, _ in PHP_FRAMEWORKS],
-        *[version("package.json", p, _name("npm", p)) for p, _ in NODE_FRAMEWORKS],
-        F.coalesce(flag("CodeIgniter.php", "core", "x"), F.lit(False)).alias("core"),
-        F.coalesce(flag("CodeIgniter.php", "core_version", "x"), F.lit("")).alias("core_version"),
+    return firsts.select(
+        "project", "k8s_file", "aws_file", "k8s_dir", "aws_dir",
+        *[F.col(_name("m", m)).isNotNull().alias(_name("has", m)) for m in INTERESTING],
+        *[says("composer.json", "php")[i].alias(_name("php", p)) for i, (p, _) in enumerate(PHP_FRAMEWORKS)],
+        *[says("package.json", "npm")[i].alias(_name("npm", p)) for i, (p, _) in enumerate(NODE_FRAMEWORKS)],
+        any_of(("CodeIgniter.php",), "core", "core"),
+        F.coalesce(says("CodeIgniter.php", "core_version"), F.lit("")).alias("core_version"),
         any_of(python, "filled", "python"),
         *[first_filled(python, c, c) for c in ("django", "fastapi", "flask")],
         any_of(java, "filled", "java"),
         first_filled(java, "spring", "spring"),
-        any_of(("database.php",), "mysqli", "cfg_mysql"),
-        any_of(("database.php",), "postgre", "cfg_postgres"),
+        *[any_of(("database.php",), c, c) for c in ("cfg_mysql", "cfg_postgres")],
         *[first_filled(env, c, c) for c in ("env_mysql", "env_postgres", "env_mongo")],
         *[any_of(dependency, c, c) for c in ("dep_mysql", "dep_postgres", "dep_mongo")],
         *[first_filled(compose, c, c) for c in ("img_mysql", "img_postgres", "img_mongo")],
         any_of(("package.json", "requirements.txt", "pyproject.toml"), "aws_sdk", "aws_sdk"),
-    )
-
-
-def scanned_signals(files: DataFrame) -> DataFrame:
-    """First Kubernetes YAML and first AWS Terraform file per project."""
-    body = F.col("content")
-    k8s = (
-        body.contains("apiVersion:")
-        & body.contains("kind:")
-        & text.contains_any(body, ("Deployment", "Service", "Pod"))
-    )
-    aws = body.contains('provider "aws"')
-    is_terraform = paths.extension(F.col("path")) == ".tf"
-    # Paths in walk order; one pass over both kinds, and no content is shuffled.
-    place = paths.parts(F.col("path"))
-    return (
-        scanned(files, (".yaml", ".yml", ".tf"))
-        .where(F.when(is_terraform, aws).otherwise(k8s))
-        .groupBy("project")
-        .agg(
-            F.array_join(F.min(F.when(~is_terraform, place)), "/").alias("k8s_file"),
-            F.array_join(F.min(F.when(is_terraform, place)), "/").alias("aws_file"),
-        )
-    )
-
-
-def directory_signals(files: DataFrame) -> DataFrame:
-    """Which telling directory names occur; every ancestor of a file counts."""
-    is_dir = F.coalesce(F.col("is_dir"), F.lit(False))
-    outside = files.where(~paths.in_ignored_dir(F.col("path"))).where(
-        ~(is_dir & paths.basename(F.col("path")).isin(*paths.IGNORED_DIRS))
-    )
-    names = F.transform(
-        F.when(is_dir, paths.parts(F.col("path"))).otherwise(paths.directories(F.col("path"))), F.lower
-    )
-
-    def seen(*wanted: str) -> Column:
-        return F.bool_or(F.arrays_overlap(names, F.array(*[F.lit(w) for w in wanted])))
-
-    return outside.groupBy("project").agg(
-        seen("k8s", "kubernetes", "manifests", "charts").alias("k8s_dir"),
-        seen(".aws", ".ebextensions").alias("aws_dir"),
-    )
+    )
 
 
 def _signal_list() -> list[tuple[str, Column, Column, Column, str, Column]]:
@@ -240,8 +247,7 @@ def _signal_list() -> list[tuple[str, Column, Column, Column, str, Column]]:
         .otherwise("CodeIgniter")
     )
     manage = has("manage.py")
-    k8s_dir = F.coalesce("k8s_dir", F.lit(False))
-    aws_dir = F.coalesce("aws_dir", F.lit(False))
+    k8s_dir, aws_dir = F.col("k8s_dir"), F.col("aws_dir")
     serverless = has("serverless.yml") | has("serverless.yaml")
     aws = (
         F.when(serverless, F.lit("serverless framework config present"))
@@ -304,13 +310,6 @@ def technologies(files: DataFrame) -> DataFrame:
     first version that is not empty. A project has at most one signal of each kind, so the
     merged lists are bounded.
     """
-    wide = (
-        directory_signals(files)
-        .join(scanned_signals(files), "project", "left")
-        .join(manifest_signals(files), "project", "left")
-    )
-    missing = {c: False for c, t in wide.dtypes if t == "boolean"}
-    wide = wide.na.fill(missing).na.fill({"core_version": ""})
     candidates = [
         F.when(
             condition,
@@ -325,23 +324,24 @@ def technologies(files: DataFrame) -> DataFrame:
         )
         for i, (concern, condition, name, version, confidence, evidence) in enumerate(_signal_list())
     ]
-    rows = wide.select("project", F.explode(F.array_compact(F.array(*candidates))).alias("t")).select(
-        "project", "t.*"
-    )
-    merged = rows.groupBy("project", "concern", "name").agg(
-        F.sort_array(F.collect_list(F.struct("ord", "evidence"))).alias("_e"),
-        F.min_by("confidence", "ord").alias("confidence"),
-        F.min_by("version", F.when(F.col("version") != "", F.col("ord"))).alias("version"),
-        F.min("ord").alias("ord"),
-    )
-    return merged.select(
-        "project",
-        "concern",
-        "name",
-        F.coalesce("version", F.lit("")).alias("version"),
-        "confidence",
-        F.transform("_e", lambda e: e["evidence"]).alias("evidence"),
-        "ord",
+    found = project_signals(files).select("project", F.array_compact(F.array(*candidates)).alias("found"))
+    # The few signals of a project are merged in their row.
+    kinds = F.array_distinct(F.transform("found", lambda t: F.struct(t["concern"], t["name"])))
+    rows = found.select("project", F.explode(F.transform(kinds, _merged)).alias("t")).select("project", "t.*")
+    return rows.select("project", "concern", "name", "version", "confidence", "evidence", "ord")
+
+
+def _merged(kind: Column) -> Column:
+    """The signals in ``found`` of one concern and name as one."""
+    same = F.filter("found", lambda t: (t["concern"] == kind["concern"]) & (t["name"] == kind["name"]))
+    versions = F.filter(F.transform(same, lambda t: t["version"]), lambda v: v != "")
+    return F.struct(
+        kind["concern"].alias("concern"),
+        kind["name"].alias("name"),
+        F.coalesce(F.get(versions, 0), F.lit("")).alias("version"),
+        F.get(same, 0)["confidence"].alias("confidence"),
+        F.transform(same, lambda t: t["evidence"]).alias("evidence"),
+        F.get(same, 0)["ord"].alias("ord"),
     )
 
 

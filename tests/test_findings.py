@@ -316,3 +316,16 @@ def test_changed_lines_plan(spark, frame, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert text.count("FileScan parquet") == 3 and text.count("- Exchange ") <= 6
+
+
+def test_technologies_take_one_scan_and_one_exchange(spark, make_files, tmp_path):
+    stored = str(tmp_path / "files")
+    make_files({"composer.json": '{"require": {"slim/slim": "^4.1"}}', "k8s/a.yaml": "kind: x", "x.php": ""}).write.parquet(stored)
+    tech = technology.technologies(spark.read.parquet(stored))
+    plan = tech._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning(project") == plan.count("Exchange ") == 1
+    # The first manifests of all names are decided in walk order, whichever task read them.
+    names = {"b/composer.json": '{"require": {"laravel/framework": "^9"}}', "a/z/composer.json": '{"require-dev": {"slim/slim": "~4.1"}}'}
+    got = {r.name: (r.version, r.evidence) for r in technology.technologies(make_files(names).repartition(2)).collect()}
+    assert got == {"PHP": ("", ["composer.json present"]), "Slim": ("4.1", ["composer.json requires slim/slim 4.1"])}
+    assert [r.path for r in technology.first_manifests(make_files(names)).collect()] == ["a/z/composer.json"]
