@@ -3,8 +3,10 @@
 Every rolling pair of document words is joined, by its hash, to the places of the same pair
 in the license templates; for templates of three words and more the third word must agree
 as well. A match votes for the diagonal "document place less template place". Votes are
-counted per diagonal, neighbouring diagonals of a template (a word added or dropped) are
-merged into spans, and a span counts if it covers enough of its template.
+counted per diagonal and neighbouring diagonals of a template (words added or dropped) are
+merged into spans. A span is verified by the template words that it holds, each counted
+once: enough of the template's runs of three words must be there, where words put between
+those of a run do not break it.
 """
 
 from __future__ import annotations
@@ -56,8 +58,10 @@ TEMPLATES = [
 
 #: Share of a template's places that a span must cover.
 COVERAGE = 0.75
-#: Diagonals at most so far apart belong to one span.
-DRIFT = 3
+#: Diagonals at most so far apart belong to one span; a quarter of the template's places adds to it.
+DRIFT = 6
+#: A template's words are the bits of a long.
+MOST_WORDS = 63
 #: No word: marks the end of a document, so that each one has a row.
 END = "\x00"
 
@@ -70,6 +74,8 @@ def _grams(spark: SparkSession) -> DataFrame:
         rows.append((n, label, 0, 1, parts[0], parts[1], parts[2] if len(parts) > 2 else None, True))
     for n, (label, text) in enumerate(TEMPLATES, len(PHRASES)):
         parts = text.split()
+        if len(parts) > MOST_WORDS:
+            raise ValueError(f"template of more than {MOST_WORDS} words: {label}")
         for i in range(len(parts) - 2):
             rows.append((n, label, i, len(parts) - 2, *parts[i : i + 3], False))
     grams = spark.createDataFrame(
@@ -116,12 +122,12 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
             F.first("label").alias("label"),
             F.first("base").alias("base"),
             F.first("places").alias("places"),
-            F.count("*").alias("votes"),
+            F.bit_or(F.expr("shiftleft(7L, place)")).alias("held"),
         )
     )
     # Diagonals of a template that lie close together are one span.
     along = Window.partitionBy("row", "template").orderBy("diagonal")
-    fresh = F.col("diagonal") - F.lag("diagonal").over(along) > DRIFT
+    fresh = F.col("diagonal") - F.lag("diagonal").over(along) > DRIFT + F.floor(F.col("places") / 4)
     spans = (
         votes.withColumn("fresh", F.when(F.col("base") | (F.col("template") < 0) | F.coalesce(fresh, F.lit(True)), 1).otherwise(0))
         .withColumn("span", F.sum("fresh").over(along))
@@ -131,8 +137,12 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
             F.first("label").alias("label"),
             F.first("base").alias("base"),
             F.min("diagonal").alias("start"),
-            F.least(F.lit(1.0), F.sum("votes") / F.first("places")).alias("coverage"),
+            F.first("places").alias("places"),
+            F.bit_or("held").alias("held"),
         )
+        # Places whose three words are all held, by whichever runs.
+        .withColumn("runs", F.col("held").bitwiseAND(F.shiftright("held", 1)).bitwiseAND(F.shiftright("held", 2)))
+        .withColumn("coverage", F.when(F.col("base"), F.lit(1.0)).otherwise(F.bit_count("runs") / F.col("places")))
     )
 
     def labels(which: Column) -> Column:

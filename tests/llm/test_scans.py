@@ -90,6 +90,49 @@ def test_license_places_against_brute_force(corpus, prose):
     assert got[n + 9].labels == "apache-2.0" and got[n + 1].labels == "cc-by,cc-notice"
 
 
+def held_share(template, text):
+    """Best share of a template's runs in stretches of text, straight from the words."""
+    t, w = template.split(), words(text)
+    diagonals = {}
+    for i in range(len(w) - 2):
+        for p in range(len(t) - 2):
+            if w[i : i + 3] == t[p : p + 3]:
+                diagonals.setdefault(i - p, set()).update((p, p + 1, p + 2))
+    best, span, last = 0, set(), None
+    for d in sorted(diagonals):
+        if last is not None and d - last > licenses.DRIFT + (len(t) - 2) // 4:
+            span = set()
+        span, last = span | diagonals[d], d
+        best = max(best, sum({p, p + 1, p + 2} <= span for p in range(len(t) - 2)))
+    return best / (len(t) - 2)
+
+
+def test_license_spans_are_verified(corpus):
+    apache = "licensed under the apache license version 2 0"
+    mit = licenses.TEMPLATES[0][1].split()
+    rng = random.Random(6)
+    texts = [
+        "gnu lesser general " * 3, "gnu lesser general public license", "Licensed under the Apache (as you may well have guessed) License, Version 2.0",
+        "licensed under the gnu general public license version 2 0", " ".join(mit[:30] + ["x"] * 15 + mit[30:]), " ".join(mit[:30] + ["x"] * 90 + mit[30:]),
+        " ".join(mit[:20] * 4), apache.replace("apache", "patchy"),
+    ]
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            t = rng.choice(licenses.TEMPLATES)[1].split()
+            a = rng.randrange(len(t))
+            parts += t[a : a + rng.randint(1, len(t))] + ["x"] * rng.choice([0, 0, 1, 4, 9])
+        texts.append(" ".join(parts))
+    got = {r.doc_id: r for r in licenses.scan_licenses(corpus(texts)).collect()}
+    for k, text in enumerate(texts):
+        base = {label for phrase, label in licenses.PHRASES if f" {phrase} " in f" {' '.join(words(text))} "}
+        shares = [(held_share(t, text), label) for label, t in licenses.TEMPLATES]
+        want = base | {label for share, label in shares if share >= licenses.COVERAGE}
+        assert got[k].labels == ",".join(sorted(want)), text
+        assert got[k].score == pytest.approx(max(1.0 if base else 0.0, max(shares)[0]))
+    assert [got[k].labels for k in range(8)] == ["", "gpl,lgpl", "apache-2.0", "gpl,gpl-notice", "mit", "", "", ""]
+
+
 def test_license_rows_ids_and_nothing(corpus):
     rows = licenses.scan_licenses(corpus(["cc by", "cc by", None], [1, 1, None])).collect()
     assert sorted((r.doc_id or 0, r.n_base, r.n_words) for r in rows) == [(0, 0, 0), (1, 1, 2), (1, 1, 2)]
