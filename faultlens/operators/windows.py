@@ -9,9 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-#: The largest limit per key that Spark applies before a shuffle (its default setting).
+#: The largest limit per key that Spark applies before a shuffle by its default setting;
+#: sessions of this library raise that (``session.GROUP_LIMIT``).
 GROUP_LIMIT = 1000
-#: Buckets that the rows of a key are dealt to for larger limits.
+#: Deals that the tasks of a key are put into for larger limits.
 DEALS = 64
 
 
@@ -45,13 +46,13 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
     """First ``n`` rows per key.
 
     The ``row_number() <= n`` form lets Spark keep only ``n`` rows per key and map task
-    before the shuffle, so a very frequent key does not travel whole. Spark does so up to
-    ``GROUP_LIMIT`` rows; for more, the rows of a key are first cut to ``n`` within hash
-    buckets, so that no task sorts a whole key.
+    before the shuffle, so a very frequent key does not travel whole. Above ``GROUP_LIMIT``
+    what the map tasks keep is first cut to ``n`` within deals of those tasks, so that no
+    task sorts all that is kept of a key. Which deal a row meets changes nothing but where
+    it is dropped; ``order`` should leave no ties.
     """
     if n > GROUP_LIMIT:
-        hashed = F.xxhash64(*[F.col(c) for c, kind in df.dtypes if "map<" not in kind])
-        dealt = df.withColumn("_deal", F.pmod(hashed, F.lit(DEALS)))
+        dealt = df.withColumn("_deal", F.pmod(F.spark_partition_id(), F.lit(DEALS)))
         within = W.partitionBy(*keys, "_deal").orderBy(*order)
         df = dealt.withColumn("_place", F.row_number().over(within)).where(F.col("_place") <= n).drop("_deal", "_place")
     window = W.partitionBy(*keys).orderBy(*order)

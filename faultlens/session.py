@@ -6,6 +6,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: Limits per key up to this are applied in map tasks, before a shuffle.
+GROUP_LIMIT = 10_000
+
 
 def build_session(app: str = "faultlens", master: str | None = None, **conf: str) -> SparkSession:
     """Create (or get) a session with adaptive execution on.
@@ -18,6 +21,7 @@ def build_session(app: str = "faultlens", master: str | None = None, **conf: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.optimizer.windowGroupLimitThreshold", str(GROUP_LIMIT))
         .config("spark.sql.session.timeZone", "UTC")
         # Building wide column expressions is much slower with call-site capture.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")

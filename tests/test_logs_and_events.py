@@ -148,4 +148,6 @@ def test_large_limits_per_key_are_cut_in_buckets(spark):
     top = windows.first_n(rows, ["project"], [F.col("id").desc()], 2000)
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Window ") >= 2
+    # The plan reads upwards: a limit stands below the first shuffle, so that map tasks apply it.
+    assert "WindowGroupLimit" in plan[plan.rindex("Exchange") :]
     assert sorted(r.id for r in top.collect()) == list(range(18_000, 20_000))
