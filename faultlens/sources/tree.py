@@ -147,6 +147,11 @@ def _read(max_bytes: int | None):
     return run
 
 
+def _uri(root: str) -> str:
+    """The root with the two slashes that Hadoop leaves out of ``file:/`` paths."""
+    return f"file://{root[5:]}" if root.startswith("file:/") and not root.startswith("file://") else root
+
+
 class TreePart(InputPartition):
     """Directories that one task lists: ``(project, root, path, in_core, deep)`` each."""
 
@@ -206,7 +211,7 @@ def walk(spark: SparkSession, roots: list[tuple[str, str]], tasks: int | None =
     The driver opens the first directories; roots are on storage that all nodes see.
     """
     spark.dataSource.register(TreeSource)
-    options = {"roots": json.dumps(roots), "tasks": str(tasks or spark.sparkContext.defaultParallelism)}
+    options = {"roots": json.dumps([(project, _uri(root)) for project, root in roots]), "tasks": str(tasks or spark.sparkContext.defaultParallelism)}
     return spark.read.format(TreeSource.name()).options(**options).load()
 
 
@@ -272,7 +277,7 @@ def write_trees(files: DataFrame, base: str) -> int:
     same files again; of files with one path any one stays. A null content is empty.
     """
     rows = files.select("project", "path", F.coalesce("content", F.lit("")).alias("content"))
-    return rows.mapInPandas(_write(base), "n long").agg(F.sum("n")).first()[0] or 0
+    return rows.mapInPandas(_write(_uri(base)), "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def tree_rows(objects: DataFrame) -> DataFrame:

@@ -273,7 +273,8 @@ def test_trees_written_are_those_read(spark, tmp_path):
     files = spark.createDataFrame(
         [("p", "a/ä.php", "é\r\n"), ("p", "b", None), ("q", ".env", "K=1")], "project string, path string, content string"
     )
-    assert tree.write_trees(files, str(tmp_path)) == 3
+    assert tree.write_trees(files, f"file:{tmp_path}") == 3
+    assert tree.walk(spark, [("all", f"file:{tmp_path}")]).where("not is_dir").count() == 3
     got = tree.read_tree(spark, str(tmp_path), "all").where("not is_dir")
     assert sorted((r.path, r.content) for r in got.collect()) == [("p/a/ä.php", "é\r\n"), ("p/b", ""), ("q/.env", "K=1")]
     with pytest.raises(Exception, match="path leaves its tree"):
