@@ -31,6 +31,14 @@ def stored(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def fresh_name(name: str, taken: Sequence[str]) -> str:
+    """The name, with underscores added until no column has it in any case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 @contextmanager
 def batch_bytes(spark: SparkSession, most: int) -> Iterator[None]:
     """Jobs started within send at most about so many bytes at a time to Python."""

@@ -7,24 +7,26 @@ only where the members still belong to different components. A pair is dropped a
 batch of signature values leaves less than the chosen probability that its similarity
 reaches the threshold; survivors are verified on their full texts. Links are contracted to
 components after every round. What then still shares open buckets (texts with a common
-passage, copies edited so far that only some are similar) is compared set by set in blocks
-of bounded size, so that neither pairs nor groups are ever spelled out as rows.
+passage, copies edited so far that only some are similar) meets in blocks of bounded size,
+where the same bounds and batches prune and the rest is compared set by set. Only links that
+join components leave a block, and they too are verified on full texts.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from functools import reduce
 from math import comb
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import modest_batches, stored
+from faultlens.llm.common import fresh_name, modest_batches, stored
 
 # Executors get these functions by value, so they need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -42,6 +44,8 @@ PIVOTS = (1, 8)
 BLOCK_SHINGLES, BLOCK_SETS, SIZE_STEP = 30_000, 5_000, 1.1
 #: Equal shingles of two blocks that are counted at a time, and cells of the count matrix.
 MATCHES, CELLS = 1_000_000, 2_000_000
+#: Signatures are compared for all cells of the matrix while at least one in so many is open.
+DENSE = 32
 #: Doc_ids that are broadcast (8 bytes each, 24 with labels) to pick their texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Words that are hashed together.
@@ -84,6 +88,14 @@ def _shingle_hashes(hashed: np.ndarray, size: int) -> np.ndarray:
     return np.unique(_scramble(total))
 
 
+def _signature(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Signatures, one row each, of the sets that start at ``offsets`` of the hashes in ``flat``."""
+    signature = np.empty((len(offsets), HASHES), np.uint32)
+    for k in range(HASHES):
+        signature[:, k] = np.minimum.reduceat(((flat * _MUL[k] + _ADD[k]) >> np.uint64(32)).astype(np.uint32), offsets)
+    return signature
+
+
 def _describe(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
     """Set size, two hashes of the whole set, band keys and signature of every text."""
     cache = _WordHashes()
@@ -100,9 +112,7 @@ def _describe(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFra
             offsets = np.concatenate([[0], np.cumsum(counts[full])[:-1]])
             k1[full] = np.add.reduceat(flat, offsets)
             k2[full] = np.add.reduceat(_scramble(flat * _MIX[62]), offsets)
-            signature = np.empty((len(full), HASHES), np.uint32)
-            for k in range(HASHES):
-                signature[:, k] = np.minimum.reduceat(((flat * _MUL[k] + _ADD[k]) >> np.uint64(32)).astype(np.uint32), offsets)
+            signature = _signature(flat, offsets)
             grouped = signature.reshape(len(full), HASHES // ROWS, ROWS).astype(np.uint64)
             keys = np.arange(1, HASHES // ROWS + 1, dtype=np.uint64) * _MIX[63]
             for r in range(ROWS):
@@ -222,14 +232,17 @@ def _families(members: DataFrame) -> DataFrame:
 
 
 def _set_rows(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """Shingle hashes, signature and size of every text with words."""
     cache = _WordHashes()
     for batch in batches:
-        sets = []
+        sets, signatures = [], []
         for text in batch["text"]:
             tokens = words(text)
-            sets.append(_shingle_hashes(np.fromiter(map(cache.__getitem__, tokens), np.uint64, len(tokens)), size).tobytes())
+            hashes = _shingle_hashes(np.fromiter(map(cache.__getitem__, tokens), np.uint64, len(tokens)), size)
+            sets.append(hashes.tobytes())
+            signatures.append(_signature(hashes, np.zeros(1, np.int64)).tobytes() if len(hashes) else b"")
         out = batch[["node", "label", "family"]].copy()
-        out["hashes"] = sets
+        out["hashes"], out["signature"] = sets, signatures
         out["n"] = [len(x) // 8 for x in sets]
         yield out[out["n"] > 0]
 
@@ -259,45 +272,119 @@ def _shared(hashes: np.ndarray, counts: np.ndarray, ranked: np.ndarray, owner: n
     return shared.reshape(len(counts), width)
 
 
-def _block_links(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
-    """Links between the sets of two blocks, by a sparse product of their membership matrices in slices."""
+def _likely(open_cells: np.ndarray, left: np.ndarray, right: np.ndarray, least: tuple[int, ...]) -> np.ndarray:
+    """Of the open cells (one per pair of sets), those that no batch of their signatures rules out.
+
+    While many are open, a value is compared for all cells at once; the few that are left are picked out.
+    """
+    alive, matches = open_cells.copy(), np.zeros(open_cells.shape, np.uint8)
+    columns = np.ascontiguousarray(right.T)
+    for k, needed in enumerate(least):
+        part = slice(k * BATCH, (k + 1) * BATCH)
+        if DENSE * np.count_nonzero(alive) >= alive.size:
+            for at in range(part.start, part.stop):
+                matches += left[:, at, None] == columns[at]
+            alive &= matches >= needed
+        else:
+            i, j = np.nonzero(alive)
+            matches[i, j] += (left[i, part] == right[j, part]).sum(axis=1, dtype=np.uint8)
+            alive[i, j] = matches[i, j] >= needed
+    return alive
+
+
+def _forest(label_a: np.ndarray, label_b: np.ndarray, known: dict[int, int]) -> list[int]:
+    """Positions of the links that connect labels which ``known`` and earlier links leave apart."""
 
-    def block(items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def top(x: int) -> int:
+        while known.setdefault(x, x) != x:
+            known[x] = x = known[known[x]]
+        return x
+
+    chosen = []
+    for at, (one, other) in enumerate(zip(label_a.tolist(), label_b.tolist(), strict=True)):
+        one, other = top(one), top(other)
+        if one != other:
+            known[one] = other
+            chosen.append(at)
+    return chosen
+
+
+def _block_links(batches: Iterator[pd.DataFrame], percent: int, least: tuple[int, ...], every: bool) -> Iterator[pd.DataFrame]:
+    """Links between the sets of two blocks.
+
+    Sizes and then batches of signatures rule pairs out; what they leave is counted by a sparse product of the
+    membership matrices in slices. ``every`` asks for all links, else for those that connect labels not yet
+    connected by others of the two blocks, so that links stay fewer than sets.
+    """
+
+    def block(items) -> tuple[np.ndarray, ...]:
         nodes = np.array([i["node"] for i in items], np.int64)
         labels = np.array([i["label"] for i in items], np.int64)
         counts = np.array([i["n"] for i in items], np.int64)
-        return nodes, labels, counts, np.frombuffer(b"".join(i["hashes"] for i in items), np.uint64)
+        signatures = np.frombuffer(b"".join(i["signature"] for i in items), np.uint32).reshape(-1, HASHES)
+        return nodes, labels, counts, np.frombuffer(b"".join(i["hashes"] for i in items), np.uint64), signatures
 
     for batch in batches:
         for left, right in zip(batch["left"], batch["right"], strict=True):
-            (na, la, ca, ha), (nb, lb, cb, hb) = block(left), block(right)
+            (na, la, ca, ha, sa), (nb, lb, cb, hb, sb) = block(left), block(right)
             order = np.argsort(hb, kind="stable")
             ranked, owner = hb[order], np.repeat(np.arange(len(nb)), cb)[order]
-            # Some sets of the left block at a time, for a matrix of bounded size.
+            known: dict[int, int] = {}
+            # Some sets of the left block at a time, for matrices of bounded size.
             ends = np.concatenate([[0], np.cumsum(ca)])
             step = max(1, CELLS // len(nb))
             for top in range(0, len(na), step):
                 part = slice(top, min(top + step, len(na)))
-                shared = _shared(ha[ends[part.start] : ends[part.stop]], ca[part], ranked, owner, len(nb))
-                similar = (np.int64(100) * shared >= percent * (ca[part, None] + cb[None, :] - shared)) & (la[part, None] != lb[None, :])
+                small, large = np.minimum(ca[part, None], cb[None, :]), np.maximum(ca[part, None], cb[None, :])
+                alive = (la[part, None] != lb[None, :]) & (100 * small >= percent * large)
+                alive = _likely(alive, sa[part], sb, least)
+                rows = np.flatnonzero(alive.any(axis=1))
+                if not len(rows):
+                    continue
+                # Only sets with a likely partner are compared in full.
+                held = alive.any(axis=0)[owner]
+                hashes = np.concatenate([ha[ends[r] : ends[r + 1]] for r in rows + top])
+                shared = _shared(hashes, ca[rows + top], ranked[held], owner[held], len(nb))
+                similar = (np.int64(100) * shared >= percent * (ca[rows + top, None] + cb[None, :] - shared)) & alive[rows]
                 i, j = np.nonzero(similar)
-                i = i + top
+                i = rows[i] + top
+                if not every:
+                    chosen = _forest(la[i], lb[j], known)
+                    i, j = i[chosen], j[chosen]
                 if len(i):
                     yield pd.DataFrame({"a": na[i], "b": nb[j], "label_a": la[i], "label_b": lb[j]})
 
 
-def _block_pairs(docs: DataFrame, members: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
-    """All links between open members of a family, whatever their number.
+def _blocks_that_meet(blocks: DataFrame, percent: int) -> DataFrame:
+    """Every two blocks ``(id, family, step)`` of a family whose sizes can be similar, once, as pair, left and right.
+
+    Only these numbers are joined by family, never the sets.
+    """
+    reach = int(np.ceil(np.log(100 / percent) / np.log(SIZE_STEP)))
+    ahead = blocks.select(
+        F.col("id").alias("left"), "family", F.col("step").alias("step_l"), F.explode(F.sequence("step", F.col("step") + reach)).alias("step")
+    )
+    met = ahead.join(blocks, ["family", "step"]).where((F.col("step_l") < F.col("step")) | (F.col("left") <= F.col("id")))
+    return met.select(F.xxhash64("left", "id").alias("deal"), "left", F.col("id").alias("right"))
+
 
-    Sets are dealt into blocks by size; only blocks of sizes that can be similar meet.
+def _block_pairs(
+    docs: DataFrame, members: DataFrame, nodes: DataFrame, size: int, percent: int, miss: float
+) -> DataFrame:
+    """Links that connect the open members of a family, whatever their number, confirmed on full texts.
+
+    Sets are dealt into blocks by size; only blocks of sizes that can be similar meet. Each
+    pair of blocks is a key of its own, so the pairs of a large family spread over all tasks.
+    A family of B blocks has up to B * (B + 1) / 2 pairs, and a block travels once to each of its own.
     """
+    out = "a long, b long, label_a long, label_b long"
     wanted = stored(_families(members).join(nodes, "node"), "families")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node")
-    sets = stored(
-        texts.mapInPandas(lambda x: _set_rows(x, size), "node long, label long, family long, hashes binary, n long").distinct(),
-        "sets",
-    ).withColumn("step", F.floor(F.log("n") / float(np.log(SIZE_STEP))).cast("int"))
+    row = "node long, label long, family long, hashes binary, signature binary, n long"
+    sets = stored(texts.mapInPandas(lambda x: _set_rows(x, size), row).distinct(), "sets").withColumn(
+        "step", F.floor(F.log("n") / float(np.log(SIZE_STEP))).cast("int")
+    )
     loads = sets.groupBy("family", "step").agg(
         F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_SETS)).alias("blocks")
     )
@@ -305,19 +392,23 @@ def _block_pairs(docs: DataFrame, members: DataFrame, nodes: DataFrame, size: in
         sets.join(loads, ["family", "step"])
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
         .groupBy("family", "step", "block")
-        .agg(F.collect_list(F.struct("node", "label", "n", "hashes")).alias("items")),
+        .agg(F.collect_list(F.struct("node", "label", "n", "hashes", "signature")).alias("items"))
+        .withColumn("id", F.monotonically_increasing_id()),
         "blocks",
     )
-    reach = int(np.ceil(np.log(100 / percent) / np.log(SIZE_STEP)))
-    left = blocks.withColumnsRenamed({"items": "left", "block": "block_l"})
-    right = blocks.select(F.col("family").alias("family_r"), F.col("step").alias("step_r"), F.col("block").alias("block_r"), F.col("items").alias("right"))
-    # Every block meets itself and those after it, up to the sizes that can be similar.
-    ahead = left.withColumn("step_l", F.col("step")).withColumn("step", F.explode(F.sequence(F.col("step"), F.col("step") + reach)))
-    met = ahead.join(
-        right,
-        (F.col("family") == F.col("family_r")) & (F.col("step") == F.col("step_r")) & ((F.col("step_l") < F.col("step_r")) | (F.col("block_l") <= F.col("block_r"))),
-    )
-    return met.select("left", "right").mapInPandas(lambda x: _block_links(x, percent), "a long, b long, label_a long, label_b long")
+    met = stored(_blocks_that_meet(blocks.select("id", "family", "step"), percent), "meetings")
+    sides = [
+        met.select("deal", "left", "right", F.col(side).alias("id")).join(blocks.select("id", F.col("items").alias(f"{side}_items")), "id").drop("id")
+        for side in ("left", "right")
+    ]
+    dealt = sides[0].join(sides[1], ["deal", "left", "right"]).select(F.col("left_items").alias("left"), F.col("right_items").alias("right"))
+    least = least_matches(percent, miss)
+    found = stored(dealt.mapInPandas(lambda x: _block_links(x, percent, least, False), out), "found")
+    links = _confirmed(found, docs, size, percent)
+    if links.count() < found.count():
+        # Equal hashes of different shingles: a link that fell may have stood for others.
+        links = _confirmed(stored(dealt.mapInPandas(lambda x: _block_links(x, percent, least, True), out), "found"), docs, size, percent)
+    return links
 
 
 def _open_members(members: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -394,7 +485,7 @@ def near_duplicates(
         # A bucket is settled once its members share a component, or have all been pivots.
         members = _open_members(members.where(F.col("size") > (pivot_count if pivot_count > 1 else 2)), nodes)
     if not members.isEmpty():
-        nodes = _merged(nodes, _block_pairs(texts, members, nodes, shingle, percent))
+        nodes = _merged(nodes, _block_pairs(texts, members, nodes, shingle, percent, miss))
 
     merged = reps.select(*set_key, "node").join(nodes, "node").select(*set_key, F.col("label").alias("component_id"))
     return described.select("doc_id", *set_key).join(merged, set_key, "left").select(
@@ -425,6 +516,11 @@ def _links(
     likely = stored(
         pairs.join(side_a, "a").join(side_b, "b").mapInPandas(lambda x: _prune(x, least), out), "likely"
     )
+    return _confirmed(likely, texts, shingle, percent)
+
+
+def _confirmed(likely: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs, each once, whose full texts are similar enough; of several texts of a doc_id, any two."""
     # Only the texts of likely pairs are shuffled: their doc_ids are sent to the readers while
     # they are few, and beyond that the texts are joined without.
     ids = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
@@ -436,7 +532,8 @@ def _links(
         likely.join(text_a, "a")
         .join(text_b, "b")
         .select("a", "b", "label_a", "label_b", "text_a", "text_b")
-        .mapInPandas(lambda x: _verify(x, shingle, percent), out),
+        .mapInPandas(lambda x: _verify(x, shingle, percent), "a long, b long, label_a long, label_b long")
+        .distinct(),
         "links",
     )
 
@@ -444,8 +541,16 @@ def _links(
 def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of every group, its columns unchanged: that of the least doc_id.
 
-    Of rows with one doc_id, one stays; rows with a null doc_id all stay.
+    Of rows with one doc_id, that of the least text stays (null first; further ties by a hash
+    of the row). Rows with a null doc_id all stay. Only rows whose doc_id repeats are
+    shuffled with their texts.
     """
-    kept = near_duplicates(docs, shingle, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    place = fresh_name("_place", docs.columns)
+    kept = near_duplicates(docs, shingle, percent).where("kept and doc_id is not null")
+    groups = stored(kept.groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    single, several = groups.where("n = 1").select("doc_id"), groups.where("n > 1").select("doc_id")
+    least = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*columns))
+    chosen = docs.join(several, "doc_id", "left_semi").withColumn(place, F.row_number().over(least)).where(F.col(place) == 1)
+    parts = [docs.join(single, "doc_id", "left_semi"), chosen, docs.where("doc_id is null")]
+    return reduce(DataFrame.unionByName, [p.select(*columns) for p in parts])

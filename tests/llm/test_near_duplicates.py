@@ -66,10 +66,17 @@ def _block(texts, first):
     sets = []
     for k, text in enumerate(texts):
         hashes = neardup._shingle_hashes(np.array([cache[w] for w in neardup.words(text)], np.uint64), 5)
-        sets.append({"node": first + k, "label": first + k, "n": len(hashes), "hashes": hashes.tobytes()})
+        signature = neardup._signature(hashes, np.zeros(1, np.int64)).tobytes()
+        sets.append({"node": first + k, "label": first + k, "n": len(hashes), "hashes": hashes.tobytes(), "signature": signature})
     return sets
 
 
+def _links(left, right, percent, every=True):
+    pair = iter([pd.DataFrame({"left": [left], "right": [right]})])
+    out = list(neardup._block_links(pair, percent, neardup.least_matches(percent, neardup.MISS), every))
+    return [(a, b) for frame in out for a, b in zip(frame["a"], frame["b"], strict=True)]
+
+
 def test_blocks_of_short_texts_with_a_common_passage_take_little_memory():
     passage = "one two three four five six seven eight"
     texts = [f"{passage} a{k} b{k}" for k in range(4_000)]
@@ -79,11 +86,10 @@ def test_blocks_of_short_texts_with_a_common_passage_take_little_memory():
     other[1] = "p q r s t u v w x y z 1 2 3"
     right = _block(other, 10_000)
     tracemalloc.start()
-    out = list(neardup._block_links(iter([pd.DataFrame({"left": [left], "right": [right]})]), 80))
+    found = _links(left, right, 80)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    found = {(a, b) for frame in out for a, b in zip(frame["a"], frame["b"], strict=True)}
-    assert found == {(k, 10_000 + k) for k in range(0, 4_000, 100)}
+    assert set(found) == {(k, 10_000 + k) for k in range(0, 4_000, 100)}
     assert peak < 200_000_000
 
 
@@ -100,8 +106,42 @@ def test_blocks_in_slices_give_the_links_of_all_pairs(monkeypatch):
     for matches, cells in ((1, 1), (7, 200), (300, 1_000), (10**6, 10**6)):
         monkeypatch.setattr(neardup, "MATCHES", matches)
         monkeypatch.setattr(neardup, "CELLS", cells)
-        out = neardup._block_links(iter([pd.DataFrame({"left": [left], "right": [right]})]), 30)
-        assert {(a, b) for frame in out for a, b in zip(frame["a"], frame["b"], strict=True)} == want
+        assert set(_links(left, right, 30)) == want
+
+
+def test_links_that_leave_a_block_connect_what_all_links_connect():
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(100)]
+    texts = []
+    for k in range(90):
+        words = list(base) if k < 60 else [f"v{w}" for w in base]
+        words[rng.randrange(100)] = f"n{k}"
+        texts.append(" ".join(words))
+    block = _block(texts, 0)
+    every, few = _links(block, block, 80), _links(block, block, 80, every=False)
+    assert len(every) > 3000 and len(few) == 88 and set(few) <= set(every)
+    known = {}
+    neardup._forest(np.array([a for a, _ in few]), np.array([b for _, b in few]), known)
+    assert neardup._forest(np.array([a for a, _ in every]), np.array([b for _, b in every]), known) == []
+
+
+def test_every_two_blocks_of_similar_sizes_meet_once(spark):
+    rows = [(i, i % 2, i // 2 % 7) for i in range(60)]
+    met = neardup._blocks_that_meet(spark.createDataFrame(rows, "id long, family long, step int"), 80).collect()
+    pairs = [tuple(sorted((r["left"], r["right"]))) for r in met]
+    want = {(a, b) for a, f, s in rows for b, g, t in rows if a <= b and f == g and abs(s - t) <= 3}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+
+
+def test_links_by_equal_hashes_alone_fall_and_hide_no_other(corpus, spark, monkeypatch):
+    """Hashes of few bits: blocks find false links, which the texts refute without loss of true ones."""
+    monkeypatch.setattr(neardup, "_scramble", lambda x: x & np.uint64(15))
+    texts = [f"a{k} b{k} c{k} d{k} e{k} f{k} g{k}" for k in range(12)] + [f"a{k} b{k} c{k} d{k} e{k} f{k} g{k}  " for k in range(12)]
+    docs = corpus(texts).select("doc_id", "text")
+    nodes = spark.createDataFrame([(k, k) for k in range(24)], "node long, label long")
+    members = spark.createDataFrame([(0, k) for k in range(24)], "bucket long, node long")
+    links = neardup._block_pairs(docs, members, nodes, 5, 80, 1e-6).collect()
+    assert {tuple(sorted((r.a, r.b))) for r in links} == {(k, k + 12) for k in range(12)}
 
 
 def test_short_texts_with_a_common_passage_are_compared_in_full(corpus):
@@ -117,6 +157,14 @@ def test_one_of_each_stays(corpus, prose):
     assert sorted(i for i in got if i is not None) == sorted(set(want.values())) and got.count(None) == 1
 
 
+def test_least_text_of_a_doc_id_stays_whatever_columns_are_called(corpus):
+    docs = corpus(["b one", "a two", None, "c", "c"], [1, 1, 2, 3, 3]).withColumnsRenamed({"row": "_place", "shard": "_kept", "words": "n"})
+    kept = neardup.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, "a two"), (2, None), (3, "c")]
+    assert neardup.keep_one_of_each(docs.where("false")).collect() == []
+
+
 def test_pruning_spares_pairs_at_the_threshold():
     least = neardup.least_matches(80, 1e-6)
     rng = np.random.default_rng(0)
