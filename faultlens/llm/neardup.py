@@ -26,7 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import fresh_name, modest_batches, stored
+from faultlens.llm.common import batch_bytes, fresh_name, modest_batches, stored
 
 # Executors get these functions by value, so they need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -42,6 +42,8 @@ BATCH, MISS = 16, 1e-6
 PIVOTS = (1, 8)
 #: Shingles and sets of a block, about; sets of one block differ in size by at most this factor.
 BLOCK_SHINGLES, BLOCK_SETS, SIZE_STEP = 30_000, 5_000, 1.1
+#: Bytes of blocks that are sent to Python at a time, about.
+BLOCK_BATCH = 16 << 20
 #: Equal shingles of two blocks that are counted at a time, and cells of the count matrix.
 MATCHES, CELLS = 1_000_000, 2_000_000
 #: Signatures are compared for all cells of the matrix while at least one in so many is open.
@@ -232,17 +234,15 @@ def _families(members: DataFrame) -> DataFrame:
 
 
 def _set_rows(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    """Shingle hashes, signature and size of every text with words."""
+    """Shingle hashes and size of every text with words."""
     cache = _WordHashes()
     for batch in batches:
-        sets, signatures = [], []
+        sets = []
         for text in batch["text"]:
             tokens = words(text)
-            hashes = _shingle_hashes(np.fromiter(map(cache.__getitem__, tokens), np.uint64, len(tokens)), size)
-            sets.append(hashes.tobytes())
-            signatures.append(_signature(hashes, np.zeros(1, np.int64)).tobytes() if len(hashes) else b"")
+            sets.append(_shingle_hashes(np.fromiter(map(cache.__getitem__, tokens), np.uint64, len(tokens)), size).tobytes())
         out = batch[["node", "label", "family"]].copy()
-        out["hashes"], out["signature"] = sets, signatures
+        out["hashes"] = sets
         out["n"] = [len(x) // 8 for x in sets]
         yield out[out["n"] > 0]
 
@@ -321,8 +321,9 @@ def _block_links(batches: Iterator[pd.DataFrame], percent: int, least: tuple[int
         nodes = np.array([i["node"] for i in items], np.int64)
         labels = np.array([i["label"] for i in items], np.int64)
         counts = np.array([i["n"] for i in items], np.int64)
-        signatures = np.frombuffer(b"".join(i["signature"] for i in items), np.uint32).reshape(-1, HASHES)
-        return nodes, labels, counts, np.frombuffer(b"".join(i["hashes"] for i in items), np.uint64), signatures
+        hashes = np.frombuffer(b"".join(i["hashes"] for i in items), np.uint64)
+        # Made again from the sets, as for short ones signatures are far larger than these.
+        return nodes, labels, counts, hashes, _signature(hashes, np.cumsum(counts) - counts)
 
     for batch in batches:
         for left, right in zip(batch["left"], batch["right"], strict=True):
@@ -381,7 +382,7 @@ def _block_pairs(
     wanted = stored(_families(members).join(nodes, "node"), "families")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node")
-    row = "node long, label long, family long, hashes binary, signature binary, n long"
+    row = "node long, label long, family long, hashes binary, n long"
     sets = stored(texts.mapInPandas(lambda x: _set_rows(x, size), row).distinct(), "sets").withColumn(
         "step", F.floor(F.log("n") / float(np.log(SIZE_STEP))).cast("int")
     )
@@ -392,7 +393,7 @@ def _block_pairs(
         sets.join(loads, ["family", "step"])
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
         .groupBy("family", "step", "block")
-        .agg(F.collect_list(F.struct("node", "label", "n", "hashes", "signature")).alias("items"))
+        .agg(F.collect_list(F.struct("node", "label", "n", "hashes")).alias("items"))
         .withColumn("id", F.monotonically_increasing_id()),
         "blocks",
     )
@@ -403,11 +404,16 @@ def _block_pairs(
     ]
     dealt = sides[0].join(sides[1], ["deal", "left", "right"]).select(F.col("left_items").alias("left"), F.col("right_items").alias("right"))
     least = least_matches(percent, miss)
-    found = stored(dealt.mapInPandas(lambda x: _block_links(x, percent, least, False), out), "found")
+
+    def compared(every: bool) -> DataFrame:
+        with batch_bytes(docs.sparkSession, BLOCK_BATCH):
+            return stored(dealt.mapInPandas(lambda x: _block_links(x, percent, least, every), out), "found")
+
+    found = compared(False)
     links = _confirmed(found, docs, size, percent)
-    if links.count() < found.count():
+    if links.count() < found.distinct().count():
         # Equal hashes of different shingles: a link that fell may have stood for others.
-        links = _confirmed(stored(dealt.mapInPandas(lambda x: _block_links(x, percent, least, True), out), "found"), docs, size, percent)
+        links = _confirmed(compared(True), docs, size, percent)
     return links
 
 
