@@ -17,7 +17,7 @@ import html
 import re
 import sys
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -65,8 +65,6 @@ TABLE_BARRIER = ("table",)
 #: What may stand in a table but outside its cells; all else is moved before the table.
 TABLE_PARTS = frozenset("caption colgroup col thead tbody tfoot tr td th script style template".split())
 TABLE_OPEN = frozenset("table thead tbody tfoot tr".split())
-#: Tables within tables that are aligned.
-LEVELS = 12
 PARAGRAPH_BARRIER = ("table", "td", "th", "caption", "button", "object")
 
 _TAG = re.compile(
@@ -293,8 +291,11 @@ def _span(cell: Element, name: str) -> int:
     return min(max(1, int(value)), 1000) if value.isdigit() and len(value) < 6 else 1
 
 
-def _table(table: Element, level: int) -> list[str]:
-    """The lines of a table, its columns aligned; a spanning cell stands in its first place."""
+def _table(table: Element) -> Generator[Element, str, list[str]]:
+    """The lines of a table, its columns aligned; a spanning cell stands in its first place.
+
+    Asks for the text of every cell and is sent it.
+    """
     _, rows = _rows(table)
     grid: list[dict[int, list[str]]] = []
     taken: dict[tuple[int, int], bool] = {}
@@ -304,7 +305,7 @@ def _table(table: Element, level: int) -> list[str]:
         for cell in row:
             while taken.get((r, column)):
                 column += 1
-            line[column] = render(cell, level).split("\n")
+            line[column] = (yield cell).split("\n")
             width = _span(cell, "colspan")
             for below in range(1, min(_span(cell, "rowspan"), len(rows) - r)):
                 for c in range(column, column + width):
@@ -324,12 +325,23 @@ def _table(table: Element, level: int) -> list[str]:
     return out
 
 
-def render(root: Element, level: int = 0) -> str:
-    """The visible text of an element, laid out.
+def render(root: Element) -> str:
+    """The visible text of an element, laid out; tables are aligned however deep they nest."""
+    # Layouts that wait for the text of a cell within them, innermost last: no recursion.
+    waiting = [_layout(root)]
+    text = None
+    while waiting:
+        try:
+            waiting.append(_layout(waiting[-1].send(text)))
+            text = None
+        except StopIteration as finished:
+            waiting.pop()
+            text = finished.value
+    return text
 
-    Tables within tables are aligned down to ``LEVELS``; cells of deeper ones follow each
-    other like other text.
-    """
+
+def _layout(root: Element) -> Generator[Element, str, str]:
+    """Lays out an element; asks for the text of captions and cells of tables and is sent it."""
     out = _Lines()
     # Explicit stack: pages may nest deeper than Python's recursion goes.
     todo: list[tuple] = [("walk", child, 0) for child in reversed(root.children)]
@@ -362,11 +374,11 @@ def render(root: Element, level: int = 0) -> str:
             out.verbatim([line.rstrip() for line in text.removeprefix("\n").rstrip("\n").split("\n")])
             out.apart()
             continue
-        if tag == "table" and level < LEVELS:
+        if tag == "table":
             out.apart()
             for caption in _rows(node)[0]:
-                out.verbatim(render(caption, level + 1).split("\n"))
-            out.verbatim(_table(node, level + 1))
+                out.verbatim((yield caption).split("\n"))
+            out.verbatim((yield from _table(node)))
             out.apart()
             continue
         if tag in ("ul", "ol", "menu", "dir"):

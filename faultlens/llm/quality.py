@@ -58,7 +58,7 @@ _DIGITS = re.compile(rb"[0-9]+")
 def _shape(word: bytes) -> int:
     """Runs of letters, capitals and digits become one sign each; other signs stay."""
     plain = _DIGITS.sub(b"0", _CAPITALS.sub(b"A", _LETTERS.sub(b"a", word)))
-    return zlib.crc32(plain[:16]) % (SHAPES - 3)
+    return zlib.crc32(plain) % (SHAPES - 3)
 
 
 class _Codes(dict):

@@ -21,6 +21,8 @@ def test_tables_are_aligned():
     assert text("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>") == "a  b\n   c"
     assert text("<table><td>x</td><td>y</table>") == "x  y"
     assert text("<table><tr><td><table><tr><td>in<td>ner</table><td>out</table>") == "in  ner  out"
+    grid = "<table><tr><td>long one<td>a<tr><td>b<td>c</table>"
+    assert text("<table><tr><td>" * 400 + grid) == "long one  a\nb         c"
     assert text("<table>stray<tr><td>cell</table>") == "stray\n\ncell"
 
 
@@ -64,7 +66,8 @@ def test_preformatted_text_keeps_spaces():
 def test_malformed_deep_and_empty_pages():
     assert text("") == "" and text("< 3 and <> & &bogus;") == "< 3 and <> & &bogus;"
     assert text("<div>" * 20_000 + "deep") == "deep"
-    assert text("<table><tr><td>" * 200 + "deep").strip() == "deep"
+    assert text("<table><tr><td>" * 5_000 + "deep") == "deep"
+    assert text("<table><tr><td>x<td>" * 300 + "deep") == "x  " * 300 + "deep"
     assert text("<ul><li>" * 300 + "deep").endswith("- deep")
     assert text("</p></b>x</table>") == "x"
     assert text('<a href="never closed>b') == '<a href="never closed>b'
