@@ -802,6 +802,38 @@ register(
     history_round_trip,
     sql("SELECT path, count(*) AS scans, arg_max(total, created_at || '|' || id) AS latest_total FROM scan_history GROUP BY path", "scan_history"),
 )
+
+
+def appended(spark: SparkSession, d: str) -> str:
+    """The history appended in three batches, one after the other in time."""
+    path = scratch_dir(spark, "appended")
+    rows = scans(spark, d)
+    year = F.substring("created_at", 1, 4)
+    for batch, part in enumerate((year < "1994", (year >= "1994") & (year < "1997"), year >= "1997")):
+        history.append_scans(rows.where(part), path, batch)
+    return path
+
+
+register(
+    "w_6_appended_new_since",
+    lambda spark, d: history.appended_scans(spark, appended(spark, d)).select("id", "path", "total", "new_since"),
+    sql(
+        """SELECT id, path, total, coalesce(greatest(total - prev, 0), 0) AS new_since
+        FROM (SELECT *, lag(total) OVER (PARTITION BY path ORDER BY created_at, id) AS prev FROM scan_history)""",
+        "scan_history",
+    ),
+)
+register(
+    "w_7_kept_scans",
+    lambda spark, d: history.kept_scans(spark, appended(spark, d)),
+    sql(
+        """SELECT path, scans, total, prev AS previous_total, coalesce(greatest(total - prev, 0), 0) AS new_since,
+          security_score AS last_score, security_grade AS last_grade
+        FROM (SELECT *, lag(total) OVER w AS prev, lead(total) OVER w AS next, count(*) OVER (PARTITION BY path) AS scans
+          FROM scan_history WINDOW w AS (PARTITION BY path ORDER BY created_at, id)) WHERE next IS NULL""",
+        "scan_history",
+    ),
+)
 register(
     "w_6_new_since_replay",
     lambda spark, d: history.replay_new_since(scans(spark, d)).select("id", "path", "total", "previous_total", "new_since"),

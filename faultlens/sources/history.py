@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from faultlens.operators import technology
 from faultlens.operators.windows import first_n
 from faultlens.schemas import SCAN_RECORD
+from faultlens.sources import buckets
 
 
 def scan_records(summary: DataFrame, languages: DataFrame, tech: DataFrame, scans: DataFrame) -> DataFrame:
@@ -57,6 +58,83 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCAN_RECORD).parquet(path).select(*SCAN_RECORD.fieldNames())
 
 
+#: The kept row of a path: how many scans it has, and its newest two, newest first.
+KEPT = (
+    "path string, scans long, newest array<struct<created_at: string, id: string, total: long, "
+    "security_score: int, security_grade: string>>"
+)
+
+
+def _kept_rows(records: DataFrame) -> DataFrame:
+    """Rows of ``KEPT`` over some records; however many scans a path has, two of them travel."""
+    order = [F.col("created_at").desc(), F.col("id").desc()]
+    top = first_n(records, ["path"], order, 2, "_age")
+    one = F.struct("created_at", "id", "total", "security_score", "security_grade")
+    newest = top.groupBy("path").agg(F.sort_array(F.collect_list(one), asc=False).alias("newest"))
+    counts = records.groupBy("path").agg(F.count("*").alias("scans"))
+    return counts.join(newest, "path").select("path", "scans", "newest")
+
+
+def _merged_kept_rows(rows: DataFrame) -> DataFrame:
+    """Adds up the one or two rows that a path has: those of a batch and those kept."""
+    both = F.slice(F.sort_array(F.flatten(F.collect_list("newest")), asc=False), 1, 2)
+    return rows.groupBy("path").agg(F.sum("scans").alias("scans"), both.alias("newest"))
+
+
+def filled_new_since(records: DataFrame, path: str, batch: int) -> DataFrame:
+    """``new_since`` of records that are about to be appended as this batch.
+
+    The scan before is the one of the same batch, or else the newest that the kept table has
+    for the path; the history itself is not read.
+    """
+    held = buckets.held_for(records, ["path"], f"{path}/kept", batch, KEPT)
+    last = held.select("path", F.col("newest")[0].alias("n")).select("path", "n.created_at", "n.id", "n.total", F.lit(True).alias("_held"))
+    last = last.join(records.select("path").distinct(), "path", "left_semi")
+    both = records.withColumn("_held", F.lit(False)).unionByName(last, allowMissingColumns=True)
+    return replay_new_since(both).where(~F.col("_held")).select(*SCAN_RECORD.fieldNames())
+
+
+def append_scans(records: DataFrame, path: str, batch: int) -> None:
+    """Append a batch of records with ``new_since`` filled, and keep the newest scans of every path.
+
+    ``batch`` counts the appends upwards from 0; the last one may be run again and counts once.
+    An append reads the kept rows of the paths' buckets, never the history. A null path or time
+    counts as empty, missing columns are null. A record older than the newest kept one of its
+    path meets earlier scans of its own batch only: ``replay_new_since`` over the history says
+    what it is after all; counts and newest scans are right in any order.
+    """
+    have = set(records.columns)
+    fields = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in SCAN_RECORD.fields]
+    whole = records.select(*fields).fillna("", ["path", "created_at"])
+    staged = f"{path}/staged/batch={batch}"
+    whole.write.mode("overwrite").parquet(staged)
+    rows = records.sparkSession.read.schema(SCAN_RECORD).parquet(staged)
+    dated = filled_new_since(rows, path, batch).withColumn("month", F.substring("created_at", 1, 7))
+    dealt = dated.repartition("month", F.pmod(F.xxhash64("path"), F.lit(FILES_PER_MONTH))).sortWithinPartitions("month", "path")
+    dealt.write.mode("overwrite").partitionBy("month").parquet(f"{path}/scans/batch={batch}")
+    buckets.merge_batch(_kept_rows(rows), _merged_kept_rows, ["path"], f"{path}/kept", batch)
+
+
+def appended_scans(spark: SparkSession, path: str) -> DataFrame:
+    """All records that ``append_scans`` has stored."""
+    return spark.read.schema(SCAN_RECORD).parquet(f"{path}/scans").select(*SCAN_RECORD.fieldNames())
+
+
+def kept_scans(spark: SparkSession, path: str) -> DataFrame:
+    """One row per path from the kept table alone: its scans, the newest against the one before, last score."""
+    rows = buckets.kept(spark, f"{path}/kept", KEPT)
+    total, before = F.get("newest", F.lit(0))["total"], F.get("newest", F.lit(1))["total"]
+    return rows.select(
+        "path",
+        "scans",
+        total.alias("total"),
+        before.alias("previous_total"),
+        F.coalesce(F.greatest(total - before, F.lit(0)), F.lit(0)).cast("long").alias("new_since"),
+        F.get("newest", F.lit(0))["security_score"].alias("last_score"),
+        F.get("newest", F.lit(0))["security_grade"].alias("last_grade"),
+    )
+
+
 def newest_first(history: DataFrame) -> DataFrame:
     return history.orderBy(F.col("created_at").desc(), F.col("id").asc())
 

@@ -9,13 +9,14 @@ watermark closes them and drops what comes later.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from faultlens.functions import logtext
 from faultlens.operators.loggroups import error_lines
+from faultlens.sources import buckets
+from faultlens.sources.buckets import kept  # noqa: F401
 from faultlens.sources.events import parse_events
 
 
@@ -93,58 +94,15 @@ def error_rate(lines: DataFrame, event_time: Column, width: str = "1 hour", late
     )
 
 
-#: Buckets of a kept table, and the slots that the lists of its newest buckets alternate between.
-BUCKETS, SLOTS = 32, 2
-HEADS = "bucket int, batch long"
-
-
-def _heads(spark: SparkSession, out: str, before: int | None = None) -> dict[int, int]:
-    """The batch that last wrote each bucket; of batches below ``before`` only.
-
-    At most ``BUCKETS`` rows lie in each of two slots, whatever the number of batches.
-    """
-    rows = []
-    for slot in range(SLOTS):
-        try:
-            rows += spark.read.schema(HEADS + ", at long").parquet(f"{out}/heads/slot={slot}").collect()
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-    ats = {r["at"] for r in rows if before is None or r["at"] < before}
-    return {r["bucket"]: r["batch"] for r in rows if ats and r["at"] == max(ats)}
-
-
-def _buckets(spark: SparkSession, out: str, heads: dict[int, int], schema) -> DataFrame:
-    paths = [f"{out}/data/batch={batch}/bucket={bucket}" for bucket, batch in sorted(heads.items())]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
-
-
 def maintain(stream: DataFrame, group, merge, keys: list[str], out: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Keep ``group`` of everything that a stream has brought in a table of hash buckets.
 
-    ``group`` makes the groups of one batch, ``merge`` adds rows of the same groups up. A batch
-    reads and writes the buckets of its own groups only, in a folder of its own, and then lists
-    the newest folder of every bucket in one of two slots. A batch that is run again after a
-    failure starts from the other slot, so nothing counts twice.
+    ``group`` makes the groups of one batch, ``merge`` adds rows of the same groups up
+    (``buckets.merge_batch``). A batch that is run again after a failure counts once.
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        found = group(batch)
-        hashed = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
-        path = f"{out}/batches/batch={batch_id}"
-        found.withColumn("bucket", hashed).write.mode("overwrite").parquet(path)
-        new = spark.read.parquet(path)
-        heads = _heads(spark, out, batch_id)
-        touched = {r["bucket"] for r in new.select("bucket").distinct().collect()}
-        held = _buckets(spark, out, {b: n for b, n in heads.items() if b in touched}, found.schema)
-        merged = merge(new.select(*found.columns).unionByName(held.select(*found.columns)))
-        by_bucket = merged.withColumn("bucket", hashed).repartition(F.col("bucket"))
-        by_bucket.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/data/batch={batch_id}")
-        heads |= dict.fromkeys(touched, batch_id)
-        rows = [(bucket, batch, batch_id) for bucket, batch in heads.items()]
-        listed = spark.createDataFrame(rows, HEADS + ", at long").coalesce(1)
-        listed.write.mode("overwrite").parquet(f"{out}/heads/slot={batch_id % SLOTS}")
+        buckets.merge_batch(group(batch), merge, keys, out, batch_id)
 
     return (
         stream.writeStream.option("checkpointLocation", checkpoint)
@@ -154,11 +112,6 @@ def maintain(stream: DataFrame, group, merge, keys: list[str], out: str, checkpo
     )
 
 
-def kept(spark: SparkSession, out: str, schema) -> DataFrame:
-    """The groups of a table that ``maintain`` keeps: one row each, as of the last batch."""
-    return _buckets(spark, out, _heads(spark, out), schema)
-
-
 def dropped_late(query: StreamingQuery) -> int:
     """Rows (of partial sums) behind the watermark that a query's last batches have dropped."""
     return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])

@@ -289,6 +289,35 @@ def test_history(spark):
     assert history.with_new_since(new, scans).first().new_since == 6
 
 
+def test_appends_read_the_kept_rows_only(spark, tmp_path):
+    out = str(tmp_path / "history")
+    columns = "id string, path string, created_at string, total long, other int"
+
+    def rows(*values):
+        return spark.createDataFrame([(*v, 1) for v in values], columns)
+
+    def stored():
+        return {r.id: (r.path, r.new_since) for r in history.appended_scans(spark, out).collect()}
+
+    def kept():
+        return {r.path: (r.scans, r.total, r.previous_total, r.new_since) for r in history.kept_scans(spark, out).collect()}
+
+    history.append_scans(rows(("1", "/a", "2024-01-01", 5), ("2", "/a", "2024-01-02", 9), ("3", None, "2024-01-01", 2)), out, 0)
+    assert stored() == {"1": ("/a", 0), "2": ("/a", 4), "3": ("", 0)} and kept() == {"/a": (2, 9, 5, 4), "": (1, 2, None, 0)}
+    batch = rows(("4", "/a", "2024-03-01", 12), ("5", "/b", None, 7), ("6", "", "2024-01-01", 3))
+    for _ in range(2):  # run again after a failure
+        history.append_scans(batch, out, 1)
+        assert stored() == {"1": ("/a", 0), "2": ("/a", 4), "3": ("", 0), "4": ("/a", 3), "5": ("/b", 0), "6": ("", 1)}
+        assert kept() == {"/a": (3, 12, 9, 3), "/b": (1, 7, None, 0), "": (2, 3, 2, 1)}
+    files = history.filled_new_since(spark.read.parquet(f"{out}/staged/batch=1"), out, 2).inputFiles()
+    assert files and all("/kept/" in f or "/staged/batch=1/" in f for f in files)
+    # A record that comes late counts; only its own new_since waits for the replay.
+    history.append_scans(rows(("7", "/a", "2024-02-01", 20)), out, 2)
+    assert kept()["/a"] == (4, 12, 20, 0) and stored()["7"] == ("/a", 0)
+    history.append_scans(rows(("8", "/a", "2024-03-01", 1)).limit(0), out, 3)
+    assert kept()["/a"] == (4, 12, 20, 0) and len(stored()) == 7
+
+
 def test_spans_merge_and_touch(spark):
     pieces = [("p", "f", 1, 5), ("p", "f", 6, 6), ("p", "f", 8, 20), ("p", "f", 9, 10), ("p", "f", 4000, 9000), ("q", "f", 3, 2), ("p", "g", 2, 2)]
     ranges = spark.createDataFrame(pieces, "project string, file string, start int, end int")
