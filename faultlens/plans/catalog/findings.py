@@ -68,6 +68,26 @@ register(
 )
 
 
+def suppressed_by_table(spark: SparkSession, d: str) -> DataFrame:
+    """The same suppression against a stored, bucketed baseline."""
+    path = scratch_dir(spark, "baseline-table")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    baselines.write_baseline_table(found(spark, d).where(F.col("category") == "Performance"), name, path, buckets)
+    return fo.suppress_known(found(spark, d), baselines.read_baseline_table(spark, name))
+
+
+register(
+    "j_2_bucketed_baseline",
+    lambda spark, d: suppressed_by_table(spark, d).groupBy("project", "rule_id").agg(F.count("*").alias("n"), F.sum("line").alias("lines")),
+    sql(
+        f"""SELECT project, rule_id, count(*) AS n, CAST(sum(line) AS BIGINT) AS lines FROM findings f
+        WHERE NOT EXISTS (SELECT 1 FROM baseline b WHERE b.project = f.project AND b.fingerprint = {FINGERPRINT}) GROUP BY ALL""",
+        "findings", "baseline",
+    ),
+)
+
+
 def changed(spark: SparkSession, d: str) -> DataFrame:
     return fo.on_changed_spans(found(spark, d), diffscope.changed_spans(corpora.diff_lines(spark, d)))
 

@@ -10,6 +10,8 @@ from faultlens.operators.findings import fingerprinted
 
 #: Files of a project's baseline, at most.
 FILES_PER_PROJECT = 8
+#: Buckets of a baseline table.
+BUCKETS = 200
 
 
 def baseline_of(findings: DataFrame) -> DataFrame:
@@ -32,6 +34,23 @@ def read_baseline(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(F.col("project").cast("string"), "fingerprint")
 
 
+def write_baseline_table(findings: DataFrame, name: str, path: str, buckets: int = BUCKETS) -> None:
+    """Store the baseline as a catalog table bucketed by (project, fingerprint), one file a bucket.
+
+    ``suppress_known`` against ``read_baseline_table`` then shuffles the findings alone, into the
+    table's buckets; the baseline is read where it lies. Replaces the whole table. Choose
+    ``buckets`` by the baseline's size (some 100 MB each), at least the session's shuffle partitions.
+    """
+    stamped = baseline_of(findings).withColumn("created_at", F.current_timestamp())
+    dealt = stamped.repartition(buckets, "project", "fingerprint")
+    writer = dealt.write.mode("overwrite").option("path", path)
+    writer.bucketBy(buckets, "project", "fingerprint").sortBy("project", "fingerprint").saveAsTable(name)
+
+
+def read_baseline_table(spark: SparkSession, name: str) -> DataFrame:
+    return spark.table(name).select("project", "fingerprint")
+
+
 def read_baseline_documents(spark: SparkSession, path: str, project: str) -> DataFrame:
     """JSON documents ``{created_at, fingerprints[]}`` written by the command-line tool."""
     docs = spark.read.schema("created_at string, fingerprints array<string>").json(path, multiLine=True)

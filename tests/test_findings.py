@@ -52,6 +52,25 @@ def test_baseline_survives_moved_lines(frame):
     assert [r.rule_id for r in kept] == ["N"]
 
 
+def test_a_stored_baseline_is_not_shuffled(spark, frame, tmp_path):
+    old = frame([finding(line=3), finding(rule="S", snippet="", title="CVE")])
+    now = frame([finding(line=42), finding(rule="S", snippet="", title="CVE"), finding(rule="N")])
+    baselines.write_baseline_table(old, "accepted_before", str(tmp_path / "table"), 16)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = fo.suppress_known(now, baselines.read_baseline_table(spark, "accepted_before"))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert [r.rule_id for r in kept.collect()] == ["N"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.sql("DROP TABLE accepted_before")
+    assert plan.count("Exchange ") == 1 and "Bucketed: true" in plan and "hashpartitioning(project" in plan
+    # The table's side is the last one of the join.
+    assert "Exchange " not in plan[plan.index("FileScan parquet"):]
+
+
 def test_a_baseline_tells_lines_apart_that_differ_after_the_snippet(make_files):
     long = "x" * 200
 
