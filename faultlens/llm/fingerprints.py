@@ -5,7 +5,7 @@ length n, the sum of c(i) * B**i for i below n. The hash of any span follows fro
 entries, so any two spans are compared in constant time and the longest common prefix or
 suffix of two texts is found by binary search. The fingerprint keeps the hash of the whole
 text and the hashes of prefixes and suffixes at a grid of lengths; two fingerprints alone
-tell the common prefix and suffix up to the grid.
+tell the common prefix and suffix, and equal spans between them, up to the grid.
 """
 
 from __future__ import annotations
@@ -136,10 +136,43 @@ def _longest(a: str, b: str, step_a: int, step_b: int, most: int) -> int:
     return low * step
 
 
+def _cells(hashes: str, own: int, step: int, count: int, shift: int) -> np.ndarray:
+    """Hashes of the first ``count`` spans of length ``step``: what each grid hash adds to ``shift`` times the one before."""
+    grid = np.frombuffer(bytes.fromhex(hashes), ">u4").astype(np.uint64)[step // own - 1 :: step // own][:count]
+    before = np.concatenate([np.zeros(1, np.uint64), grid[:-1]])
+    modulus = np.uint64(MODULI[0])
+    return (grid + modulus - before * np.uint64(shift) % modulus) % modulus
+
+
+def _inner(a: tuple[str, str], b: tuple[str, str], sa: int, sb: int, least: int, ahead: int, behind: int) -> int:
+    """Code points in equal grid spans between the common prefix and suffix.
+
+    Up to some place spans at one distance from the start are compared, from there on spans at
+    one distance from the end; the place that gives most counts. ``least`` is the shorter length.
+    """
+    step = max(sa, sb)
+    count = least // step
+    if count == 0:
+        return 0
+    front = _cells(a[0], sa, step, count, 1) == _cells(b[0], sb, step, count, 1)
+    shift = pow(BASES[0], step, MODULI[0])
+    back = _cells(a[1], sa, step, count, shift) == _cells(b[1], sb, step, count, shift)
+    at = np.arange(count) * step
+    front &= (at >= ahead) & (at + step <= least - behind)
+    back &= (at >= behind) & (at + step <= least - ahead)
+    # Of the spans from the end, span j lies at least - (j + 1) * step; k spans of the front leave room for these.
+    room = (least - np.arange(count + 1) * step) // step
+    gained = np.concatenate([[0], np.cumsum(front)]) + np.concatenate([[0], np.cumsum(back)])[room]
+    return int(gained.max()) * step
+
+
 def likeness(a: str, b: str) -> float:
-    """Share of the longer text that lies in the common prefix and suffix, as far as two fingerprints tell.
+    """Share of the longer text that two fingerprints alone show to stand in the other one, in order.
 
-    1 for equal texts, two empty ones included.
+    That is the common prefix and suffix and, between them, grid spans that are equal at one
+    distance from the start or, further on, from the end: edits in several places leave what
+    lies between them, as long as at most one of them changes the length. 1 for equal texts,
+    two empty ones included.
     """
     if a == b:
         return 1.0
@@ -150,7 +183,8 @@ def likeness(a: str, b: str) -> float:
     sa, sb = grid_step(n), grid_step(m)
     ahead = _longest(prefix_a, prefix_b, sa, sb, min(n, m))
     behind = _longest(suffix_a, suffix_b, sa, sb, min(n, m) - ahead)
-    return min(1.0, (ahead + behind) / max(n, m))
+    inner = _inner((prefix_a, suffix_a), (prefix_b, suffix_b), sa, sb, min(n, m), ahead, behind)
+    return min(1.0, (ahead + behind + inner) / max(n, m))
 
 
 def _with_next_head(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import os
+import random
 
 from faultlens.llm import fingerprints as fp
 
@@ -27,6 +28,47 @@ def test_likeness_from_fingerprints_alone():
     assert fp.likeness(of("😀é"), of("😀e")) == 0.5
 
 
+def plain_likeness(a, b):
+    """The same share by slicing the texts."""
+    if a == b or not a or not b:
+        return float(a == b)
+    step, least = max(fp.grid_step(len(a)), fp.grid_step(len(b))), min(len(a), len(b))
+    ahead = len(os.path.commonprefix([a, b])) // step * step
+    behind = len(os.path.commonprefix([a[::-1], b[::-1]]))
+    behind = min(behind, least - ahead) // step * step
+    best = 0
+    for cut in range(0, least + 1, step):
+        front = [s for s in range(0, cut, step) if s >= ahead and s + step <= least - behind and a[s : s + step] == b[s : s + step]]
+        ends = range(0, least - cut - step + 1, step)
+        back = [
+            e for e in ends
+            if e >= behind and e + step <= least - ahead
+            and a[len(a) - e - step : len(a) - e] == b[len(b) - e - step : len(b) - e]
+        ]
+        best = max(best, len(front) + len(back))
+    return min(1.0, (ahead + behind + best * step) / max(len(a), len(b)))
+
+
+def test_edits_in_several_places_leave_what_lies_between():
+    rng = random.Random(5)
+    base = "".join(rng.choice("abcdefghij é😀") for _ in range(3000))
+
+    def of(text):
+        return fp.PrefixHashes(text).fingerprint()
+
+    assert fp.likeness(of(base), of("#" + base[1:-1] + "#")) > 0.9
+    assert fp.likeness(of(base), of("#" + base[1:1500] + "##" + base[1500:-1] + "#")) > 0.85
+    texts = ["", "a", base, base[:31], base[:33], base[:700], base[::-1]]
+    for _ in range(60):
+        text = list(base[rng.randrange(200) : rng.randrange(200, 3000)])
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(text) + 1)
+            text[at : at + rng.randrange(3)] = rng.choice(["", "#", "##"])
+        texts.append("".join(text))
+    for a, b in [*zip(texts, texts[1:]), *((rng.choice(texts), base) for _ in range(40))]:
+        assert abs(fp.likeness(of(a), of(b)) - plain_likeness(a, b)) < 1e-12
+
+
 def expected(rows):
     """doc_id, length, edited text and following text, by plain slicing."""
     order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
