@@ -1,8 +1,9 @@
 """The corpora and queries on rows that only larger tables hold."""
 
+from faultlens.operators import codelines, grouping
 from faultlens.operators import findings as fo
-from faultlens.operators import grouping
-from faultlens.plans import corpora
+from faultlens.plans import corpora, project_scan
+from faultlens.sources import tree
 
 
 def test_findings_of_large_order_keys(spark, tmp_path):
@@ -15,3 +16,42 @@ def test_findings_of_large_order_keys(spark, tmp_path):
     assert rows == [(3_101, 1), (3_000_000_000_101, 1), (3_000_000_001_202, 5_000_000_000)]
     groups = grouping.finding_groups(fo.enrich(found)).collect()
     assert sum(g["count"] for g in groups) == 3
+
+
+def scans_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation ")
+
+
+def test_files_below_cores(spark, make_files, tmp_path):
+    """Cores in cores, system directories below a core, files and directories of that name."""
+    paths = [
+        "x/system/core/CodeIgniter.php", "x/system/a/system/b/System/f.php", "x/system/system", "y/system/f.php", "z/SYSTEM/core/CodeIgniter.php",
+        "z/SYSTEM/q.php", "z/systems/q.php", "system/core/codeigniter.php", "system/f.php", "w/system/core/CodeIgniter.php/f.php",
+        "x/system/n/system/node_modules/f.php", "f.php",
+    ]
+    files = make_files(dict.fromkeys(paths, "a"))
+    kept = {r.path for r in codelines.without_framework_core(files).collect()}
+    in_core = {"x/system/core/CodeIgniter.php", "x/system/a/system/b/System/f.php", "x/system/system", "z/SYSTEM/core/CodeIgniter.php",
+               "z/SYSTEM/q.php", "x/system/n/system/node_modules/f.php"}
+    assert kept == set(paths) - in_core
+    flagged = {r.path for r in tree.tree_rows(files).where("in_core").collect()}
+    assert flagged == (in_core - {"x/system/n/system/node_modules/f.php"}) | {
+        "x/system", "x/system/core", "x/system/a", "x/system/a/system", "x/system/a/system/b", "x/system/a/system/b/System",
+        "x/system/n", "x/system/n/system", "z/SYSTEM", "z/SYSTEM/core",
+    }
+
+
+def test_corpus_contents_are_built_above_path_filters(spark, tmp_path):
+    """Contents are built for files that pass the path filters: these lie below, not above."""
+    spark.range(1, 300).withColumnRenamed("id", "o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    plan = codelines.code_files(corpora.source_files(spark, str(tmp_path)))._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    content = next(i for i, line in enumerate(lines) if "Generate explode(array(CASE" in line)
+    assert any("Filter" in line for line in lines[content:]) and not any("Filter" in line for line in lines[:content])
+
+
+def test_core_lookup_reads_files_four_times(spark, make_files, tmp_path):
+    make_files({"system/core/CodeIgniter.php": "", "a.php": ""}).write.parquet(str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))
+    assert scans_of(codelines.without_framework_core(files)) <= 4
+    assert project_scan.files_scanned(files).first().files_scanned == 1
