@@ -1,5 +1,7 @@
 """The corpora and queries on rows that only larger tables hold."""
 
+import os
+
 from faultlens.operators import codelines, grouping
 from faultlens.operators import findings as fo
 from faultlens.plans import corpora, project_scan
@@ -55,3 +57,19 @@ def test_core_lookup_reads_files_four_times(spark, make_files, tmp_path):
     files = spark.read.parquet(str(tmp_path / "files"))
     assert scans_of(codelines.without_framework_core(files)) <= 4
     assert project_scan.files_scanned(files).first().files_scanned == 1
+
+
+def test_trees_are_walked_in_batches(spark, make_files, tmp_path):
+    """The entries are those of one walk, however few files a batch has, and no tree is left."""
+    paths = ["system/core/CodeIgniter.php", "system/a/f.php", "b/system/core/CodeIgniter.php", "b/c/f.php", "build/x", "f.php", "vendor/y/z", "d/e/f/g"]
+    files = make_files(dict.fromkeys(paths, "text")).unionByName(make_files({"core/CodeIgniter.php": "", "a/b.php": "x"}, "system"))
+    one = str(tmp_path / "one")
+    tree.write_trees(files, one)
+    columns = ["path", "is_dir", "size", "in_core"]
+    want = sorted(tuple(r) for r in tree.walk(spark, [("all", one)]).where("path like '%/%'").select(*columns).collect())
+    for most in (1, 3, 1000):
+        base = str(tmp_path / f"most{most}")
+        got = tree.written_and_walked(files, base, most).where("path like '%/%'").select(*columns)
+        assert sorted(tuple(r) for r in got.collect()) == want
+        left = [f for _, _, names in os.walk(f"{base}/trees") for f in names]
+        assert left == []
