@@ -73,3 +73,24 @@ def test_trees_are_walked_in_batches(spark, make_files, tmp_path):
         assert sorted(tuple(r) for r in got.collect()) == want
         left = [f for _, _, names in os.walk(f"{base}/trees") for f in names]
         assert left == []
+
+
+def test_long_files_reach_python_in_small_batches(spark, tmp_path, monkeypatch):
+    """Batches are bounded by bytes, not by rows alone."""
+    seen = str(tmp_path / "seen")
+    os.makedirs(seen)
+
+    def noted(base):
+        def run(batches):
+            for i, batch in enumerate(batches):
+                with open(f"{seen}/{i}", "w") as f:
+                    f.write(str(int(batch["content"].str.len().sum())))
+                yield batch[["n"]] if "n" in batch else batch.assign(n=1)[["n"]]
+
+        return run
+
+    monkeypatch.setattr(tree, "_write", noted)
+    files = spark.range(0, 60, 1, 1).selectExpr("'p' AS project", "concat('f', id) AS path", "repeat('x', 1000000) AS content")
+    assert tree.write_trees(files, str(tmp_path / "out")) == 60
+    sizes = [int(open(f"{seen}/{name}").read()) for name in os.listdir(seen)]
+    assert sum(sizes) == 60_000_000 and max(sizes) <= 2 * tree.BATCH_BYTES
