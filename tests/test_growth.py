@@ -2,7 +2,7 @@
 
 import os
 
-from faultlens.operators import codelines, grouping
+from faultlens.operators import codelines, diffscope, grouping
 from faultlens.operators import findings as fo
 from faultlens.plans import corpora, project_scan
 from faultlens.sources import tree
@@ -94,3 +94,26 @@ def test_long_files_reach_python_in_small_batches(spark, tmp_path, monkeypatch):
     assert tree.write_trees(files, str(tmp_path / "out")) == 60
     sizes = [int(open(f"{seen}/{name}").read()) for name in os.listdir(seen)]
     assert sum(sizes) == 60_000_000 and max(sizes) <= 2 * tree.BATCH_BYTES
+
+
+def test_hunks_travel_parsed(spark, tmp_path):
+    """Ranges of headers buckets before their hunks; hunks that add nothing or cannot be read leave before the shuffle."""
+    texts = {
+        5: "+++ b/a.php", 6: "@@ -1 +3 @@", 7: "@@ broken", 8: "@@ -1,2 +9,0 @@", 9: "@@ -1,2 +99999999999,2 @@", 10: "@@ -1 +5,99999999999 @@",
+        25_000: "@@ -1,7 +11,2 @@ f()", 25_001: "+++ /dev/null", 45_000: "@@ -1 +50,2 @@", 45_001: "+++ b/./b.php", 45_002: "x@@ -1 +7 @@", 45_003: "@@ -1 +4097 @@",
+    }
+    lines = spark.createDataFrame([(p, n, t) for p in ("p", "q") for n, t in texts.items()], "project string, line_no long, text string")
+    lines = lines.unionByName(spark.createDataFrame([("r", 1, "@@ -1 +3 @@"), (None, 1, "+++ b/n.php")], lines.schema))
+    lines.write.parquet(str(tmp_path / "diff"))
+    stored = spark.read.parquet(str(tmp_path / "diff"))
+    spans = diffscope.changed_spans(stored)
+    got = {(r.project, r.file, r.bucket): [tuple(s) for s in r.spans] for r in spans.collect()}
+    one = {("a.php", -1): [], ("a.php", 0): [(3, 3), (11, 12)], ("b.php", -1): [], ("b.php", 1): [(4097, 4097)]}
+    assert got == {(p, *k): v for p in ("p", "q") for k, v in one.items()} | {(None, "n.php", -1): []}
+    plan = spans._jdf.queryExecution().optimizedPlan().toString()
+    # The outer exchange deals the pieces, the inner one the parsed lines; what is carried is aggregated before it is dealt.
+    _, pieces, _ = plan.split("RepartitionByExpression")
+    assert "text#" not in pieces
+    files, _ = diffscope.changed_lines(stored)
+    assert {(r.project, r.file) for r in files.collect()} == {("p", "a.php"), ("p", "b.php"), ("q", "a.php"), ("q", "b.php"), (None, "n.php")}
+    assert "Window" not in files._jdf.queryExecution().optimizedPlan().toString()
