@@ -117,3 +117,19 @@ def test_hunks_travel_parsed(spark, tmp_path):
     files, _ = diffscope.changed_lines(stored)
     assert {(r.project, r.file) for r in files.collect()} == {("p", "a.php"), ("p", "b.php"), ("q", "a.php"), ("q", "b.php"), (None, "n.php")}
     assert "Window" not in files._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_gate_and_counts_share_one_reading(spark, tmp_path):
+    """The gate sums what counts by severity hold; both read the findings by one exchange."""
+    rows = [("p", "High"), ("p", "High"), ("p", "Low"), ("q", "odd"), ("r", "Critical"), (None, "High")]
+    spark.createDataFrame(rows, "project string, severity string").write.parquet(str(tmp_path / "found"))
+    found = spark.read.parquet(str(tmp_path / "found"))
+    projects = spark.createDataFrame([("p",), ("q",), ("r",), ("s",)], "project string")
+    gate = fo.gate(found, projects, "high")
+    assert {(r.project, r.fail_count, r.passed) for r in gate.collect()} == {("p", 2, False), ("q", 0, True), ("r", 1, False), ("s", 0, True)}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = fo.by_severity(found).join(gate, "project")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("FileScan parquet") == 1 and "ReusedExchange" in plan
