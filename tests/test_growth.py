@@ -133,3 +133,15 @@ def test_gate_and_counts_share_one_reading(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert plan.count("FileScan parquet") == 1 and "ReusedExchange" in plan
+
+
+def test_corpus_lines_are_compiled(spark, tmp_path):
+    """Texts of the corpora are spelled out, not built by functions over arrays; a null key has none."""
+    keys = spark.createDataFrame([(0,), (5,), (8,), (None,)], "o_orderkey long")
+    keys.write.parquet(str(tmp_path / "orders.parquet"))
+    keys.toDF("p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    for files, counts in ((corpora.source_files, [6, 11, 14, None]), (corpora.config_files, [5, 10, 5, None])):
+        df = files(spark, str(tmp_path))
+        assert "lambdafunction" not in df._jdf.queryExecution().optimizedPlan().toString()
+        got = sorted((r.content.count("\n") + 1 for r in df.collect() if r.content is not None))
+        assert got == sorted(n for n in counts if n) and df.where("content IS NULL").count() == 1
