@@ -5,7 +5,7 @@ import os
 from faultlens.operators import codelines, diffscope, grouping
 from faultlens.operators import findings as fo
 from faultlens.plans import corpora, project_scan
-from faultlens.sources import tree
+from faultlens.sources import history, tree
 
 
 def test_findings_of_large_order_keys(spark, tmp_path):
@@ -145,3 +145,31 @@ def test_corpus_lines_are_compiled(spark, tmp_path):
         assert "lambdafunction" not in df._jdf.queryExecution().optimizedPlan().toString()
         got = sorted((r.content.count("\n") + 1 for r in df.collect() if r.content is not None))
         assert got == sorted(n for n in counts if n) and df.where("content IS NULL").count() == 1
+
+
+def test_replay_sorts_a_history_once(spark, tmp_path, monkeypatch):
+    """Totals before come from one sort by path, or, of paths with many scans, month by month; no records are joined to them."""
+    rows = [
+        ("1", "/a", "2024-01-01", 5), ("2", "/a", "2024-01-02", None), ("3", "/a", "2024-01-03", 9), ("4", "/a", "2024-04-01", 4), ("5", "/a", "2024-04-02", 14),
+        ("6", "/b", "2024-02-01", 3), ("7", "/a", None, 2), ("8", None, "2024-01-01", 1), ("9", "/b", "2024-03-01", 8), ("0", "/c", "", 8), ("a", "/c", "2024-03-01", None),
+        ("b", "/c", "2024-04-01", 7), ("c", "/c", "2024-04-01", 8),
+    ]
+    spark.createDataFrame(rows, "id string, path string, created_at string, total long").write.parquet(str(tmp_path / "scans"))
+    scans = spark.read.parquet(str(tmp_path / "scans"))
+    want = {
+        "1": (2, 3), "2": (5, 0), "3": (2, 7), "4": (9, 0), "5": (4, 10), "6": (None, 0), "9": (3, 5), "0": (None, 0), "a": (8, 0),
+        "b": (None, 0), "c": (7, 1),
+    }
+    for many in (0, 2, 100):
+        monkeypatch.setattr(history, "MANY_SCANS", many)
+        got = {r.id: (r.previous_total, r.new_since) for r in history.replay_new_since(scans).collect()}
+        assert got == want
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = history.replay_new_since(scans)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert "SortMergeJoin" not in plan
