@@ -29,7 +29,7 @@ def test_findings_of_large_order_keys(spark, tmp_path):
 BY_ORDER_NUMBER = [
     "a_17_group_occurrences", "a_22_notification_row", "f_18_top_findings", "o_10_insight_ranking", "o_11_console_findings",
     "o_1_sorted_findings", "o_6_finding_group_order", "o_7_fix_first", "o_9_report_cap", "s_13_json_export", "s_14_csv_export",
-    "s_15_sarif_export",
+    "s_15_sarif_export", "w_8_finding_order",
 ]
 IN_ORDER = {"o_1_sorted_findings", "s_13_json_export", "s_15_sarif_export", "w_8_finding_order"}
 
