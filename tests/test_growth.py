@@ -110,6 +110,38 @@ def test_trees_are_walked_in_batches(spark, make_files, tmp_path):
         assert left == []
 
 
+def test_trees_use_up_those_before(spark, make_files, tmp_path):
+    """Files and directories are taken over by the trees that follow, one with others of its own, and no row has two."""
+    spare, first = str(tmp_path / "spare"), {f"a{i % 7}/b{i}/f{i}": "long text" * (i % 5) for i in range(60)}
+    os.makedirs(spare)
+    last = {f"c{i % 5}/f{i}": "é" * (i % 4) for i in range(50)} | {f"d{i}/e/f": "" for i in range(9)}
+    inodes = []
+    for n, texts in enumerate((first, first, last, first)):
+        root = str(tmp_path / "trees" / str(n))
+        files = make_files(texts, f"p{n}").unionByName(make_files(texts, "q")).repartition(4)
+        assert tree.write_trees(files, root, spare) == 2 * len(texts)
+        got = {r.path: r.size for r in tree.walk(spark, [("all", root)]).where("not is_dir").collect()}
+        assert got == {f"{p}/{path}": len(text.encode()) for p in (f"p{n}", "q") for path, text in texts.items()}
+        below = {os.path.relpath(here, root): names for here, _, names in os.walk(root) if here != root}
+        assert set(below) == {p + "/" * bool(d) + d for p in (f"p{n}", "q") for path in texts for d in ("", path.split("/")[0], os.path.dirname(path))}
+        for p in (f"p{n}", "q"):
+            assert all(open(f"{root}/{p}/{path}").read() == text for path, text in texts.items())
+        inodes.append([{os.stat(f"{root}/{d}/{name}").st_ino for d, names in below.items() for name in names}, {os.stat(f"{root}/{d}").st_ino for d in below}])
+        assert len(inodes[-1][0]) == 2 * len(texts) and len(inodes[-1][1]) == len(below)
+        tree.hand_on_trees(spark, root, spare)
+    assert inodes[1][0] & inodes[0][0] and inodes[2][0] & inodes[1][0] and inodes[2][1] & inodes[0][1]
+    tree.remove_spares(spark, str(tmp_path / "trees"), spare)
+    assert os.listdir(tmp_path) == []
+
+
+def test_trees_are_removed_where_nothing_can_be_taken_over(spark, make_files, tmp_path, monkeypatch):
+    monkeypatch.setattr(tree, "_can_spare", lambda folder: False)
+    files = make_files({"a/f": "x", "b/c/g": "", "h": "y"})
+    got = tree.written_and_walked(files, str(tmp_path), 1).where("not is_dir")
+    assert sorted((r.path, r.size) for r in got.collect()) == [("p/a/f", 1), ("p/b/c/g", 0), ("p/h", 1)]
+    assert [f for _, _, names in os.walk(tmp_path / "trees") for f in names] == []
+
+
 def test_long_files_reach_python_in_small_batches(spark, tmp_path, monkeypatch):
     """Batches are bounded by bytes, not by rows alone."""
     seen = str(tmp_path / "seen")
